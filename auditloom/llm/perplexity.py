@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def bands(scored: DataFrame, width: float = 3.0, least_docs: int = 100) -> tuple[DataFrame, tuple[float, float]]:
+def bands(scored: DataFrame, width: float = 4.0, least_docs: int = 100) -> tuple[DataFrame, tuple[float, float]]:
     """lang, low, high; and the band of the whole corpus."""
     ends = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 1000)
     passed = scored.where("not base_failed")
@@ -239,7 +239,7 @@ def bands(scored: DataFrame, width: float = 3.0, least_docs: int = 100) -> tuple
     return own.select(F.col("lang").alias("band_lang"), low.alias("low"), high.alias("high")), tuple(whole) if whole[0] is not None else (0.0, 0.0)
 
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 3.0, least_docs: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 4.0, least_docs: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """score() with perplexity, low and high (the band in log perplexity) and kept."""
     scored = written(score(docs, train(docs, text_column), id_column, text_column, lang_column, carry), "scored")
     own, (low, high) = bands(scored, width, least_docs)

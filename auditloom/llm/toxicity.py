@@ -2,9 +2,10 @@
 
 A numpy linear classifier is trained from confirmed toxic texts and unlabelled texts with the non-negative risk
 estimator: pi * R_p+ + max(0, R_u- - pi * R_p-), where pi is the class prior. Both sets are bounded samples (`most_positive`
-and `most_unlabelled` rows, by a hash of their ids); texts leave the executors as sets of hashed words. The features are
-the presence of the `vocabulary` hashed words that set the two samples apart most. Training takes the step that the
-estimator's authors give: where the clipped term is negative, the gradient goes up on it instead.
+and `most_unlabelled` rows, by a hash of their ids). A text's features are how densely its words, and the beginnings of
+its words of 4 to 8 bytes, occur in it; Spark counts in how many sampled texts of either set each occurs, and the
+`vocabulary` features that set the samples apart most are used. Training takes the step that the estimator's authors
+give: where the clipped term is negative, the gradient goes up on it instead.
 
 Defined cases: null and empty texts have no feature and get a score; rows without a label count as unlabelled; with no
 confirmed toxic row every score is 0; repeated rows give repeated results; an empty table gives an empty result; other
@@ -13,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,47 +23,64 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, text_of
+from .common import LOWER, UPPER, text_of, written
 from .perplexity import buffers
 
 #: A-Z to lower case and every other ASCII character that is no letter to a blank.
 PLAIN = bytes((ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if chr(b) in LOWER or b > 127 else 32) for b in range(256))
+BEGINNINGS = range(4, 9)
+#: Distinct words that a Python worker remembers.
+REMEMBERED = 500_000
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return set(text.translate(PLAIN).split())
+def words_of(text: bytes) -> Counter:
+    return Counter(text.translate(PLAIN).split())
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word, 7) >> 1
+def features_of(word: bytes) -> list[int]:
+    """Hashes of the whole word and of its beginnings."""
+    return [xxhash.xxh64_intdigest(word + b"$") >> 1, *(xxhash.xxh64_intdigest(word[:n]) >> 1 for n in BEGINNINGS if n <= len(word))]
+
+
+def density(count: np.ndarray | float, n_words: int) -> np.ndarray | float:
+    return np.log1p(100 * count / (n_words + 20))
 
 
 class PuClassifier:
-    """Logistic scores of a linear function of word presence."""
-
-    def __init__(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, vocabulary: int = 512, least_docs: int = 4, steps: int = 400, rate: float = 0.1, decay: float = 1e-3):
-        found, place = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
-        sizes = [len(x) for x in (*positive, *unlabelled)]
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        in_p = owner < len(positive)
-        n_p, n_u = np.bincount(place[in_p], minlength=len(found)), np.bincount(place[~in_p], minlength=len(found))
-        p, u = (n_p + 0.5) / (len(positive) + 1), (n_u + 0.5) / (len(unlabelled) + 1)
-        spread = np.sqrt(p * (1 - p) / len(positive) + u * (1 - u) / len(unlabelled))
-        strength = np.where(n_p >= least_docs, (p - u) / spread, 0)
-        chosen = np.sort(np.argsort(-strength, kind="stable")[:vocabulary])
-        chosen = chosen[strength[chosen] > 4]
-        self.words = found[chosen]
-        column = np.full(len(found), -1)
-        column[chosen] = np.arange(len(chosen))
-        x = np.zeros((len(sizes), len(chosen)))
-        used = column[place] >= 0
-        x[owner[used], column[place[used]]] = 1
-        self.weights, self.bias = self._fit(x[: len(positive)], x[len(positive) :], prior, steps, rate, decay)
-
-    @staticmethod
-    def _fit(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
-        """Adam on the non-negative risk with the logistic loss."""
-        xp, xu = (np.hstack([x, np.ones((len(x), 1))]) for x in (xp, xu))
+    """A linear function of feature densities, trained on the non-negative risk with the logistic loss."""
+
+    def __init__(self, features: list[int], weights: np.ndarray, bias: float):
+        self.features, self.weights, self.bias = {f: i for i, f in enumerate(features)}, weights, bias
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def hits(self, word: bytes) -> tuple[int, ...]:
+        """The used features of a word."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = tuple(self.features[f] for f in features_of(word) if f in self.features)
+            if len(word) < 100:
+                self.known[word] = found
+        return found
+
+    def vector(self, text: bytes) -> tuple[list[int], list[float]]:
+        """The used features of a text and their densities."""
+        words = words_of(text)
+        counts: dict[int, int] = {}
+        for word, n in words.items():
+            for i in self.hits(word):
+                counts[i] = counts.get(i, 0) + n
+        return list(counts), density(np.fromiter(counts.values(), dtype=np.float64), words.total()).tolist()
+
+    def score(self, text: bytes) -> float:
+        at, x = self.vector(text)
+        z = self.bias + (float(self.weights[at] @ np.array(x)) if at else 0.0)
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+    def fit(self, xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> None:
+        """Adam on the risk of positive rows xp and unlabelled rows xu."""
+        xp, xu = (np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]) for x in (xp, xu))
         w = np.zeros(xp.shape[1])
         w[-1] = np.log(prior / (1 - prior))
         m, v = np.zeros_like(w), np.zeros_like(w)
@@ -75,49 +94,61 @@ class PuClassifier:
             grad[:-1] += decay * w[:-1]
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return w[:-1], float(w[-1])
+        self.weights, self.bias = w[:-1], float(w[-1])
 
-    def table(self) -> dict[int, float]:
-        return dict(zip(self.words.tolist(), self.weights.tolist(), strict=True))
 
-
-def hashed_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """words: the sorted hashes of the distinct words of each text."""
+def _vocabulary(sample: DataFrame, n_positive: int, n_unlabelled: int, size: int, least_docs: int, least_strength: float) -> list[int]:
+    """The features that set positive and unlabelled texts apart most; sample has toxic, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(map(word_hash, words_of(t))) for t in buffers(batch.column(0))], pa.list_(pa.int32()))], ["words"])
+            found = [list({f for w in words_of(t) for f in features_of(w)}) for t in buffers(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["toxic", "features"])
 
-    return docs.select(text_of(docs, text_column).cast("binary").alias("text")).mapInArrow(run, "words array<int>")
+    counts = sample.select("toxic", "text").mapInArrow(run, "toxic boolean, features array<long>").select("toxic", F.explode("features").alias("feature"))
+    counts = counts.groupBy("feature").agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")).where(F.col("p") >= least_docs)
+    p, u = (F.col("p") + 0.5) / (n_positive + 1), (F.col("u") + 0.5) / (n_unlabelled + 1)
+    strength = (p - u) / F.sqrt(F.abs(p * (1 - p)) / n_positive + F.abs(u * (1 - u)) / n_unlabelled)
+    return [r[0] for r in counts.select("feature", strength.alias("s")).where(F.col("s") >= least_strength).orderBy(F.desc("s"), "feature").limit(size).collect()]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", prior: float | None = None, most_positive: int = 3000, most_unlabelled: int = 6000, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", prior: float | None = None, most_positive: int = 3000, most_unlabelled: int = 6000, vocabulary: int = 3072, threshold: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted. Rows for which held_out is true are not learned from.
 
     prior: the share of toxic texts; by default their share among the labelled rows that may be learned from.
     """
     spark = docs.sparkSession
     known = labels.where(labels[label_column].isNotNull()).groupBy(labels[id_column].alias("label_id")).agg(F.max(label_column).alias("label"))
-    rows = docs.where(~held_out).select(docs[id_column].alias("id"), docs[text_column].alias("text"), F.xxhash64(docs[id_column]).alias("dealt"))
-    picks = rows.select("id", "dealt").join(known, F.col("id") == F.col("label_id"), "left").drop("label_id")
+    rows = docs.where(~held_out).select(docs[id_column].alias("id"), docs[text_column].cast("binary").alias("text"), F.xxhash64(docs[id_column]).alias("dealt"))
+    picks = written(rows.select("id", "dealt").distinct().join(known, F.col("id") == F.col("label_id"), "left").drop("label_id"), "picks")
     counted = picks.where("label is not null").agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1)).first()
     take = lambda of, n: [r[0] for r in of.orderBy("dealt", "id").limit(n).select("id").collect()]
     positive, unlabelled = take(picks.where("label = 1"), most_positive), take(picks.where("id is not null"), most_unlabelled)
-    weights, bias = {}, -40.0
+    model = PuClassifier([], np.zeros(0), -40.0)
     if positive:
         chosen = spark.createDataFrame([(i, True) for i in positive] + [(i, False) for i in unlabelled], "id long, toxic boolean")
-        sample = rows.join(F.broadcast(chosen), "id")  # at most most_positive + most_unlabelled ids
-        got = [[np.array(r[0], dtype=np.int64) for r in hashed_words(sample.where(side)).collect()] for side in ("toxic", "not toxic")]
+        sample = written(rows.join(F.broadcast(chosen), "id").select("toxic", "text"), "sample")  # at most most_positive + most_unlabelled ids
+        sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+        model = PuClassifier(_vocabulary(sample, sizes[True], sizes[False], vocabulary, 4, 3.0), np.zeros(0), 0.0)
+        vectors = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [vectors.value.vector(t) for t in buffers(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], ["toxic", "at", "x"])
+
+        x = {True: np.zeros((sizes[True], len(model.features)), dtype=np.float32), False: np.zeros((sizes[False], len(model.features)), dtype=np.float32)}
+        place = Counter()
+        for r in sample.mapInArrow(run, "toxic boolean, at array<int>, x array<double>").toLocalIterator():
+            x[r[0]][place[r[0]], r[1]] = r[2]
+            place[r[0]] += 1
         share = prior if prior is not None else counted[1] / counted[0]
-        model = PuClassifier(got[0], got[1], min(max(share, 1e-3), 0.9))
-        weights, bias = model.table(), model.bias
-    shared = spark.sparkContext.broadcast((weights, bias))
+        model.fit(x[True], x[False], min(max(share, 1e-3), 0.9))
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, start = shared.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.array([start + sum(weight.get(word_hash(w), 0.0) for w in words_of(t)) for t in buffers(batch.column(2))], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(raw, -40, 40))))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shared.value.score(t) for t in buffers(batch.column(2))], pa.float64())], ["doc_id", "held_out", "score"])
 
-    scored = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(docs, text_column).cast("binary").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_of(docs, text_column).cast("binary").alias("text")).mapInArrow(score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
