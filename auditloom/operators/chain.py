@@ -75,7 +75,8 @@ def _holes(events: DataFrame, start: int | None, end: int | None) -> DataFrame:
     steps = rows.select(*SCOPE, "sequence", F.coalesce(F.lag("sequence").over(w), F.lit((start or 1) - 1)).alias("before"))
     found = steps.where(F.col("sequence") - F.col("before") > 1).select(*SCOPE, (F.col("before") + 1).alias("first"), (F.col("sequence") - 1).alias("last"))
     if end is not None:
-        tail = rows.groupBy(*SCOPE).agg(F.max("sequence").alias("top")).where(F.col("top") < end)
+        inside = F.when(F.col("sequence").between(start or 1, end), F.col("sequence"))
+        tail = events.groupBy(*SCOPE).agg(F.coalesce(F.max(inside), F.lit((start or 1) - 1).cast("bigint")).alias("top")).where(F.col("top") < end)
         found = found.unionByName(tail.select(*SCOPE, (F.col("top") + 1).alias("first"), F.lit(end).cast("bigint").alias("last")))
     return found
 
@@ -105,12 +106,8 @@ def verify_chains(events: DataFrame, start: int | None = None, end: int | None =
     missing = gaps(events, start, end).groupBy(*SCOPE).agg(F.sort_array(F.collect_list("sequence")).alias("gaps"))
     none = F.array().cast("array<bigint>")
     chains = events.select(*SCOPE).distinct().join(marked, SCOPE, "left").join(missing, SCOPE, "left")
-    if start is not None and end is not None:  # a chain without an event in the range misses all of it
-        none_there = F.when(F.col("verified").isNull(), F.sequence(F.lit(start).cast("bigint"), F.lit(end).cast("bigint"))).otherwise(none)
-    else:
-        none_there = none
     zero = F.lit(0).cast("bigint")
-    out = chains.withColumn("gaps", F.coalesce("gaps", none_there)).withColumn("tampered", F.coalesce("tampered", none))
+    out = chains.withColumn("gaps", F.coalesce("gaps", none)).withColumn("tampered", F.coalesce("tampered", none))
     return out.select(*SCOPE, ((F.size("gaps") == 0) & (F.size("tampered") == 0)).alias("valid"), *(F.coalesce(c, zero).alias(c) for c in ("verified", "first_event", "last_event")), "gaps", "tampered")
 
 

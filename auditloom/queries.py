@@ -126,7 +126,7 @@ REPORTED = """SELECT app_id, tenant_id, len(gaps) = 0 AND len(tampered) = 0 AS v
 query("verify_chain_clean", REPORTED.format(here="true", bad="false"), True)(lambda e: chain.verify_chains(chain.append_chain(e)))
 query("verify_chain_tampered", REPORTED.format(here="sequence % 50 <> 0", bad="(sequence % 30 = 0 OR (sequence > 1 AND (sequence - 1) % 50 = 0))"), True)(lambda e: chain.verify_chains(_tampered(e)))
 query("sequence_gaps", "SELECT app_id, tenant_id, sequence FROM (SELECT *, max(CASE WHEN sequence % 50 <> 0 THEN sequence END) OVER (PARTITION BY app_id, tenant_id) AS top FROM chain) WHERE sequence % 50 = 0 AND sequence < top", True)(lambda e: chain.gaps(_tampered(e)))
-query("sequence_gaps_range", "SELECT DISTINCT app_id, tenant_id, s.sequence FROM chain, (SELECT unnest(range(40, 161)) AS sequence) s WHERE s.sequence % 50 = 0", True)(lambda e: chain.gaps(_tampered(e), 40, 160))
+query("sequence_gaps_range", "SELECT h.app_id, h.tenant_id, s.sequence FROM (SELECT DISTINCT app_id, tenant_id FROM chain) h, (SELECT unnest(range(40, 161)) AS sequence) s WHERE NOT EXISTS (SELECT 1 FROM chain c WHERE c.app_id = h.app_id AND c.tenant_id = h.tenant_id AND c.sequence = s.sequence AND c.sequence % 50 <> 0)", True)(lambda e: chain.gaps(_tampered(e), 40, 160))
 query("tampered_events", "SELECT id, sequence FROM chain WHERE sequence % 50 <> 0 AND (sequence % 30 = 0 OR (sequence > 1 AND (sequence - 1) % 50 = 0))", True)(lambda e: chain.chain_marks(_tampered(e)).where("tampered").select("id", "sequence"))
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.chain import append_chain, assert_unique, heads
-from ..schema import ARCHIVES, ERASURES, EVENTS, KEYS, POLICIES, REPORTS, normalised
+from ..schema import ARCHIVES, ERASURES, EVENTS, KEYS, POLICIES, REPORTS, normalised, struct
 
-POINTER = T._parse_datatype_string("generation string, version bigint")
+POINTER = struct("generation string, version bigint")
 
 
 class Store:
@@ -43,7 +43,7 @@ class Store:
     def append(self, events: DataFrame, check: bool = True) -> DataFrame:
         """Chains new events onto the stored ones and writes them as one batch, which appears as a whole or not at all. Gives back the batch. One writer at a time."""
         batch = f"{self._generation()[0]}/batch-{uuid.uuid4().hex}"
-        chained = normalised(append_chain(events, self.events()))
+        chained = normalised(append_chain(normalised(events), self.events()))
         chained.write.parquet(f"{self.path}/{batch}")
         if check:
             assert_unique(self.events())

@@ -20,6 +20,7 @@ from ..functions.ids import new_ids
 from ..functions.timeranges import utc_now
 from ..operators.alerts import alert_matches
 from ..operators.chain import SCOPE, stream_id
+from ..schema import normalised
 from ..scope import Scope
 from ..sources.sinks import Sink
 from ..sources.store import Store
@@ -117,7 +118,7 @@ class Recorder:
 
     def record(self, events: DataFrame) -> DataFrame:
         """Scope, defaults, hooks, validation, chains, store; then sinks, hooks and alerts. Gives the recorded batch. An error of a hook or sink is logged and stops nothing."""
-        rows = with_defaults(self.scope.fill(events))
+        rows = with_defaults(self.scope.fill(normalised(events)))
         for hook in self.before:
             try:
                 rows = hook(rows)
