@@ -21,8 +21,10 @@ from .schema import DIMENSIONS, POLICIES
 from .scope import Scope, client_ip
 from .sources import sinks
 from .sources.audit_view import SQL as AUDIT
-from .sources.audit_view import audit_events
-from .streaming.ingest import problems, validated
+from .sources.audit_view import audit_events, audit_view
+from .sources.scratch import scratch
+from .sources.store import Store
+from .streaming.ingest import Recorder, chained_stream, problems, validated
 
 NOW = datetime(2024, 2, 1)
 FROM, TO = datetime(2024, 1, 1), datetime(2024, 1, 31)
@@ -103,10 +105,16 @@ def _resumed(e: DataFrame) -> DataFrame:
 query("stream_heads", f"SELECT app_id, tenant_id, {STREAM} AS stream_id, max(sequence) AS head_seq, max_by(hash, sequence) AS head_hash FROM chain GROUP BY app_id, tenant_id", True)(lambda e: chain.heads(chain.append_chain(e)))
 query("last_sequence", "SELECT app_id, tenant_id, max(sequence) AS last_sequence FROM chain GROUP BY ALL", True)(lambda e: chain.heads(chain.append_chain(e)).select("app_id", "tenant_id", F.col("head_seq").alias("last_sequence")))
 query("last_hash", "SELECT app_id, tenant_id, max_by(hash, sequence) AS last_hash FROM chain GROUP BY ALL", True)(lambda e: chain.heads(chain.append_chain(e)).select("app_id", "tenant_id", F.col("head_hash").alias("last_hash")))
+query("stream_by_scope", f"SELECT {STREAM} AS stream_id, max(sequence) AS head_seq FROM chain WHERE app_id = 'app1' AND tenant_id = 't2' GROUP BY 1", True)(lambda e: chain.heads(chain.append_chain(e)).where(Scope("app1", "t2").owns()).select("stream_id", "head_seq"))
+query("streams_page", f"SELECT {STREAM} AS id, min(timestamp) AS created_at FROM chain GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5 OFFSET 3", True)(lambda e: q.listing(_stream_times(chain.append_chain(e)), 5, 3))
 query("event_range", f"SELECT id, sequence FROM chain WHERE {STREAM} = 'stream_' || left(sha256('app1|t3'), 26) AND sequence BETWEEN 10 AND 30", True)(lambda e: _range(chain.append_chain(e)))
 query("verify_event", "SELECT id, true AS valid FROM audit")(lambda e: chain.verify_events(chain.append_chain(e)))
 
 
+def _stream_times(chained: DataFrame) -> DataFrame:
+    return chained.groupBy(F.col("stream_id").alias("id")).agg(F.min("timestamp").alias("created_at"))
+
+
 def _range(chained: DataFrame) -> DataFrame:
     import hashlib
 
@@ -163,6 +171,8 @@ def _erasures(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('erasure_1', 'subj-0', TIMESTAMP_NTZ '2024-01-10'), ('erasure_2', 'subj-0', TIMESTAMP_NTZ '2024-01-20'), ('erasure_3', 'subj-5', TIMESTAMP_NTZ '2024-01-15') AS t(id, subject_id, created_at)")
 
 
+query("erasures_page", "SELECT id FROM (VALUES ('erasure_2'), ('erasure_3')) v(id)")(lambda e: q.listing(_erasures(e.sparkSession), 2).select("id"))
+query("erasure_by_id", "SELECT 'erasure_3' AS id, 'subj-5' AS subject_id")(lambda e: _erasures(e.sparkSession).where("id = 'erasure_3'").select("id", "subject_id"))
 ERASED = "(VALUES ('erasure_1', 'subj-0', TIMESTAMP '2024-01-10'), ('erasure_2', 'subj-0', TIMESTAMP '2024-01-20'), ('erasure_3', 'subj-5', TIMESTAMP '2024-01-15'))"
 query("erasure_overlay", f"SELECT a.id, subject_id, x.i IS NOT NULL AS erased, x.w AS erased_at, coalesce(x.i, '') AS erasure_id FROM audit a LEFT JOIN LATERAL (SELECT i, w FROM {ERASED} t(i, s, w) WHERE s = a.subject_id AND w >= a.timestamp ORDER BY w LIMIT 1) x ON true")(
     lambda e: erasure.erasure_overlay(e, _erasures(e.sparkSession)).select("id", "subject_id", "erased", "erased_at", "erasure_id")
@@ -237,6 +247,59 @@ query("jsonl_payload", """SELECT id, '{"id":"' || id || '","timestamp":"' || str
 )
 query("archive_partitions", "SELECT category, year(timestamp) AS year, strftime(timestamp, '%m') AS month, strftime(timestamp, '%d') AS day, count(*) AS count FROM audit GROUP BY ALL")(lambda e: e.groupBy(*sinks.partition_columns()).count().withColumn("year", F.col("year").cast("bigint")))
 
+SINK_ROWS = "SELECT category, count(*) AS count, count(DISTINCT id) AS ids FROM audit GROUP BY category"
+
+
+@query("sink_jsonl_read_back", SINK_ROWS)
+def _jsonl(e: DataFrame) -> DataFrame:
+    """Written as JSON lines and read again."""
+    path = scratch(e.sparkSession, "jsonl")
+    sinks.FileSink(path, 2000).write(e)
+    return _sunk(e.sparkSession.read.schema("id string, category string").json(path))
+
+
+@query("sink_partitioned_read_back", SINK_ROWS)
+def _partitioned(e: DataFrame) -> DataFrame:
+    """Written as gzip JSON lines by category and day, in two flushes, through a fan-out; and read again."""
+    path = scratch(e.sparkSession, "gzip")
+    for half in (e.where("timestamp < TIMESTAMP_NTZ '2024-01-15'"), e.where("timestamp >= TIMESTAMP_NTZ '2024-01-15'")):
+        sinks.MultiSink(sinks.PartitionedSink(path)).write(half)
+    return _sunk(e.sparkSession.read.schema("id string, category string").json(path))
+
+
+def _sunk(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("id").alias("ids"))
+
+
+def stream_query(name: str, sql: str):
+    """A query whose function takes the audit events as a stream."""
+
+    def add(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> None:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+            return f(spark, audit_view(spark, raw), scratch(spark, name))
+
+        QUERIES[name], ORACLES[name] = run, f"WITH RECURSIVE audit AS ({AUDIT}), {CHAIN} {sql}"
+
+    return add
+
+
+@stream_query("ingest_stream_chain", CHAINED)
+def _stream_chain(spark: SparkSession, stream: DataFrame, path: str) -> DataFrame:
+    """The chain with heads kept as streaming state."""
+    out = chained_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(_chained)
+
+
+@stream_query("ingest_stream_record", "SELECT app_id, tenant_id, true AS valid, count(*) AS verified FROM chain GROUP BY app_id, tenant_id")
+def _stream_record(spark: SparkSession, stream: DataFrame, path: str) -> DataFrame:
+    """Recorded batch by batch into a store, then verified there."""
+    store = Store(spark, f"{path}/store")
+    Recorder(store).stream(stream, f"{path}/state", None).awaitTermination()
+    return chain.verify_chains(store.events()).select("app_id", "tenant_id", "valid", "verified")
+
+
 # scalar functions
 IPS = "('1.2.3.4, 5.6.7.8', '9.9.9.9', '10.0.0.1:80'), ('', '9.9.9.9', '10.0.0.1:80'), ('', '', '10.0.0.1:80'), ('', '', '[::1]:443'), (',x', 'y', 'z'), ('', '', 'bare')"
 query("client_ip", f"SELECT x, r, a, CASE WHEN x <> '' THEN split_part(x, ',', 1) WHEN r <> '' THEN r ELSE regexp_replace(a, ':[^:]*$', '') END AS ip FROM (VALUES {IPS}) t(x, r, a)")(

@@ -24,6 +24,10 @@ FROM {events} e JOIN """ + DEEDS + " ON d.k = e.event_id % 16"
 SQL = VIEW.format(text="VARCHAR", metadata="CAST(json(props) AS VARCHAR)", events="events")
 
 
+def audit_view(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """The 15 columns of audit events that the driver's events give, batch or stream. The 16 deeds are a constant table."""
+    return spark.sql(VIEW.format(text="STRING", metadata="to_json(parse_json(props))", events="{raw}"), raw=raw)
+
+
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15 columns of audit events that the stream gives. The 16 deeds are a broadcast constant."""
-    return spark.sql(VIEW.format(text="STRING", metadata="to_json(parse_json(props))", events="{raw}"), raw=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return audit_view(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
