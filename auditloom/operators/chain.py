@@ -30,31 +30,33 @@ def heads(events: DataFrame) -> DataFrame:
     return events.groupBy(*SCOPE).agg(F.max("stream_id").alias("stream_id"), F.coalesce(F.max("sequence"), F.lit(0).cast("bigint")).alias("head_seq"), F.coalesce(F.max_by("hash", "sequence"), F.lit("")).alias("head_hash"))
 
 
-def append_chain(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Adds stream_id, sequence, prev_hash and hash to new events; chains go on from the heads of `stored`."""
+def append_chain(events: DataFrame, stored_heads: DataFrame | None = None) -> DataFrame:
+    """Adds stream_id, sequence, prev_hash and hash to new events; chains go on from stored heads (as heads() gives them). One shuffle, by chain."""
     plain = events.drop("stream_id", "sequence", "prev_hash", "hash").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     tailed = with_canonical(plain).withColumn("tail", content(F.lit(""))).drop("canonical_metadata")
-    tailed = tailed.withColumn("place", F.row_number().over(Window.partitionBy(*SCOPE).orderBy("timestamp", "id")).cast("bigint"))
-    if stored is not None:
-        tailed = tailed.join(heads(stored).drop("stream_id"), SCOPE, "left")
+    if stored_heads is not None:
+        tailed = tailed.join(stored_heads.select(*SCOPE, "head_seq", "head_hash"), SCOPE, "left")
     else:
-        tailed = tailed.withColumn("head_seq", F.lit(0).cast("bigint")).withColumn("head_hash", F.lit(""))
-    tailed = tailed.withColumn("sequence", F.col("place") + F.coalesce("head_seq", F.lit(0))).withColumn("head_hash", F.coalesce("head_hash", F.lit("")))
-    ordered = tailed.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "place")
-    keep = [c for c in ordered.columns if c not in ("tail", "place", "head_seq", "head_hash")]
+        tailed = tailed.withColumn("head_seq", F.lit(None).cast("bigint")).withColumn("head_hash", F.lit(None).cast("string"))
+    ordered = tailed.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "timestamp", "id")
+    keep = [c for c in ordered.columns if c not in ("tail", "head_seq", "head_hash")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = ""
+        chain, number, last = None, 0, ""
         for batch in batches:
-            before, after = [], []
-            for place, head, tail in zip(*(batch.column(c).to_pylist() for c in ("place", "head_hash", "tail")), strict=True):
-                last = head if place == 1 else last
+            numbers, before, after = [], [], []
+            for app, tenant, seq, head, tail in zip(*(batch.column(c).to_pylist() for c in (*SCOPE, "head_seq", "head_hash", "tail")), strict=True):
+                if (app, tenant) != chain:
+                    chain, number, last = (app, tenant), seq or 0, head or ""
+                number += 1
+                numbers.append(number)
                 before.append(last)
                 last = hashlib.sha256((last + tail).encode()).hexdigest()
                 after.append(last)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(before, pa.string()), pa.array(after, pa.string())], [*keep, "prev_hash", "hash"])
+            columns = [*(batch.column(c) for c in keep), pa.array(numbers, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "sequence", "prev_hash", "hash"])
 
-    schema = ordered.select(*keep).schema.add("prev_hash", "string").add("hash", "string")
+    schema = ordered.select(*keep).schema.add("sequence", "long").add("prev_hash", "string").add("hash", "string")
     return ordered.mapInArrow(walk, schema).withColumn("stream_id", stream_id())
 
 

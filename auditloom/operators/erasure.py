@@ -19,7 +19,9 @@ def erasure_overlay(events: DataFrame, erasures: DataFrame) -> DataFrame:
     w = Window.partitionBy("e_subject").orderBy("e_at", "e_id")
     firsts = erasures.where("subject_id <> ''").select(F.col("subject_id").alias("e_subject"), F.col("created_at").alias("e_at"), F.col("id").alias("e_id")).groupBy("e_subject", "e_at").agg(F.min("e_id").alias("e_id"))
     spans = firsts.withColumn("e_since", F.lag("e_at").over(w))
-    hit = (F.col("subject_id") == F.col("e_subject")) & (F.col("timestamp") <= F.col("e_at")) & (F.col("e_since").isNull() | (F.col("timestamp") > F.col("e_since")))
+    # events without a subject match nothing; a key of their own keeps them from meeting in one task
+    key = F.when(F.col("subject_id") == "", F.concat(F.lit("\0"), F.col("id"))).otherwise(F.col("subject_id"))
+    hit = (key == F.col("e_subject")) & (F.col("timestamp") <= F.col("e_at")) & (F.col("e_since").isNull() | (F.col("timestamp") > F.col("e_since")))
     joined = events.drop("erased", "erased_at", "erasure_id").join(spans, hit, "left")
     return joined.select(*(c for c in events.columns if c not in ("erased", "erased_at", "erasure_id")), F.col("e_id").isNotNull().alias("erased"), F.col("e_at").alias("erased_at"), F.coalesce("e_id", F.lit("")).alias("erasure_id"))
 

@@ -99,7 +99,7 @@ def _resumed(e: DataFrame) -> DataFrame:
     """Half a month is stored, the rest goes on from its heads."""
     old, new = (e.where(f"timestamp {op} TIMESTAMP_NTZ '2024-01-15'") for op in ("<", ">="))
     stored = chain.append_chain(old)
-    return stored.select(_chained).unionByName(chain.append_chain(new, stored).select(_chained))
+    return stored.select(_chained).unionByName(chain.append_chain(new, chain.heads(stored)).select(_chained))
 
 
 query("stream_heads", f"SELECT app_id, tenant_id, {STREAM} AS stream_id, max(sequence) AS head_seq, max_by(hash, sequence) AS head_hash FROM chain GROUP BY app_id, tenant_id", True)(lambda e: chain.heads(chain.append_chain(e)))

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import rfc3339_nano
@@ -130,6 +130,12 @@ class JdbcSink:
         events.write.format("jdbc").options(url=self.url, dbtable=self.table, **self.options).mode("append").save()
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A table of a database with a JDBC driver on the class path; read in `parts` ranges of a numeric key if one is given."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    return (reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts) if key else reader).load()
+
+
 class MultiSink:
     """Writes to each sink in turn; a sink's error is logged and stops no other."""
 

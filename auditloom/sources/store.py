@@ -17,16 +17,20 @@ from ..operators.chain import append_chain, assert_unique, heads
 from ..schema import ARCHIVES, ERASURES, EVENTS, KEYS, POLICIES, REPORTS, normalised, struct
 
 POINTER = struct("generation string, version bigint")
+HEADS = struct("app_id string, tenant_id string, stream_id string, head_seq bigint, head_hash string")
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _exists(self, path: str) -> bool:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(found)
+
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         """A table; one that was never written is empty."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        if not self._exists(f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
 
@@ -40,14 +44,26 @@ class Store:
     def events(self) -> DataFrame:
         return self._read(self._generation()[0], EVENTS)
 
-    def append(self, events: DataFrame, check: bool = True) -> DataFrame:
-        """Chains new events onto the stored ones and writes them as one batch, which appears as a whole or not at all. Gives back the batch. One writer at a time."""
-        batch = f"{self._generation()[0]}/batch-{uuid.uuid4().hex}"
-        chained = normalised(append_chain(normalised(events), self.events()))
-        chained.write.parquet(f"{self.path}/{batch}")
-        if check:
-            assert_unique(self.events())
-        return self.spark.read.schema(EVENTS).parquet(f"{self.path}/{batch}")
+    def heads(self) -> DataFrame:
+        """The head of each chain, from the log of heads: appending never scans events. A purge does not move heads."""
+        return self._read("heads", HEADS).groupBy("app_id", "tenant_id").agg(F.max_by(F.struct("stream_id", "head_seq", "head_hash"), "head_seq").alias("h")).select("app_id", "tenant_id", "h.*")
+
+    def append(self, events: DataFrame, name: str | None = None) -> DataFrame:
+        """Chains new events onto the stored heads and writes them as one batch, which appears as a whole or not at all. Gives back the batch. One writer at a time.
+
+        A named batch is written once: a name that is there already is only read.
+        """
+        path = f"{self.path}/{self._generation()[0]}/batch-{name or uuid.uuid4().hex}"
+        if not self._exists(f"{path}/_SUCCESS"):
+            normalised(append_chain(normalised(events), self.heads())).write.mode("overwrite").parquet(path)
+        batch = self.spark.read.schema(EVENTS).parquet(path)
+        assert_unique(batch)
+        heads(batch).select(*HEADS.names).write.mode("append").parquet(f"{self.path}/heads")
+        return batch
+
+    def repair_heads(self) -> None:
+        """Logs the heads that the events show: for after a failure between a batch and its heads."""
+        heads(self.events()).select(*HEADS.names).write.mode("append").parquet(f"{self.path}/heads")
 
     def replace_events(self, survivors: DataFrame) -> None:
         """Makes these rows the table."""
@@ -57,9 +73,9 @@ class Store:
         self._append("pointer", self.spark.createDataFrame([(name, version + 1)], POINTER), POINTER)
 
     def streams(self) -> DataFrame:
-        """Chain heads: a view of events, never stored."""
+        """Chain heads with the times of the first and last event."""
         times = self.events().groupBy("app_id", "tenant_id").agg(F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"))
-        return heads(self.events()).join(times, ["app_id", "tenant_id"]).select(F.col("stream_id").alias("id"), "app_id", "tenant_id", "head_hash", "head_seq", "created_at", "updated_at")
+        return self.heads().join(times, ["app_id", "tenant_id"]).select(F.col("stream_id").alias("id"), "app_id", "tenant_id", "head_hash", "head_seq", "created_at", "updated_at")
 
     def _live(self, name: str, schema: T.StructType, key: str, by: str) -> DataFrame:
         w = Window.partitionBy(key).orderBy(F.desc(by), F.desc("deleted"))

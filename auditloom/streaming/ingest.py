@@ -116,7 +116,7 @@ class Recorder:
     alert_handlers: list[Callable[[DataFrame], None]] = field(default_factory=list)
     quarantine: Callable[[DataFrame], None] | None = None
 
-    def record(self, events: DataFrame) -> DataFrame:
+    def record(self, events: DataFrame, name: str | None = None) -> DataFrame:
         """Scope, defaults, hooks, validation, chains, store; then sinks, hooks and alerts. Gives the recorded batch. An error of a hook or sink is logged and stops nothing."""
         rows = with_defaults(self.scope.fill(normalised(events)))
         for hook in self.before:
@@ -128,7 +128,7 @@ class Recorder:
         valid, invalid = validated(rows)
         if self.quarantine is not None:
             self.quarantine(invalid)
-        batch = self.store.append(valid)
+        batch = self.store.append(valid, name)
         for done in [*(s.write for s in self.sinks), *self.after]:
             try:
                 done(batch)
@@ -143,19 +143,12 @@ class Recorder:
         """Records a stream: each micro-batch is recorded once, retried from the checkpoint after a failure. Without an interval it takes what is there and ends."""
 
         def each(batch: DataFrame, batch_id: int) -> None:
-            marker = f"{self.store.path}/stream-batches"
-            done = self.store._read("stream-batches", BATCHES).where((F.col("checkpoint") == checkpoint) & (F.col("batch") == batch_id))
-            if done.isEmpty():
-                self.record(batch)
-                batch.sparkSession.createDataFrame([(checkpoint, batch_id)], BATCHES).write.mode("append").parquet(marker)
+            self.record(batch, f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{batch_id}")
 
         writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-BATCHES = "checkpoint string, batch bigint"
-
-
 def chained_stream(events: DataFrame) -> DataFrame:
     """Chains a stream with the head of each chain as state: id, app_id, tenant_id, timestamp, sequence, prev_hash, hash. Within a micro-batch, in (timestamp, id) order."""
     tailed = with_canonical(events).withColumn("tail", content(F.lit(""))).select("id", *SCOPE, "timestamp", "tail")

@@ -297,6 +297,16 @@ def test_stream_recording_restarts_without_repeats(spark, tmp_path):
     assert engine.verify_chain(Scope()).where("valid and verified = 5").count() == 2
 
 
+def test_named_batches_and_head_repair(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"))
+    first = engine.store.append(events(spark, 3), "one")
+    again = engine.store.append(events(spark, 3), "one")
+    assert first.count() == again.count() == engine.store.events().count() == 3
+    engine.store.repair_heads()
+    more = engine.store.append(events(spark, 2).withColumn("id", F.concat("id", F.lit("x"))))
+    assert sorted(r.sequence for r in more.collect()) == [4, 5] and engine.verify_chain(Scope()).first().valid
+
+
 def test_chained_stream_keeps_heads(spark, tmp_path):
     source = str(tmp_path / "in")
     df = events(spark, 12)
