@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, text_of
+from .common import BLANKS, LOWER, UPPER, text_of, written
 
 #: Stands for a null id inside the operator.
 NO_ID = -(1 << 63)
@@ -38,7 +38,8 @@ def line_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lines = docs.select(F.coalesce(docs[id_column], F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("content"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     lines = lines.select("id", "content", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
-    firsts = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    # written, so that AQE sees two plain shuffles below the join and can split a range that one line fills
+    firsts = written(lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), "firsts")
     return lines.join(firsts, ["h1", "h2"]).where("id > first").groupBy("id", "content").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
