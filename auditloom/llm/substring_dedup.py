@@ -2,13 +2,19 @@
 
 1. Each window of `length` bytes is assigned its minimiser, the smallest hash of its k-grams; neighbouring windows with
    one minimiser form a run. Equal windows have equal minimisers, so only runs of one minimiser can share a window. Runs
-   leave the tasks as fixed-width records (hashes, document, place), without text, in a row per task and bucket.
+   leave the tasks as fixed-width records (hashes, document, place), without text, in a row per batch and bucket. Runs
+   of equal bytes in one batch are settled there, so copies that fill a third of all rows cost a record per batch.
 2. Per bucket of minimisers: runs with a minimiser of their own are done. Runs of equal bytes collapse to the earliest;
    all windows of the others start earlier elsewhere. Minimisers with two or more distinct runs need their text.
 3. The texts of those runs, a few per document, are dealt by minimiser. In each task a suffix order and its
    Burrows-Wheeler transform are built over bounded groups of them; breadth-first backward extension finds interval
    borders by increasing common prefix and stops at `length`. Suffixes between borders share at least `length` bytes;
    all but the earliest of each class are marked.
+
+A passage in very many contexts gives one minimiser very many distinct runs. If a batch has over `local_hot` of them, it
+deals its records by content and tells step 2 that the minimiser is hot; step 2 also calls one hot that has over
+`hot_runs`. Hot runs are cut at every eighth window from the minimiser on, and the pieces are dealt by the bytes that
+their windows have in common, equal pieces of a batch combined first. So no task gets all records or text of a minimiser.
 4. The marks return to the documents, where covered bytes are cut.
 
 No two equal windows lie in one run (the leftmost smallest k-gram would lie at two places of it), so step 3 sees every
@@ -25,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +44,16 @@ GRAM = 24
 BLOCK, PLACE_BITS = 1 << 20, 22
 #: Bytes of run text under one suffix order.
 GROUP = 1 << 20
+#: Distinct runs of one minimiser that are compared in one task, and that one batch sends to one task.
+HOT_RUNS, LOCAL_HOT = 10_000, 64
+#: Windows in a piece of a hot run.
+PIECE = 8
+#: Flags in the count of windows: the run is settled; its minimiser is hot. A count of 0 says that a minimiser is hot.
+SETTLED, SPREAD, HOT = 1 << 15, 1 << 14, 1 << 31
 BASE = 0x9E3779B97F4A7C15 | 1
-RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("content", "<i4"), ("start", "<u4"), ("n", "<u2")])
+RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("content", "<i4"), ("start", "<u4"), ("n", "<u2"), ("at", "<u2")])
 MARK = np.dtype([("start", "<u4"), ("n", "<u4")])
-WANT = np.dtype([("start", "<u4"), ("n", "<u4"), ("h", "<u8")])
+WANT = np.dtype([("start", "<u4"), ("n", "<u4"), ("h", "<u8"), ("at", "<u4")])
 
 
 class Powers:
@@ -57,11 +70,11 @@ class Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def minimiser_runs(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end in data: place, number of windows, minimiser hash and content hash of each run."""
+def minimiser_runs(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end in data: place, number of windows, minimiser hash, content hash and distance to the minimiser of each run."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     power = lambda e: np.uint64(pow(BASE, e, 1 << 64))
     one = data.astype(np.uint64) + np.uint64(1)
     two = one[:-1] * power(1) + one[1:]
@@ -97,7 +110,8 @@ def minimiser_runs(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[n
     sums = np.concatenate([[np.uint64(0)], np.cumsum(one * up)])
     content = (sums[places + count + length - 1] - sums[places]) * down[places] + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     content ^= content >> np.uint64(31)
-    return places, count, h[(low[places] & mask).astype(np.int64)], content
+    at = (low[places] & mask).astype(np.int64)
+    return places, count, h[at], content, at - places
 
 
 def blocks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -204,20 +218,46 @@ def per_document(doc: np.ndarray, content: np.ndarray, *fields: np.ndarray) -> I
             yield int(doc[a]), int(content[a]), [f[a:b] for f in fields]
 
 
-def _runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+def later_copies(runs: np.ndarray) -> np.ndarray:
+    """Which runs have the bytes of an earlier run of another document or place."""
+    if not len(runs):
+        return np.zeros(0, dtype=bool)
+    both = runs["h"] ^ (runs["s"] << np.uint64(1))
+    order = np.argsort(both, kind="stable")
+    alike = both[order][1:] == both[order][:-1]
+    some = order[np.append(alike, False) | np.append(False, alike)]
+    some = some[np.lexsort((runs["start"][some], runs["content"][some], runs["doc"][some], runs["s"][some], runs["h"][some]))]
+    out = np.zeros(len(runs), dtype=bool)
+    if len(some):
+        r = runs[some]
+        new = np.append(True, (r["h"][1:] != r["h"][:-1]) | (r["s"][1:] != r["s"][:-1]))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+        out[some] = (r["doc"] != r["doc"][first]) | (r["content"] != r["content"][first]) | (r["start"] != r["start"][first])
+    return out
+
+
+def _runs(rows: DataFrame, length: int, buckets: int, local_hot: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, contents = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = []
             for data, begins, which, offset in blocks(buffers(batch.column(2)), length):
-                places, count, h, s = minimiser_runs(data, begins, length)
+                places, count, h, s, at = minimiser_runs(data, begins, length)
                 k = np.searchsorted(begins, places, side="right") - 1
                 part = np.empty(len(places), dtype=RUN)
-                part["h"], part["s"], part["doc"], part["content"], part["start"], part["n"] = h, s, docs[which[k]], contents[which[k]], places - begins[k] + offset[k], count
+                part["h"], part["s"], part["doc"], part["content"], part["start"], part["n"], part["at"] = h, s, docs[which[k]], contents[which[k]], places - begins[k] + offset[k], count, at
                 found.append(part)
             if found:
                 runs = np.concatenate(found)
-                bucket = (runs["h"] % np.uint64(buckets)).astype(np.int32)
+                runs["n"][later_copies(runs)] |= SETTLED
+                seen, count = np.unique(runs["h"][runs["n"] < SETTLED], return_counts=True)
+                hot = seen[count > local_hot]
+                runs["n"][(runs["n"] < SETTLED) & np.isin(runs["h"], hot)] |= SPREAD
+                notes = np.zeros(len(hot), dtype=RUN)
+                notes["h"] = hot
+                runs = np.concatenate([runs, notes])
+                spread = np.select([runs["n"] >= SETTLED, runs["n"] >= SPREAD], [runs["doc"].astype(np.uint64), runs["h"] ^ runs["s"]], runs["h"])
+                bucket = (spread % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 runs, bucket = runs[order], bucket[order]
                 cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
@@ -227,30 +267,43 @@ def _runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, runs binary")
 
 
-def _settled(runs: DataFrame, length: int) -> DataFrame:
+def _settled(runs: DataFrame, hot_runs: int) -> DataFrame:
     """doc, content, marks (settled runs), wants (runs whose text is needed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.concatenate([np.zeros(0, RUN), *(np.frombuffer(x.as_buffer(), dtype=RUN) for batch in batches for x in batch.column(1))])
         if not len(got):
             return
+        done, spread = got[got["n"] >= SETTLED], got[(got["n"] >= SPREAD) & (got["n"] < SETTLED)]
+        done["n"] -= SETTLED
+        spread["n"] -= SPREAD
+        told = got["h"][got["n"] == 0]
+        got = got[(got["n"] > 0) & (got["n"] < SPREAD)]
         got = got[np.argsort(got["h"], kind="stable")]
-        alike = got["h"][1:] == got["h"][:-1]
-        got = got[np.append(alike, False) | np.append(False, alike)]
-        got = got[np.lexsort((got["start"], got["content"], got["doc"], got["s"], got["h"]))]
-        if not len(got):
+        hot = np.isin(got["h"], told)
+        if len(got):
+            alike = got["h"][1:] == got["h"][:-1]
+            use = hot | np.append(alike, False) | np.append(False, alike)
+            got, hot = got[use], hot[use]
+        later = later_copies(got)
+        distinct = np.unique(got[~later][["h", "s"]]) if len(got) else got[["h", "s"]]  # records that repeat one place count once
+        h, kinds = np.unique(distinct["h"], return_counts=True)
+        kinds = kinds[np.searchsorted(h, got["h"])] if len(h) else np.zeros(len(got), dtype=np.int64)
+        hot |= kinds > hot_runs
+        want = ~later & (hot | (kinds > 1))
+        again = later_copies(spread)
+        got = np.concatenate([got, spread, done])
+        later = np.concatenate([later, again, np.ones(len(done), dtype=bool)])
+        want = np.concatenate([want, ~again, np.zeros(len(done), dtype=bool)])
+        hot = np.concatenate([hot, np.ones(len(spread), dtype=bool), np.zeros(len(done), dtype=bool)])
+        use = later | want
+        if not use.any():
             return
-        new_h = np.append(True, got["h"][1:] != got["h"][:-1])
-        new_s = new_h | np.append(True, got["s"][1:] != got["s"][:-1])
-        first = np.maximum.accumulate(np.where(new_s, np.arange(len(got)), 0))
-        later = (got["doc"] != got["doc"][first]) | (got["content"] != got["content"][first]) | (got["start"] != got["start"][first])
-        kinds = np.add.reduceat(new_s.astype(np.int64), np.flatnonzero(new_h))
-        want = new_s & (kinds[np.cumsum(new_h) - 1] > 1)
         marks, wants = np.zeros(len(got), MARK), np.zeros(len(got), WANT)
         for out in (marks, wants):
             out["start"], out["n"] = got["start"], got["n"]
-        wants["h"] = got["h"]
-        use = later | want
+        wants["h"], wants["at"] = got["h"], got["at"]
+        wants["n"][hot] |= HOT
         rows = [(d, c, m[k].tobytes(), w[v].tobytes()) for d, c, (m, w, k, v) in per_document(got["doc"][use], got["content"][use], marks[use], wants[use], later[use], want[use])]
         for at in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000], strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc", "content", "marks", "wants"])
@@ -258,19 +311,49 @@ def _settled(runs: DataFrame, length: int) -> DataFrame:
     return runs.mapInArrow(run, "doc long, content int, marks binary, wants binary")
 
 
+def pieces(text: bytes, start: int, n: int, at: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """Of a hot run: key, first window and number of windows of each piece. Equal windows lie in pieces of equal key: pieces end at fixed distances from the minimiser, and the key hashes the bytes that all windows of a whole piece share."""
+    middle = start + at
+    for block in range((start - middle) // PIECE, (start + n - 1 - middle) // PIECE + 1):
+        low = middle + PIECE * block
+        first, end = max(start, low), min(start + n, low + PIECE)
+        yield xxhash.xxh64_intdigest(text[low + PIECE - 1 : low + length]), first, end - first
+
+
 def _texts_of_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket, h, doc, content, start, text of the wanted runs."""
+    """bucket, h, doc, content, start, n, text of the wanted runs, and of the pieces of hot ones. Null text: all n windows start earlier, too."""
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "h", "doc", "content", "start", "n", "text"])
+
+    def combined(found: list[tuple]) -> list[tuple]:
+        """Of equal pieces all but the earliest lose their text."""
+        out, last = [], None
+        for text, doc, content, start, n, key in sorted(set(found)):
+            out.append((key % buckets if text != last else doc % buckets, key - (1 << 63), doc, content, start, n, text if text != last else None))
+            last = text
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list[tuple] = []
         for batch in batches:
             out: list[tuple] = []
             for doc, content, text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), buffers(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                for w in np.frombuffer(b"".join(wants), dtype=WANT).tolist():
-                    out.append((w[2] % buckets, w[2] - (1 << 63), doc, content, w[0], text[w[0] : w[0] + w[1] + length - 1]))
+                for start, n, h, at in np.frombuffer(b"".join(wants), dtype=WANT).tolist():
+                    if n >= HOT:
+                        hot += [(text[w : w + k + length - 1], doc, content, w, k, key) for key, w, k in pieces(text, start, n - HOT, at, length)]
+                    else:
+                        out.append((h % buckets, h - (1 << 63), doc, content, start, n, text[start : start + n + length - 1]))
+                if len(hot) >= 200_000:
+                    yield batch_of(combined(hot))
+                    hot = []
             for at in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 20_000], strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "h", "doc", "content", "start", "text"])
+                yield batch_of(out[at : at + 20_000])
+        if hot:
+            yield batch_of(combined(hot))
 
-    return rows.mapInArrow(run, "bucket int, h long, doc long, content int, start long, text binary")
+    return rows.mapInArrow(run, "bucket int, h long, doc long, content int, start long, n int, text binary")
 
 
 def _compared(texts: DataFrame, length: int) -> DataFrame:
@@ -278,11 +361,13 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
     field = np.dtype([("doc", "<i8"), ("content", "<i4"), ("start", "<i8")])
 
     def marks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        known = np.array([(x[1], x[2], x[3] + k) for x in held if x[5] is None for k in range(x[4])], dtype=field)
+        held = [x for x in held if x[5] is not None]
         info = np.array([x[1:4] for x in held], dtype=field)
-        found = repeated([x[4] for x in held], info, length)
-        if not len(found):
+        found = repeated([x[5] for x in held], info, length) if held else np.zeros((0, 2), dtype=np.int64)
+        info, offset = np.concatenate([info[found[:, 0]], known]), np.append(found[:, 1], np.zeros(len(known), dtype=np.int64))
+        if not len(info):
             return
-        info, offset = info[found[:, 0]], found[:, 1]
         rows = []
         for doc, content, (start,) in per_document(info["doc"], info["content"], info["start"] + offset):
             start = np.sort(start)
@@ -295,16 +380,16 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if size >= GROUP and row[0] != held[-1][0]:
                     yield from marks(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5] or b"")
         if held:
             yield from marks(held)
 
-    return texts.select("h", "doc", "content", "start", "text").mapInArrow(run, "doc long, content int, marks binary")
+    return texts.select("h", "doc", "content", "start", "n", "text").mapInArrow(run, "doc long, content int, marks binary")
 
 
 def covered(marks: list[bytes], length: int) -> list[tuple[int, int]]:
@@ -316,7 +401,7 @@ def covered(marks: list[bytes], length: int) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist() if len(end) else [], strict=True))
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, carry: tuple[str, ...] = (), as_text: bool = False, hot_runs: int = HOT_RUNS, local_hot: int = LOCAL_HOT) -> DataFrame:
     """One row per input row: doc_id, carried columns, n_bytes, n_removed, n_spans, spans (array of start, end), kept (the remaining bytes).
 
     as_text: kept is a string, without the rest of a character that a cut has broken.
@@ -328,7 +413,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = text_of(docs, text_column)
     key = [F.coalesce(docs[id_column].cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.hash(text), F.lit(0)).alias("content")]
     plain = docs.select(*key, text.cast("binary").alias("bytes"))
-    settled = written(_settled(_runs(plain, length, buckets).repartition(n, "bucket"), length), "runs")
+    settled = written(_settled(_runs(plain, length, buckets, local_hot).repartition(n, "bucket"), hot_runs), "runs")
 
     keyed = docs.select(*key, text.cast("binary").alias("bytes"), *(docs[c].alias(f"carry_{c}") for c in carry)).repartition(n, "doc", "content")
     wants = settled.where(F.length("wants") > 0).groupBy("doc", "content").agg(F.collect_list("wants").alias("wants"))

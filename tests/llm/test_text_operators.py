@@ -106,13 +106,13 @@ def substring_model(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("seed", "length"), [(1, 100), (2, 100), (3, 50)])
-def test_substring_dedup(spark, seed, length):
+@pytest.mark.parametrize(("seed", "length", "hot", "local"), [(1, 100, 10_000, 64), (2, 100, 10_000, 64), (3, 50, 10_000, 64), (1, 100, 2, 64), (4, 60, 5, 3), (5, 100, 10_000, 0), (6, 100, 3, 6)])
+def test_substring_dedup(spark, seed, length, hot, local):
     rows = corpus(seed, 80)
     rnd = random.Random(seed)
     shared = "".join(rnd.choice("xyz ") for _ in range(length))
     rows += [(1000 + i, f"{i * 7919:d}{shared}{i}" + "ab" * rnd.randint(0, 90)) for i in range(40)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.substring_dedup(docs_of(spark, rows), length=length).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.substring_dedup(docs_of(spark, rows + rows[-9:]), length=length, hot_runs=hot, local_hot=local).collect()}
     assert got == substring_model(rows, length)
 
 
