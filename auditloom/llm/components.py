@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = stars.unionByName(stars.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        low = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
+        low = written(both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low")), "low")  # AQE can then split a hub's rows
         large = both.join(low, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
         low = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(low, "node").select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("low").alias("root")), F.struct("node", F.col("low").alias("root")))).alias("e"))

@@ -105,7 +105,7 @@ def near_links(distinct: DataFrame, most_bits: int = 2, n_pivots: int = 24, grou
     refs = pivots(n_pivots)
     part = lambda i: F.shiftright("fp", 16 * i).bitwiseAND(0xFFFF)
     keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(n).alias("pair"), (part(a) * 65536 + part(b)).alias("bits")) for n, (a, b) in enumerate(BLOCK_PAIRS)))).alias("k")).select("fp", "k.*")
-    sizes = keyed.groupBy("pair", "bits").count().where("count > 1")
+    sizes = written(keyed.groupBy("pair", "bits").count().where("count > 1"), "sizes")  # two plain shuffles below the join, which AQE can split
     keyed = keyed.join(sizes, ["pair", "bits"])
     cells = F.array(F.lit(0))
     for ref in refs[:CELL_PIVOTS].view(np.int64).tolist():
