@@ -113,10 +113,10 @@ def count_grams(docs: DataFrame, text_column: str = "text", order: int = ORDER)
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], float]:
     """For each order 1..order: gram, n, p (interpolated), backoff (of the gram as a context; not at the highest order). And the probability of an unseen byte."""
-    tables = [counts]
+    tables = [written(counts, f"counts{order}")]
     for k in range(order - 1, 0, -1):
-        tables.insert(0, tables[0].groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    tables = [written(t, f"counts{k}") for k, t in enumerate(tables, 1)]
+        continued = tables[0].groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        tables.insert(0, written(continued, f"counts{k}"))
     lower, out, unseen = None, [], 1 / 256
     for k, grams_k in enumerate(tables, 1):
         n = [r or 0 for r in grams_k.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()]
