@@ -5,8 +5,9 @@ discounts, probabilities and backoff weights by aggregations and joins. The mode
 per order; hashes have `hash_bits` bits, so an array has at most 2**hash_bits entries whatever the corpus, which bounds
 what is broadcast. Bytes rather than words are the symbols because the counts of word n-grams grow as the corpus and
 could only be looked up by another shuffle of all tokens. A document's perplexity is per byte. Each language gets its
-own band in log perplexity, [q1 - width * iqr, q3 + width * iqr] over all its documents that pass the base rules;
-languages with fewer than `least_docs` such documents take the band of the whole corpus.
+own band in log perplexity at every size, [q1 - width * iqr, q3 + width * iqr] over all its documents that pass the base
+rules, about its own median; the fewer these documents are, the more the spread of all languages about their medians
+counts.
 
 Defined cases: null text is empty and fails the base rules, its perplexity is 1; null lang is a language of its own;
 repeated rows count as often as they occur; an empty table gives an empty result; other columns are ignored.
@@ -229,23 +230,39 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def bands(scored: DataFrame, width: float = 4.0, least_docs: int = 100) -> tuple[DataFrame, tuple[float, float]]:
-    """lang, low, high; and the band of the whole corpus."""
-    ends = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), 1000)
+def bands(scored: DataFrame, measure: str = "log_perplexity", prior: int = 100) -> DataFrame:
+    """band_lang, q1, q3 of the measure: a row per language that has documents which pass the base rules.
+
+    A language has its own median. Its distances to the quartiles are drawn towards those of all documents about the
+    medians of their languages, as if `prior` such documents were among its own.
+    """
     passed = scored.where("not base_failed")
-    low, high = F.col("q")[0] - width * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] + width * (F.col("q")[1] - F.col("q")[0])
-    whole = passed.agg(ends.alias("q")).select(low, high).first()
-    own = passed.groupBy("lang").agg(ends.alias("q"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least_docs)
-    return own.select(F.col("lang").alias("band_lang"), low.alias("low"), high.alias("high")), tuple(whole) if whole[0] is not None else (0.0, 0.0)
+    ends = F.percentile_approx(measure, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q")
+    own = written(passed.groupBy("lang").agg(ends, F.count(F.lit(1)).alias("docs")).withColumnRenamed("lang", "band_lang"), "medians")
+    about = _with_bands(passed, own).select((F.col(measure) - F.col("q")[1]).alias(measure)).agg(ends).first()[0]
+    below, above = (-about[0], about[2]) if about else (0.0, 0.0)
+    share = F.col("docs") / (F.col("docs") + prior)
+    return written(own.select(
+        "band_lang", (F.col("q")[1] - share * (F.col("q")[1] - F.col("q")[0]) - (1 - share) * below).alias("q1"),
+        (F.col("q")[1] + share * (F.col("q")[2] - F.col("q")[1]) + (1 - share) * above).alias("q3"),
+    ), "bands")
+
+
+def _with_bands(scored: DataFrame, own: DataFrame) -> DataFrame:
+    if own.count() <= 10_000:  # else Spark joins by shuffling
+        own = F.broadcast(own)
+    return scored.join(own, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
+
 
+def banded(scored: DataFrame, measure: str, width: tuple[float, float], low: str, high: str, prior: int = 100) -> DataFrame:
+    """Adds low and high: q1 and q3 of the language, widened by so many of its interquartile ranges. A language without documents that pass the base rules has an empty band, which decides nothing."""
+    iqr = F.col("q3") - F.col("q1")
+    joined = _with_bands(scored, bands(scored, measure, prior))
+    return joined.withColumn(low, F.coalesce(F.col("q1") - width[0] * iqr, F.lit(0.0))).withColumn(high, F.coalesce(F.col("q3") + width[1] * iqr, F.lit(0.0))).drop("q1", "q3")
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 4.0, least_docs: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 4.0, prior: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """score() with perplexity, low and high (the band in log perplexity) and kept."""
     scored = written(score(docs, train(docs, text_column), id_column, text_column, lang_column, carry), "scored")
-    own, (low, high) = bands(scored, width, least_docs)
-    own = written(own, "bands")
-    if own.count() <= 10_000:  # else Spark joins by shuffling
-        own = F.broadcast(own)
-    judged = scored.join(own, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
-    judged = judged.withColumn("low", F.coalesce("low", F.lit(low))).withColumn("high", F.coalesce("high", F.lit(high)))
+    judged = banded(scored, "log_perplexity", (width, width), "low", "high", prior)
     return judged.withColumn("perplexity", F.exp("log_perplexity")).withColumn("kept", ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high")))

@@ -342,6 +342,19 @@ def test_quality_rules(spark):
     assert perplexity.quality_rules(docs_of(spark, [])).count() == 0
 
 
+def test_band_of_a_rare_language(spark):
+    """A language of 30 documents judges its own, whatever the level and number of the others."""
+    rnd = random.Random(12)
+    rows = [("aa" if i < 400 else "bb", rnd.gauss(2 if i < 400 else 9, 0.1), i in (0, 400)) for i in range(430)]
+    rows += [("aa", 9.0, False), ("bb", 2.0, False), ("bb", 7.5, False), ("cc", 5.0, False), ("dd", 5.0, True)]
+    scored = spark.createDataFrame(rows, "lang string, log_perplexity double, base_failed boolean")
+    got = [r.asDict() for r in perplexity.banded(scored, "log_perplexity", (4.0, 4.0), "low", "high").collect()]
+    inside = {(r["lang"], r["log_perplexity"]): r["low"] <= r["log_perplexity"] <= r["high"] for r in got if not r["base_failed"]}
+    assert len(got) == len(rows)
+    assert not any(inside[k] for k in [("aa", 9.0), ("bb", 2.0), ("bb", 7.5)]) and inside["cc", 5.0]
+    assert all(inside[lang, x] for lang, x, failed in rows[:430] if not failed)
+
+
 def test_model_backs_off(spark):
     texts = ["abcabcabd", "bcdabcc", "xyz"]
     model = perplexity.train(docs_of(spark, list(enumerate(texts))))
