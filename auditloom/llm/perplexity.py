@@ -9,6 +9,12 @@ own band in log perplexity at every size, [q1 - width * iqr, q3 + width * iqr] o
 rules, about its own median; the fewer these documents are, the more the spread of all languages about their medians
 counts.
 
+With labels there is a second measure, which gathers as much as the corpus has words: the mean over a document's words
+of -log(n / all words). Every distinct word is counted under its 64-bit hash. Tasks get the frequent words as a sorted
+array; the other words of the documents meet the whole table in a join. Decoration that a few documents put on words
+makes them rare, layout tokens make them frequent, though the model has seen that junk, too. The lower and upper widths
+of this band, by language as above, are those with the fewest errors on labelled training rows.
+
 Defined cases: null text is empty and fails the base rules, its perplexity is 1; null lang is a language of its own;
 repeated rows count as often as they occur; an empty table gives an empty result; other columns are ignored.
 """
@@ -19,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +39,12 @@ SYMBOLS = b"#*$%&|<>"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once.
 BLOCK = 1 << 22
+#: Bytes whose words are hashed at once; distinct words that a task holds before it passes counts on; most words sent to the tasks as an array.
+WORD_BLOCK, WORDS_HELD, WORDS_SENT = 1 << 20, 1 << 21, 1 << 20
+WORD_BASE = 0x9E3779B97F4A7C15
+#: Steps of an interquartile range in which widths are sought, and the largest.
+STEPS, MOST_STEPS = 20, 400
+IS_BLANK = np.isin(np.arange(256), list(BLANK_BYTES))
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -212,24 +225,129 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     return Model.build(*kneser_ney(count_grams(docs, text_column)))
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, base_failed."""
+def word_hashes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of blocks of whole texts: the 64-bit hash of each word, and where the words of each text begin."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        held.append(text)
+        size += len(text) + 1
+        if size < WORD_BLOCK and k < len(texts) - 1:
+            continue
+        data = np.frombuffer(b"\n" + b"\n".join(held), dtype=np.uint8)
+        blank = IS_BLANK[data]
+        starts = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+        begins = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in held[:-1])]))
+        if len(starts):
+            place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+            codes = np.where(blank, np.uint64(0), data.astype(np.uint64) + np.uint64(1))[starts[0] :]
+            powers = np.cumprod(np.full(int(place.max()) + 1, WORD_BASE, dtype=np.uint64))
+            h = np.add.reduceat(codes * powers[place], starts - starts[0])
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
+        else:
+            h = np.zeros(0, dtype=np.uint64)
+        yield h.view(np.int64), begins
+        held, size = [], 0
+
+
+def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """word (its hash), n: over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        waiting, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, place = np.unique(np.concatenate([keys, *(x for x, _ in waiting)]), return_inverse=True)
+            return found, np.bincount(place, weights=np.concatenate([counts, *(n for _, n in waiting)])).astype(np.int64)
+
+        for batch in batches:
+            for h, _ in word_hashes(buffers(batch.column(0))):
+                waiting.append(np.unique(h, return_counts=True))
+                size += len(waiting[-1][0])
+                if size >= WORDS_HELD:
+                    keys, counts = merged()
+                    waiting, size = [], 0
+                    if len(keys) >= WORDS_HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
+                        keys, counts = keys[:0], counts[:0]
+        keys, counts = merged()
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["word", "n"])
+
+    return docs.select(text_of(docs, text_column).cast("binary").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Words:
+    """The counts of all words: the frequent ones (from `least` occurrences on) as a sorted array for tasks, all of them as a table."""
+
+    def __init__(self, table: DataFrame, most_sent: int = WORDS_SENT):
+        self.table = table
+        sizes = {r["k"]: (r["words"], r["n"]) for r in table.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()}
+        self.total = sum(n for _, n in sizes.values())
+        above, self.least = 0, 1 << (max(sizes, default=0) + 1)
+        for k in sorted(sizes, reverse=True):
+            above += sizes[k][0]
+            if above > most_sent:
+                break
+            self.least = 1 << k
+        frequent = table.where(F.col("n") >= self.least).select("word", F.log("n").cast("float").alias("v")).toArrow().sort_by("word")
+        self.frequent = frequent.column(0).to_numpy(), frequent.column(1).to_numpy()
+
+
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", carry: tuple[str, ...] = (), words: Words | None = None) -> DataFrame:
+    """doc_id, lang, carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, base_failed. With words: row, word_sum and rare, for word_perplexity()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    frequent = docs.sparkSession.sparkContext.broadcast(words.frequent) if words else None
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kept = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[lang_column].cast("string").alias("lang"), *(docs[c].alias(f"carry_{c}") for c in carry), text_of(docs, text_column).cast("binary").alias("bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for batch in batches:
             texts = buffers(batch.column(batch.num_columns - 1))
             counts = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
             columns = [*batch.columns[:-1], *(pa.array(counts[:, i]) for i in range(5)), pa.array(shared.value.log_perplexities(texts))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names, "log_perplexity"])
+            if frequent:
+                row = np.arange(len(texts)) + done + (TaskContext.get().partitionId() << 40)
+                columns += [pa.array(row), *looked_up(texts)]
+                done += len(texts)
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names, "log_perplexity", *(["row", "word_sum", "rare"] if frequent else [])])
+
+    def looked_up(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """For each text the sum of the logarithms of its frequent words' counts, and its other words."""
+        keys, values = frequent.value
+        sums, sizes, others = [], [], []
+        for h, begins in word_hashes(texts):
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            found = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
+            value = np.concatenate([[0.0], np.cumsum(np.where(found, values[at], 0) if len(keys) else np.zeros(len(h)), dtype=np.float64)])
+            missing = np.concatenate([[0], np.cumsum(~found)])
+            ends = np.append(begins[1:], len(h))
+            sums.append(value[ends] - value[begins])
+            sizes.append(missing[ends] - missing[begins])
+            others.append(h[~found])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
+        return pa.array(np.concatenate(sums) if sums else np.zeros(0)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(others) if others else np.zeros(0, np.int64)))
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    scored = kept.mapInArrow(run, head + "".join(f", {n} long" for n in names) + ", log_perplexity double")
+    scored = kept.mapInArrow(run, head + "".join(f", {n} long" for n in names) + ", log_perplexity double" + (", row long, word_sum double, rare array<long>" if words else ""))
     return scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def word_perplexity(scored: DataFrame, words: Words) -> DataFrame:
+    """score() with word_log_perplexity: the mean over a text's words of -log(n / all words); 0 without a word. scored must be written.
+
+    The words that were not sent to the tasks have fewer than words.least occurrences each, so none is hot in the join.
+    """
+    rest = words.table.where(F.col("n") < words.least)
+    found = scored.select("row", F.explode("rare").alias("word")).join(rest, "word").groupBy("row").agg(F.sum(F.log("n")).alias("rest"))
+    joined = scored.drop("rare").join(found, "row", "left")
+    mean = (F.col("word_sum") + F.coalesce("rest", F.lit(0.0))) / F.greatest("n_words", F.lit(1))
+    return joined.withColumn("word_log_perplexity", F.when(F.col("n_words") > 0, float(np.log(max(words.total, 1))) - mean).otherwise(0.0)).drop("row", "word_sum", "rest")
+
+
 def bands(scored: DataFrame, measure: str = "log_perplexity", prior: int = 100) -> DataFrame:
     """band_lang, q1, q3 of the measure: a row per language that has documents which pass the base rules.
 
@@ -261,8 +379,43 @@ def banded(scored: DataFrame, measure: str, width: tuple[float, float], low: str
     return joined.withColumn(low, F.coalesce(F.col("q1") - width[0] * iqr, F.lit(0.0))).withColumn(high, F.coalesce(F.col("q3") + width[1] * iqr, F.lit(0.0))).drop("q1", "q3")
 
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 4.0, prior: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
-    """score() with perplexity, low and high (the band in log perplexity) and kept."""
-    scored = written(score(docs, train(docs, text_column), id_column, text_column, lang_column, carry), "scored")
+def labelled_widths(scored: DataFrame, measure: str, labels: DataFrame, width: float = 4.0, prior: int = 100) -> tuple[float, float]:
+    """The lower and the upper width, in interquartile ranges of the language, with the fewest errors (clean documents lost, junk kept) on labelled rows.
+
+    Distances are counted in steps of 1 / STEPS, so a few hundred counts reach the driver. Of widths that err equally the
+    middle is taken; without junk to reject on a side, `width` or the furthest clean document if that lies further.
+    """
+    quality = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    known = _with_bands(scored.where("not base_failed").join(quality, "doc_id"), bands(scored, measure, prior)).where("q3 > q1")
+    iqr = F.col("q3") - F.col("q1")
+    step = lambda x: F.least(F.floor(x / iqr * STEPS), F.lit(MOST_STEPS)).cast("int")
+    side = F.when(F.col(measure) < F.col("q1"), F.struct(F.lit(0).alias("side"), step(F.col("q1") - F.col(measure)).alias("step"))).when(F.col(measure) > F.col("q3"), F.struct(F.lit(1).alias("side"), step(F.col(measure) - F.col("q3")).alias("step")))
+    found = known.select(side.alias("s"), (F.col("quality") == 0).cast("int").alias("junk")).where("s is not null").groupBy("s.side", "s.step", "junk").count().collect()
+    counts = np.zeros((2, 2, MOST_STEPS + 1), dtype=np.int64)
+    for r in found:
+        counts[r["side"], r["junk"], r["step"]] = r["count"]
+    out = []
+    for clean, junk in counts:
+        errors = (clean[::-1].cumsum()[::-1] + junk.cumsum() - junk)  # with all from each step on rejected
+        errors = np.append(errors, junk.sum())
+        first = int(errors.argmin())
+        last = first + int((np.append(errors[first:], -1) != errors[first]).argmax()) - 1
+        out.append(max(width, first / STEPS) if last == MOST_STEPS + 1 else (first + last) / 2 / STEPS)
+    return out[0], out[1]
+
+
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 4.0, prior: int = 100, carry: tuple[str, ...] = (), labels: DataFrame | None = None, words_sent: int = WORDS_SENT) -> DataFrame:
+    """score() with perplexity, low and high (the band in log perplexity) and kept.
+
+    With labels (doc_id, quality) of training rows: also word_log_perplexity, word_low and word_high, and kept documents lie in both bands.
+    """
+    words = Words(written(count_words(docs, text_column), "words"), words_sent) if labels is not None else None
+    scored = written(score(docs, train(docs, text_column), id_column, text_column, lang_column, carry, words), "scored")
+    if words:
+        scored = written(word_perplexity(scored, words), "worded")
     judged = banded(scored, "log_perplexity", (width, width), "low", "high", prior)
-    return judged.withColumn("perplexity", F.exp("log_perplexity")).withColumn("kept", ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high")))
+    kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high"))
+    if words:
+        judged = banded(judged, "word_log_perplexity", labelled_widths(scored, "word_log_perplexity", labels, width, prior), "word_low", "word_high", prior)
+        kept &= F.col("word_log_perplexity").between(F.col("word_low"), F.col("word_high"))
+    return judged.withColumn("perplexity", F.exp("log_perplexity")).withColumn("kept", kept)

@@ -355,6 +355,30 @@ def test_band_of_a_rare_language(spark):
     assert all(inside[lang, x] for lang, x, failed in rows[:430] if not failed)
 
 
+@pytest.mark.parametrize("sent", [0, 40, 1 << 20])
+def test_word_perplexity(spark, sent):
+    """Against Counter, whether words are looked up in the array, by the join, or both."""
+    rows = [*corpus(5), (None, "a b\x0ba"), (500, "x" * 3000 + " a")]
+    counts = Counter(w for _, t in rows for w in (t or "").encode().split())
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = {r.doc_id: r.word_log_perplexity for r in perplexity.quality_rules(docs_of(spark, rows), labels=labels, words_sent=sent).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        own = (t or "").encode().split()
+        assert got[i] == pytest.approx(-sum(math.log(counts[w] / counts.total()) for w in own) / max(1, len(own)), rel=1e-5, abs=1e-6)
+
+
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(perplexity, "WORD_BLOCK", 40)
+    texts = [b"", b" \t", b"ab ba", b"aab b\naab", b"b" * 60 + b" ab", b""]
+    words, hashes = [t.split() for t in texts], []
+    for h, begins in perplexity.word_hashes(texts):
+        hashes += [x.tolist() for x in np.split(h, begins[1:])]
+    assert [len(x) for x in hashes] == [len(x) for x in words]
+    same = dict(zip(itertools.chain(*words), itertools.chain(*hashes), strict=True))
+    assert [[same[w] for w in x] for x in words] == hashes and len(set(same.values())) == len(same)
+
+
 def test_model_backs_off(spark):
     texts = ["abcabcabd", "bcdabcc", "xyz"]
     model = perplexity.train(docs_of(spark, list(enumerate(texts))))
