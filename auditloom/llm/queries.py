@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """Labels of training rows, three in four by a hash of the id; None without a table of labels."""
+    try:
+        labels = table(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return labels.where(F.pmod(F.crc32(labels["doc_id"].cast("string").cast("binary")), F.lit(4)) != 2).select("doc_id", "quality")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, verdict, and the perplexity with its band."""
-    judged = quality_rules(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "low", "high")
+    """Base counts, verdict, and the perplexities with their bands."""
+    judged = quality_rules(table(spark, sf_dir, "documents"), labels=quality_labels(spark, sf_dir))
+    words = [c for c in ("word_log_perplexity", "word_low", "word_high") if c in judged.columns]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "low", "high", *words)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

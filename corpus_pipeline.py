@@ -13,6 +13,7 @@ from auditloom.llm.common import table, text_of, written
 from auditloom.llm.exact_dedup import exact_dedup
 from auditloom.llm.packing import pack
 from auditloom.llm.perplexity import quality_rules
+from auditloom.llm.queries import quality_labels
 from auditloom.llm.simhash import simhash_components
 from auditloom.llm.substring_dedup import substring_dedup
 
@@ -29,7 +30,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     keyed = _keyed(docs)
-    kept = quality_rules(keyed, carry=("key_id", "key_text")).where("kept").select(F.col("carry_key_id").alias("key_id"), F.col("carry_key_text").alias("key_text"))
+    kept = quality_rules(keyed, carry=("key_id", "key_text"), labels=quality_labels(spark, sf_dir)).where("kept").select(F.col("carry_key_id").alias("key_id"), F.col("carry_key_text").alias("key_text"))
     return keyed.join(kept, ["key_id", "key_text"], "left_semi").select(*COLUMNS)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, packing, perplexity, simhash, substring_dedup, toxicity
 from auditloom.llm.components import connected_components
-from auditloom.llm.queries import tokenizer_path
+from auditloom.llm.queries import op1_quality_rules, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, doc int, bytes string, count int, kept string, marks int, digest int, fp int, content string, words int, score double"
 
@@ -379,6 +379,15 @@ def test_word_hashes(monkeypatch):
     assert [[same[w] for w in x] for x in words] == hashes and len(set(same.values())) == len(same)
 
 
+def test_quality_rules_reject_labelled_junk(spark):
+    """Of the labelled documents of a test table that pass the base rules, those that no width was set from: decorated words and tables that the models have seen as well."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").where(held(F.col("doc_id"), 4, 2)).collect()}
+    got = [(truth[r.doc_id], r.kept) for r in op1_quality_rules(spark, sf).where("not base_failed").collect() if r.doc_id in truth]
+    junk, clean = [k for q, k in got if q == 0], [k for q, k in got if q == 1]
+    assert len(junk) >= 10 and sum(junk) <= 1 and clean.count(False) <= 0.03 * len(clean)
+
+
 def test_model_backs_off(spark):
     texts = ["abcabcabd", "bcdabcc", "xyz"]
     model = perplexity.train(docs_of(spark, list(enumerate(texts))))
