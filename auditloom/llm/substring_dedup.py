@@ -15,6 +15,9 @@ A passage in very many contexts gives one minimiser very many distinct runs. If
 deals its records by content and tells step 2 that the minimiser is hot; step 2 also calls one hot that has over
 `hot_runs`. Hot runs are cut at every eighth window from the minimiser on, and the pieces are dealt by the bytes that
 their windows have in common, equal pieces of a batch combined first. So no task gets all records or text of a minimiser.
+The pieces at a passage's ends reach into each document's own context but share a key. Keys with over `key_bytes` of text
+are split once more: their single windows are dealt by all their bytes, equal ones combined first, so under one key there
+are only equal windows, at most one text per batch.
 4. The marks return to the documents, where covered bytes are cut.
 
 No two equal windows lie in one run (the leftmost smallest k-gram would lie at two places of it), so step 3 sees every
@@ -46,6 +49,8 @@ BLOCK, PLACE_BITS = 1 << 20, 22
 GROUP = 1 << 20
 #: Distinct runs of one minimiser that are compared in one task, and that one batch sends to one task.
 HOT_RUNS, LOCAL_HOT = 10_000, 64
+#: Bytes of text under one key, beyond which its windows are dealt singly; more than HOT_RUNS runs have.
+KEY_BYTES = 1 << 22
 #: Windows in a piece of a hot run.
 PIECE = 8
 #: Flags in the count of windows: the run is settled; its minimiser is hot. A count of 0 says that a minimiser is hot.
@@ -320,21 +325,25 @@ def pieces(text: bytes, start: int, n: int, at: int, length: int) -> Iterator[tu
         yield xxhash.xxh64_intdigest(text[low + PIECE - 1 : low + length]), first, end - first
 
 
-def _texts_of_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket, h, doc, content, start, n, text of the wanted runs, and of the pieces of hot ones. Null text: all n windows start earlier, too."""
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+TEXT_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+TEXT_SCHEMA = "bucket int, h long, doc long, content int, start long, n int, text binary"
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "h", "doc", "content", "start", "n", "text"])
 
-    def combined(found: list[tuple]) -> list[tuple]:
-        """Of equal pieces all but the earliest lose their text."""
-        out, last = [], None
-        for text, doc, content, start, n, key in sorted(set(found)):
-            out.append((key % buckets if text != last else doc % buckets, key - (1 << 63), doc, content, start, n, text if text != last else None))
-            last = text
-        return out
+def batch_of(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), TEXT_TYPES, strict=True)], ["bucket", "h", "doc", "content", "start", "n", "text"])
 
+
+def combined(found: list[tuple], buckets: int) -> list[tuple]:
+    """Of equal pieces all but the earliest lose their text."""
+    out, last = [], None
+    for text, doc, content, start, n, key in sorted(set(found)):
+        out.append((key % buckets if text != last else doc % buckets, key - (1 << 63), doc, content, start, n, text if text != last else None))
+        last = text
+    return out
+
+
+def _texts_of_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """bucket, h, doc, content, start, n, text of the wanted runs, and of the pieces of hot ones. Null text: all n windows start earlier, too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: list[tuple] = []
         for batch in batches:
@@ -346,14 +355,37 @@ def _texts_of_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                     else:
                         out.append((h % buckets, h - (1 << 63), doc, content, start, n, text[start : start + n + length - 1]))
                 if len(hot) >= 200_000:
-                    yield batch_of(combined(hot))
+                    yield batch_of(combined(hot, buckets))
                     hot = []
             for at in range(0, len(out), 20_000):
                 yield batch_of(out[at : at + 20_000])
         if hot:
-            yield batch_of(combined(hot))
+            yield batch_of(combined(hot, buckets))
+
+    return rows.mapInArrow(run, TEXT_SCHEMA)
+
+
+def _bounded(texts: DataFrame, length: int, buckets: int, key_bytes: int) -> DataFrame:
+    """The texts, those of keys with more than key_bytes as single windows, dealt by all bytes. texts must be written."""
+    large = texts.where("text is not null").groupBy("h").agg(F.sum(F.length("text")).alias("bytes")).where(F.col("bytes") > key_bytes).select("h")
+    large = F.broadcast(written(large, "large"))  # at most a key per key_bytes of all text
+    split = texts.where("text is not null").join(large, "h", "left_semi").select("doc", "content", "start", "n", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: list[tuple] = []
+        for batch in batches:
+            for doc, content, start, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in range(n):
+                    window = text[k : k + length]
+                    windows.append((window, doc, content, start + k, 1, xxhash.xxh64_intdigest(window)))
+                if len(windows) >= 200_000:
+                    yield batch_of(combined(windows, buckets))
+                    windows = []
+        if windows:
+            yield batch_of(combined(windows, buckets))
 
-    return rows.mapInArrow(run, "bucket int, h long, doc long, content int, start long, n int, text binary")
+    whole = texts.where("text is null").unionByName(texts.where("text is not null").join(large, "h", "left_anti").select(texts.columns))
+    return whole.unionByName(split.mapInArrow(run, TEXT_SCHEMA))
 
 
 def _compared(texts: DataFrame, length: int) -> DataFrame:
@@ -401,7 +433,7 @@ def covered(marks: list[bytes], length: int) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist() if len(end) else [], strict=True))
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, carry: tuple[str, ...] = (), as_text: bool = False, hot_runs: int = HOT_RUNS, local_hot: int = LOCAL_HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, carry: tuple[str, ...] = (), as_text: bool = False, hot_runs: int = HOT_RUNS, local_hot: int = LOCAL_HOT, key_bytes: int = KEY_BYTES) -> DataFrame:
     """One row per input row: doc_id, carried columns, n_bytes, n_removed, n_spans, spans (array of start, end), kept (the remaining bytes).
 
     as_text: kept is a string, without the rest of a character that a cut has broken.
@@ -418,7 +450,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = docs.select(*key, text.cast("binary").alias("bytes"), *(docs[c].alias(f"carry_{c}") for c in carry)).repartition(n, "doc", "content")
     wants = settled.where(F.length("wants") > 0).groupBy("doc", "content").agg(F.collect_list("wants").alias("wants"))
     wanted = keyed.join(wants, ["doc", "content"]).select("doc", "content", "bytes", "wants")
-    texts = _texts_of_runs(wanted, length, buckets).dropDuplicates(["h", "doc", "content", "start"]).repartition(n, "bucket").sortWithinPartitions("h", "doc", "content", "start")
+    texts = _bounded(written(_texts_of_runs(wanted, length, buckets), "texts"), length, buckets, key_bytes).dropDuplicates(["h", "doc", "content", "start"]).repartition(n, "bucket").sortWithinPartitions("h", "doc", "content", "start")
     marks = settled.where(F.length("marks") > 0).select("doc", "content", "marks").unionByName(_compared(texts, length)).groupBy("doc", "content").agg(F.collect_list("marks").alias("marks"))
     rows = keyed.join(marks, ["doc", "content"], "left").select("doc", *(f"carry_{c}" for c in carry), "bytes", "marks")
 

@@ -116,6 +116,32 @@ def test_substring_dedup(spark, seed, length, hot, local):
     assert got == substring_model(rows, length)
 
 
+@pytest.mark.parametrize(("seed", "key_bytes", "local"), [(1, 0, 0), (2, 3000, 0), (3, 500, 64)])
+def test_substring_dedup_splits_large_keys(spark, seed, key_bytes, local):
+    rows = corpus(seed, 60)
+    rnd = random.Random(seed)
+    own = lambda: "".join(rnd.choice("pqrs ") for _ in range(90))
+    shared = "".join(rnd.choice("xyz ") for _ in range(130))
+    rows += [(1000 + i, own() + shared + own()) for i in range(60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.substring_dedup(docs_of(spark, rows + rows[-9:]), hot_runs=2, local_hot=local, key_bytes=key_bytes).collect()}
+    assert got == substring_model(rows, 100)
+
+
+def test_substring_dedup_text_under_one_key(spark):
+    """Pieces of one key that reach into contexts of their own leave it; equal windows still meet."""
+    rnd = random.Random(8)
+    shared = bytes(rnd.randrange(256) for _ in range(93))
+    texts = [bytes(rnd.randrange(256) for _ in range(7)) + shared + bytes(rnd.randrange(256) for _ in range(7)) for _ in range(200)]
+    rows = spark.createDataFrame([(1, 5, i, 0, 0, 8, bytearray(t)) for i, t in enumerate([*texts, texts[3]])], substring_dedup.TEXT_SCHEMA).repartition(4)
+    out = substring_dedup._bounded(rows, 100, 8, 5000).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r.h] += len(r.text or b"")
+    assert max(sizes.values()) <= 200 and {(r.doc, r.start) for r in out} == {(i, k) for i in range(201) for k in range(8)}
+    keys = {(r.doc, r.start): r.h for r in out}
+    assert all(keys[3, k] == keys[200, k] for k in range(8))
+
+
 def test_substring_dedup_cases(spark, monkeypatch):
     assert substring_dedup.substring_dedup(docs_of(spark, [])).count() == 0
     rnd = random.Random(4)
