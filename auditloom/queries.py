@@ -24,7 +24,7 @@ from .sources.audit_view import SQL as AUDIT
 from .sources.audit_view import audit_events, audit_view
 from .sources.scratch import scratch
 from .sources.store import Store
-from .streaming.ingest import Recorder, chained_stream, problems, validated
+from .streaming.ingest import Recorder, append_stream, problems, validated
 
 NOW = datetime(2024, 2, 1)
 FROM, TO = datetime(2024, 1, 1), datetime(2024, 1, 31)
@@ -286,10 +286,10 @@ def stream_query(name: str, sql: str):
 
 @stream_query("ingest_stream_chain", CHAINED)
 def _stream_chain(spark: SparkSession, stream: DataFrame, path: str) -> DataFrame:
-    """The chain with heads kept as streaming state."""
-    out = chained_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select(_chained)
+    """The chain, batch by batch onto stored heads."""
+    store = Store(spark, f"{path}/store")
+    append_stream(stream, store, f"{path}/state").awaitTermination()
+    return store.events().select(_chained)
 
 
 @stream_query("ingest_stream_record", "SELECT app_id, tenant_id, true AS valid, count(*) AS verified FROM chain GROUP BY app_id, tenant_id")

@@ -149,8 +149,22 @@ class Recorder:
         return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def append_stream(events: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Chains what a stream has onto the stored heads and ends. Each micro-batch is sorted and walked as append_chain() does, so no task holds a chain; a batch that is retried is written once."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        store.append(batch, f"{name}-{batch_id}")
+
+    writer = events.writeStream.foreachBatch(each)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def chained_stream(events: DataFrame) -> DataFrame:
-    """Chains a stream with the head of each chain as state: id, app_id, tenant_id, timestamp, sequence, prev_hash, hash. Within a micro-batch, in (timestamp, id) order."""
+    """Chains a stream with the head of each chain as state: id, app_id, tenant_id, timestamp, sequence, prev_hash, hash. Within a micro-batch, in (timestamp, id) order.
+
+    A task holds the rows that a micro-batch has of one chain; where these may be many, append_stream() holds none.
+    """
     tailed = with_canonical(events).withColumn("tail", content(F.lit(""))).select("id", *SCOPE, "timestamp", "tail")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

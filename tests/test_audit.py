@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from auditloom import queries
 from auditloom.engine import Engine
 from auditloom.errors import DuplicateSequence, InvalidQuery, NotFound, Unauthorized, UnsupportedFormat
 from auditloom.functions import ids
@@ -23,6 +24,7 @@ from auditloom.plans import query as q
 from auditloom.schema import EVENTS, normalised
 from auditloom.scope import Scope
 from auditloom.sources import sinks
+from auditloom.sources.store import Store
 from auditloom.streaming import ingest
 
 T0 = datetime(2024, 1, 15, 10, 30)
@@ -316,3 +318,18 @@ def test_chained_stream_keeps_heads(spark, tmp_path):
         out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {(r.id, r.sequence, r.hash) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.id, r.sequence, r.hash) for r in chain.append_chain(df).collect()}
+
+
+def test_append_stream_goes_on_from_heads(spark, tmp_path):
+    """No stage of the query gathers a chain: its batches are chained by append_chain; a batch that comes again is not written twice."""
+    source, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    store = Store(spark, str(tmp_path / "store"))
+    df = events(spark, 12)
+    for part in (df.where("id < 'audit_00000000000000000000000005'"), df.where("id >= 'audit_00000000000000000000000005'")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        ingest.append_stream(spark.readStream.schema(EVENTS).parquet(source), store, cp).awaitTermination()
+    store.append(df, f"{hashlib.sha256(cp.encode()).hexdigest()[:16]}-1")
+    want = {(r.id, r.sequence, r.hash) for r in chain.append_chain(df).collect()}
+    got = store.events().collect()
+    assert len(got) == 12 and {(r.id, r.sequence, r.hash) for r in got} == want
+    assert "chained_stream" not in vars(queries)
