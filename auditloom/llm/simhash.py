@@ -48,15 +48,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carried columns, fp: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in batch.column(batch.num_columns - 1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), text_of(docs, text_column).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kept = docs.select(docs[id_column].cast("long").alias("doc_id"), *(docs[c].alias(f"carry_{c}") for c in carry), text_of(docs, text_column).cast("binary").alias("text"))
+    return kept.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1]) + "fp long")
 
 
 def close_pairs(fps: np.ndarray, table: np.ndarray, most_bits: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,12 +146,12 @@ def near_links(distinct: DataFrame, most_bits: int = 2, n_pivots: int = 24, grou
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, most_bits: int = 2) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    rows = written(fingerprints(docs, id_column, text_column, width), "fingerprints")
+def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, most_bits: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable); with carry also the carried columns and root, which tells components apart."""
+    rows = written(fingerprints(docs, id_column, text_column, width, carry), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(near_links(distinct.select("fp"), most_bits))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = classes.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *((*(f"carry_{c}" for c in carry), "root") if carry else ()))

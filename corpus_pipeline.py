@@ -42,10 +42,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
-    groups = simhash_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"))
-    return _keyed(docs).join(kept, "key_id", "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates, the document with the smallest id; of several with that id, the one with the least hash of its text."""
+    keyed = _keyed(docs)
+    groups = simhash_components(keyed, carry=("key_id", "key_text"))
+    least = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("carry_key_id", "carry_key_text"))).alias("k")
+    kept = groups.groupBy("root").agg(least).select(F.col("k.carry_key_id").alias("key_id"), F.col("k.carry_key_text").alias("key_text"))
+    return keyed.join(kept, ["key_id", "key_text"], "left_semi").select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,12 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
     odd = [(None, None, None, None, None), (None, good, None, None, None), (7, good + " x", "en", "s", 5), (7, good + " x", "en", "s", 5)]
     spark.createDataFrame(odd, SCHEMA).write.parquet(str(tmp_path / "b/documents.parquet"))
     assert {(r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path / "b")).collect()} <= {(None, 0), (7, 0)}
+
+
+def test_near_stage_keeps_one_of_each_group_where_ids_repeat(spark, tmp_path):
+    texts = [" ".join(f"{x}{i}" for i in range(400)) for x in "abcd"]
+    near = lambda t: t.upper()  # noqa: E731  the same fingerprint
+    rows = [(5, texts[0]), (5, near(texts[0])), (5, texts[1]), (None, near(texts[1])), (None, texts[2]), (None, texts[3]), (None, near(texts[3])), (9, near(texts[2]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text.lower()) for r in corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect())
+    assert got == Counter({(5, texts[0]): 1, (5, texts[1]): 1, (9, texts[2]): 1, (None, texts[3]): 1})
