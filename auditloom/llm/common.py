@@ -46,3 +46,26 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class HashFilter:
+    """Which of `bits` places the hashes (column h, long) take: bitmaps of BITMAP places, small enough to broadcast.
+
+    A hash that was put in passes always, another one by chance.
+    """
+
+    BITMAP = 32768
+
+    def __init__(self, hashes: DataFrame, bits: int):
+        place = F.pmod("h", F.lit(bits))
+        self.bits = bits
+        marks = hashes.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        self.bitmaps = written(marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "filter")  # at most bits / BITMAP rows
+
+    def passes(self, rows: DataFrame, h: Column) -> DataFrame:
+        """The rows whose hash may have been put in."""
+        place = F.pmod(h, F.lit(self.bits))
+        bit = F.bitmap_bit_position(place)
+        byte = F.conv(F.hex(F.substring("bitmap", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = F.getbit(byte, (bit % 8).cast("int")) == 1
+        return rows.join(F.broadcast(self.bitmaps), F.bitmap_bucket_number(place) == F.col("bucket")).where(hit).select(*rows.columns)
