@@ -62,10 +62,10 @@ class HashFilter:
         marks = hashes.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
         self.bitmaps = written(marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "filter")  # at most bits / BITMAP rows
 
-    def passes(self, rows: DataFrame, h: Column) -> DataFrame:
-        """The rows whose hash may have been put in."""
+    def passes(self, rows: DataFrame, h: Column, wanted: bool = True) -> DataFrame:
+        """The rows whose hash may have been put in; or the others."""
         place = F.pmod(h, F.lit(self.bits))
         bit = F.bitmap_bit_position(place)
         byte = F.conv(F.hex(F.substring("bitmap", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        hit = F.getbit(byte, (bit % 8).cast("int")) == 1
-        return rows.join(F.broadcast(self.bitmaps), F.bitmap_bucket_number(place) == F.col("bucket")).where(hit).select(*rows.columns)
+        hit = F.getbit(F.coalesce(byte, F.lit(0)), (bit % 8).cast("int")) == F.lit(int(wanted))
+        return rows.join(F.broadcast(self.bitmaps), F.bitmap_bucket_number(place) == F.col("bucket"), "inner" if wanted else "left").where(hit).select(*rows.columns)

@@ -1,9 +1,12 @@
 """Line deduplication across documents, in DataFrame operations only.
 
-Lines are hashed where the text is read; only hashes, ids and positions are shuffled. The first document of each hash
-comes from an aggregation that combines in the map tasks, so a line that every document has costs a row per task; the
-sort-merge join that follows brings hashes into ranges sorted by hash, and AQE splits a range that one line fills. What
-returns to the documents is a run-length keep bitmap per document, never text.
+Lines are split and hashed once, where the text is read, and written: hashes, ids and positions, no text. They are dealt
+by ranges of their hash and sorted inside by document and position; a running window streams over each line's rows and
+sees its first document. A line that has more rows than its share of a partition would fill one range, so common lines
+are counted first (tasks combine their own counts): there are at most HOT_SHARE of them for each partition, their first
+documents are broadcast, and their rows are decided where they are. What returns to the documents is a run-length keep
+bitmap per document, never text; documents that lose no line are mostly told apart by a filter of hashes, and their text
+stays where it is read.
 
 Defined cases: null or empty text is one empty line; a null id ranks below every other id; rows that share an id count
 as one document and each gets its own result; an empty table gives an empty result; other columns are ignored.
@@ -11,13 +14,13 @@ as one document and each gets its own result; an empty table gives an empty resu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, text_of, written
+from .common import BLANKS, LOWER, UPPER, HashFilter, partitions, text_of, written
 
-#: Stands for a null id inside the operator.
-NO_ID = -(1 << 63)
+#: A line with more rows than 1 / HOT_SHARE of a partition's share is decided by broadcast; but at least HOT_LEAST rows.
+HOT_SHARE, HOT_LEAST = 4, 100
 
 
 def line_key(line: Column) -> Column:
@@ -32,27 +35,52 @@ def keep_runs(dropped: Column, n_lines: Column) -> Column:
     return F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform(ends, lambda x: x + 1)).alias("start"), F.concat(starts, F.array(n_lines)).alias("end"))
 
 
-def line_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 10) -> DataFrame:
-    """id, content (a hash of the text), dropped (sorted positions of the lines to drop), only for documents that lose lines."""
+def hashed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 10) -> DataFrame:
+    """null_id, id, content (a hash of the text), pos, h1, h2 (hashes of the key): the lines whose key has at least min_chars characters."""
     text = text_of(docs, text_column)
-    lines = docs.select(F.coalesce(docs[id_column], F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("content"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    lines = docs.select(docs[id_column].isNull().alias("null_id"), *document(docs, id_column, text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    lines = lines.select("id", "content", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
-    # written, so that AQE sees two plain shuffles below the join and can split a range that one line fills
-    firsts = written(lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), "firsts")
-    return lines.join(firsts, ["h1", "h2"]).where("id > first").groupBy("id", "content").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    return lines.select("null_id", "id", "content", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
+
+
+def document(docs: DataFrame, id_column: str, text: Column) -> list[Column]:
+    """What tells a document apart: its id (0 for null, with the mark null_id) and a hash of its text."""
+    return [F.coalesce(docs[id_column], F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("content")]
+
+
+DOCUMENT = ["null_id", "id", "content"]
+LINE = ["h1", "h2"]
+
+
+def line_bitmaps(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 10) -> DataFrame:
+    """null_id, id, content, dropped (sorted positions of the lines to drop), only for documents that lose lines."""
+    lines = written(hashed_lines(docs, id_column, text_column, min_chars), "lines")
+    n = partitions(docs.sparkSession)
+    rank = F.struct(~F.col("null_id"), "id")
+    hot = F.lit(lines.count() // (HOT_SHARE * n) + HOT_LEAST)
+    common = written(lines.groupBy(*LINE).agg(F.count(F.lit(1)).alias("rows"), F.min(rank).alias("first")).where(F.col("rows") > hot).drop("rows"), "common")
+    common = F.broadcast(common)  # fewer than HOT_SHARE * n rows
+    here = lines.join(common, LINE).where(rank > F.col("first"))
+    ranged = lines.join(common, LINE, "left_anti").repartitionByRange(n, *LINE).sortWithinPartitions(*LINE, ~F.col("null_id"), "id", "pos")
+    first = F.first(rank).over(Window.partitionBy(*LINE).orderBy(~F.col("null_id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    streamed = ranged.withColumn("first", first).where(rank > F.col("first"))
+    return here.select(*DOCUMENT, "pos").unionByName(streamed.select(*DOCUMENT, "pos")).groupBy(*DOCUMENT).agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = 10, filter_bits: int = 1 << 27) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, keep (runs of kept lines), text (the kept lines)."""
-    bitmaps = line_bitmaps(docs, id_column, text_column, min_chars)
+    bitmaps = written(line_bitmaps(docs, id_column, text_column, min_chars), "bitmaps")
     text = text_of(docs, text_column)
-    rows = docs.select(F.coalesce(docs[id_column], F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    rows = rows.join(bitmaps, ["id", "content"], "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("n", F.size("lines"))
+    rows = docs.select(docs[id_column].isNull().alias("null_id"), *document(docs, id_column, text), text.alias("text"))
+    losing = HashFilter(bitmaps.select(F.xxhash64(*DOCUMENT).alias("h")), filter_bits)
+    none = F.lit(None).cast("array<int>")
+    whole = losing.passes(rows, F.xxhash64(*DOCUMENT), wanted=False).withColumn("dropped", none)
+    cut = losing.passes(rows, F.xxhash64(*DOCUMENT)).join(bitmaps, DOCUMENT, "left").select(*rows.columns, "dropped")
+    rows = whole.unionByName(cut).withColumn("lines", F.split("text", "\n", -1)).withColumn("n", F.size("lines"))
     runs = keep_runs(F.col("dropped"), F.col("n"))
     kept = F.flatten(F.transform("keep", lambda r: F.slice("lines", r["start"] + 1, r["end"] - r["start"])))
     return rows.withColumn("keep", F.when(F.col("dropped").isNotNull(), runs)).select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        F.when(~F.col("null_id"), F.col("id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         "keep",
