@@ -4,9 +4,10 @@ Texts become 64-bit fingerprints of their word shingles. Equal fingerprints are
 Two fingerprints within `most_bits` = 2 bits agree on at least two of four 16-bit blocks; each distinct fingerprint is
 dealt by its six pairs of blocks. In each group, a table of Hamming distances to reference fingerprints (pivots) is
 computed once; by the triangle inequality a pair whose distances to any pivot differ by more than most_bits is
-discarded, and the survivors are verified. The group's links are folded to one link per member before they leave the
-task. Groups above `group_limit` are split by the same table: a fingerprint goes to the cells of its distances to the
-first pivots (width most_bits + 1, and the cell below), so that every close pair shares a cell. Links become components.
+discarded, and the survivors are verified. The group's links are folded to one link per member as they are found.
+Groups above `group_limit` are dealt again, by pairs of the four quarters of the 32 bits that they do not share, and once
+more by the quarters of the 16 bits left then: after that at most 8 bits differ, so no group has over
+max(group_limit, 256) members, and every close pair still meets. Links become components.
 
 Defined cases: null, empty and blank texts have fingerprint 0; a text of fewer words than a shingle is one shingle; rows
 that share an id each get a row; a null id ranks above every other and is kept; an empty table gives an empty result;
@@ -28,8 +29,6 @@ from .components import connected_components
 
 BLOCK_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Pivots by which an oversized group is split.
-CELL_PIVOTS = 4
 
 
 def pivots(n: int) -> np.ndarray:
@@ -81,44 +80,61 @@ def close_pairs(fps: np.ndarray, table: np.ndarray, most_bits: int, block: int =
             yield i[keep], j[keep]
 
 
+def fold(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each member's smallest known one, itself a root) after the links i-j."""
+    while True:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        if np.array_equal(low, high):
+            return label
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
 def group_links(fps: np.ndarray, refs: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The group's links, folded: each member to the smallest member that it reaches inside the group."""
     table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
     label = np.arange(len(fps))
-    pairs = [p for p in close_pairs(fps, table, most_bits) if len(p[0])]
-    changed = bool(pairs)
-    while changed:
-        old = label.copy()
-        for i, j in pairs:
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-        label = label[label]
-        changed = not np.array_equal(old, label)
+    for i, j in close_pairs(fps, table, most_bits):
+        label = fold(label, i, j)
     far = np.nonzero(label != np.arange(len(fps)))[0]
     return fps[far], fps[label[far]]
 
 
+def dealt(rows: DataFrame, width: int) -> DataFrame:
+    """fp, key, rest -> a row for each pair of the four blocks of `width` bits in rest: fp, the key with the pair's bits, and the other two blocks as rest."""
+    block = lambda i: F.shiftright("rest", width * i).bitwiseAND((1 << width) - 1)
+    both = lambda a, b: block(a) * (1 << width) + block(b)
+    cells = (F.struct(F.xxhash64("key", F.lit(n), both(*pair)).alias("key"), both(*(i for i in range(4) if i not in pair)).alias("rest")) for n, pair in enumerate(BLOCK_PAIRS))
+    return rows.select("fp", F.explode(F.array(*cells)).alias("k")).select("fp", "k.*")
+
+
+def cells(distinct: DataFrame, group_limit: int) -> DataFrame:
+    """fp, key: groups of two or more in which all close pairs meet (keys that collide join groups, which loses nothing)."""
+    rows, out = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), None
+    for width in (16, 8, 4):
+        rows = dealt(rows, width)
+        sizes = written(rows.groupBy("key").count().where("count > 1"), "sizes")  # two plain shuffles below the join, which AQE can split
+        rows = rows.join(sizes, "key")
+        done = (rows if width == 4 else rows.where(F.col("count") <= group_limit)).select("fp", "key")
+        out = done if out is None else out.unionByName(done)
+        if width == 4 or sizes.where(F.col("count") > group_limit).isEmpty():
+            return out
+        rows = written(rows.where(F.col("count") > group_limit).select("fp", "key", "rest"), "large")
+    raise AssertionError
+
+
 def near_links(distinct: DataFrame, most_bits: int = 2, n_pivots: int = 24, group_limit: int = 4096) -> DataFrame:
     """distinct (fp) -> links (a, b) that connect all fingerprints within most_bits of each other."""
     if most_bits > 2:
         raise ValueError("four blocks find at most two differing bits")
     refs = pivots(n_pivots)
-    part = lambda i: F.shiftright("fp", 16 * i).bitwiseAND(0xFFFF)
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(n).alias("pair"), (part(a) * 65536 + part(b)).alias("bits")) for n, (a, b) in enumerate(BLOCK_PAIRS)))).alias("k")).select("fp", "k.*")
-    sizes = written(keyed.groupBy("pair", "bits").count().where("count > 1"), "sizes")  # two plain shuffles below the join, which AQE can split
-    keyed = keyed.join(sizes, ["pair", "bits"])
-    cells = F.array(F.lit(0))
-    for ref in refs[:CELL_PIVOTS].view(np.int64).tolist():
-        cell = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref))) / (most_bits + 1)).cast("int")
-        cells = F.flatten(F.transform(cells, lambda c, cell=cell: F.array(c * 32 + cell + 1, c * 32 + cell)))
-    keyed = keyed.withColumn("cell", F.explode(F.when(F.col("count") > group_limit, cells).otherwise(F.array(F.lit(-1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by group; what of a group a batch leaves open is carried over."""
         rest = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns = [batch.column(i).to_numpy() for i in range(2)]
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             yield from links(columns, rest := [x[ends(columns)[-1] :] for x in columns] if len(columns[0]) else None)
@@ -128,7 +144,7 @@ def near_links(distinct: DataFrame, most_bits: int = 2, n_pivots: int = 24, grou
     def ends(columns: list[np.ndarray]) -> np.ndarray:
         """Where groups begin."""
         new = np.ones(len(columns[0]), dtype=bool)
-        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
+        new[1:] = columns[0][1:] != columns[0][:-1]
         return np.nonzero(new)[0]
 
     def links(columns: list[np.ndarray], rest: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
@@ -137,13 +153,13 @@ def near_links(distinct: DataFrame, most_bits: int = 2, n_pivots: int = 24, grou
             return
         columns = [x[:size] for x in columns]
         bounds = np.append(ends(columns), size)
-        fps = columns[3].view(np.uint64)
-        found = [group_links(np.sort(fps[a:b]), refs, most_bits) for a, b in zip(bounds, bounds[1:], strict=False) if b > a + 1]
+        fps = columns[1].view(np.uint64)
+        found = [group_links(np.unique(fps[a:b]), refs, most_bits) for a, b in zip(bounds, bounds[1:], strict=False) if b > a + 1]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True)], ["a", "b"])
 
-    dealt = keyed.select("pair", "bits", "cell", "fp").repartition(partitions(distinct.sparkSession), "pair", "bits", "cell").sortWithinPartitions("pair", "bits", "cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    rows = cells(distinct, group_limit).select("key", "fp").repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, most_bits: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -230,7 +230,7 @@ def test_simhash(spark):
 
 @pytest.mark.parametrize("limit", [4096, 8])
 def test_near_links_with_split_groups(spark, limit):
-    """A cloud of close fingerprints: groups above the limit are split by pivot cells and lose no link."""
+    """A cloud of close fingerprints: groups above the limit are dealt again and lose no link."""
     rnd = random.Random(11)
     center = rnd.getrandbits(64)
     fps = {center}
