@@ -1,22 +1,21 @@
 """Quality rules: base rules and perplexity bands from a modified Kneser-Ney model of byte n-grams.
 
 Spark counts the n-grams of all documents (tasks combine their own counts first) and derives continuation counts,
-discounts, probabilities and backoff weights by aggregations and joins. The model is stored as sorted hash arrays, one
-per order; hashes have `hash_bits` bits, so an array has at most 2**hash_bits entries whatever the corpus, which bounds
-what is broadcast. Bytes rather than words are the symbols because the counts of word n-grams grow as the corpus and
-could only be looked up by another shuffle of all tokens. A document's perplexity is per byte. Each language gets its
-own band in log perplexity at every size, [q1 - width * iqr, q3 + width * iqr] over all its documents that pass the base
-rules, about its own median; the fewer these documents are, the more the spread of all languages about their medians
-counts.
+discounts, probabilities and backoff weights by aggregations and joins. Keys are the n-grams themselves, so none is taken
+for another. Every 4-gram of a document is in the highest order's table, so its perplexity per byte is a sum of lookups
+there: tasks get the frequent n-grams as a sorted array of bounded size, found by a hash of the key; the others meet the
+whole table in a join. Each language gets its own band in log perplexity at every size, [q1 - width * iqr,
+q3 + width * iqr] over all its documents that pass the base rules, about its own median; the fewer these documents are,
+the more the spread of all languages about their medians counts.
 
 With labels there is a second measure, which gathers as much as the corpus has words: the mean over a document's words
-of -log(n / all words). Every distinct word is counted under its 64-bit hash. Tasks get the frequent words as a sorted
-array; the other words of the documents meet the whole table in a join. Decoration that a few documents put on words
-makes them rare, layout tokens make them frequent, though the model has seen that junk, too. The lower and upper widths
-of this band, by language as above, are those with the fewest errors on labelled training rows.
+of -log(n / all words). Every distinct word is counted under its 64-bit hash, and looked up in the same way. Decoration
+that a few documents put on words makes them rare, layout tokens make them frequent, though the model has seen that junk,
+too. The lower and upper widths of this band, by language as above, are those with the fewest errors on labelled rows.
 
 Defined cases: null text is empty and fails the base rules, its perplexity is 1; null lang is a language of its own;
-repeated rows count as often as they occur; an empty table gives an empty result; other columns are ignored.
+repeated rows count as often as they occur; a value on a band's border is inside; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +31,16 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 
 ORDER = 4
-HASH_BITS = 22
-#: Odd, and small enough that no 64-bit product with a packed n-gram overflows.
-MULTIPLIER = 0x5BD1E995
+#: Slots of the hash by which a sorted array is entered: 2**SLOT_BITS.
+SLOT_BITS, MULTIPLIER = 22, 0x9E3779B97F4A7C15
+#: Most keys that are sent to the tasks as a sorted array; most n-grams of one order in a model that is held whole.
+MOST_SENT, MOST_HELD = 1 << 20, 1 << 24
 SYMBOLS = b"#*$%&|<>"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once.
 BLOCK = 1 << 22
-#: Bytes whose words are hashed at once; distinct words that a task holds before it passes counts on; most words sent to the tasks as an array.
-WORD_BLOCK, WORDS_HELD, WORDS_SENT = 1 << 20, 1 << 21, 1 << 20
+#: Bytes whose words are hashed at once; distinct words that a task holds before it passes counts on.
+WORD_BLOCK, WORDS_HELD = 1 << 20, 1 << 21
 WORD_BASE = 0x9E3779B97F4A7C15
 #: Steps of an interquartile range in which widths are sought, and the largest.
 STEPS, MOST_STEPS = 20, 400
@@ -74,7 +74,7 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, n_symbols, dup, repeat
 
 
-def grams(data: np.ndarray, order: int) -> np.ndarray:
+def packed_grams(data: np.ndarray, order: int) -> np.ndarray:
     """The n-gram that ends at each byte from the order-th on, packed big-endian."""
     out = np.zeros(len(data) - order + 1, dtype=np.uint32)
     for k in range(order):
@@ -83,11 +83,6 @@ def grams(data: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def hashed(packed: np.ndarray, bits: int = HASH_BITS) -> np.ndarray:
-    """Multiplicative hash of packed n-grams."""
-    return (packed * np.uint32(MULTIPLIER)) >> np.uint32(32 - bits)
-
-
 def padded(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of whole texts, each preceded by order - 1 zero bytes; with where texts begin. A long text is a block of its own."""
     pad, held, size = b"\0" * (order - 1), [], 0
@@ -111,7 +106,7 @@ def count_grams(docs: DataFrame, text_column: str = "text", order: int = ORDER)
         keys, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         for batch in batches:
             for data, begins in padded(buffers(batch.column(0)), order):
-                packed = grams(data, order)
+                packed = packed_grams(data, order)
                 inside = np.ones(len(packed), dtype=bool)
                 for k in range(1, order):  # n-grams that end in the next text's padding
                     inside[begins[1:] - k] = False
@@ -155,40 +150,37 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame],
 
 
 class Model:
-    """Sorted hash arrays: per order the hashes, the log probabilities and the log backoff weights."""
+    """Sorted arrays, for texts outside the corpus: per order the packed n-grams, the log probabilities (nan for a mere context) and the log backoff weights."""
 
     def __init__(self, arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]], unseen: float):
-        self.arrays, self.order, self.unseen, self.dense = arrays, len(arrays), np.float32(np.log(unseen)), None
+        self.arrays, self.order, self.unseen = arrays, len(arrays), np.float32(np.log(unseen))
 
     @classmethod
     def build(cls, tables: list[DataFrame], unseen: float) -> Model:
-        """At most 2**HASH_BITS rows of each order reach the driver; of n-grams with one hash, the most frequent gives the values."""
+        """At most MOST_HELD rows of each order reach the driver; a larger model is an error. (quality_rules() sends less and has no such bound.)"""
         arrays = []
         for t in tables:
-            hashing = F.shiftright((F.col("gram") * MULTIPLIER).bitwiseAND(0xFFFFFFFF), 32 - HASH_BITS).cast("int")
-            rows = t.groupBy(hashing.alias("hash")).agg(F.max_by(F.struct("p", *(["backoff"] if "backoff" in t.columns else [])), F.struct("n", "gram")).alias("v"))
-            got = rows.select("hash", F.log("v.p").cast("float").alias("p"), (F.log(F.greatest(F.coalesce("v.backoff", F.lit(1.0)), F.lit(1e-30))) if "backoff" in t.columns else F.lit(0.0)).cast("float").alias("b")).toArrow()
-            sorted_rows = got.sort_by("hash")
-            arrays.append(tuple(sorted_rows.column(i).to_numpy() for i in range(3)))
+            back = F.log(F.greatest(F.coalesce("backoff", F.lit(1.0)), F.lit(1e-30))) if "backoff" in t.columns else F.lit(0.0)
+            got = t.select("gram", F.log("p").cast("float").alias("p"), back.cast("float").alias("b")).limit(MOST_HELD + 1).toArrow().sort_by("gram")
+            if got.num_rows > MOST_HELD:
+                raise ValueError(f"more than {MOST_HELD} n-grams of one order")
+            arrays.append((got["gram"].to_numpy().astype(np.uint32), got["p"].to_numpy(), got["b"].to_numpy()))
         return cls(arrays, unseen)
 
     def find(self, k: int, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the order-k arrays by binary search, and whether they hold the n-gram."""
-        hashes, key = self.arrays[k - 1][0], hashed(packed).astype(np.int32)
-        at = np.minimum(np.searchsorted(hashes, key), max(len(hashes) - 1, 0))
-        return at, (hashes[at] == key) if len(hashes) else np.zeros(len(key), dtype=bool)
+        keys = self.arrays[k - 1][0]
+        at = np.minimum(np.searchsorted(keys, packed), max(len(keys) - 1, 0))
+        return at, (keys[at] == packed) if len(keys) else np.zeros(len(packed), dtype=bool)
 
-    def known(self, k: int, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """find(), without the n-grams that are in the array as contexts only."""
-        at, found = self.find(k, packed)
-        return at, found & ~np.isnan(self.arrays[k - 1][1][at]) if len(self.arrays[k - 1][1]) else found
-
-    def slow(self, packed: np.ndarray, k: int) -> np.ndarray:
-        """Log probabilities with backoff where an n-gram is missing."""
+    def log_probabilities(self, packed: np.ndarray, k: int | None = None) -> np.ndarray:
+        """Of n-grams of order k, with backoff where one is missing."""
+        k = self.order if k is None else k
         if k == 0:
             return np.full(len(packed), self.unseen, dtype=np.float32)
-        at, found = self.known(k, packed)
+        at, found = self.find(k, packed)
         out = self.arrays[k - 1][1][at] if len(self.arrays[k - 1][1]) else np.zeros(len(packed), dtype=np.float32)
+        found &= ~np.isnan(out)
         if not found.all():
             miss = packed[~found]
             back = np.zeros(len(miss), dtype=np.float32)
@@ -197,34 +189,74 @@ class Model:
                 if len(self.arrays[k - 2][2]):
                     back = np.where(b_found, self.arrays[k - 2][2][b_at], np.float32(0))
             out = out.copy()
-            out[~found] = back + self.slow(miss & np.uint32((1 << 8 * (k - 1)) - 1), k - 1)
+            out[~found] = back + self.log_probabilities(miss & np.uint32((1 << 8 * (k - 1)) - 1), k - 1)
         return out
 
-    def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
-        """The highest order's array is spread over its hash range once per worker; what it lacks goes by binary search and backoff."""
-        if self.dense is None:
-            self.dense = np.full(1 << HASH_BITS, np.nan, dtype=np.float32)
-            self.dense[self.arrays[-1][0]] = self.arrays[-1][1]
-        out = self.dense[hashed(packed)]
-        missing = np.isnan(out)
-        if missing.any():
-            out[missing] = self.slow(packed[missing], self.order)
-        return out
-
-    def log_perplexities(self, texts: list[bytes]) -> np.ndarray:
-        """Per byte, in natural logarithm; 0 for an empty text."""
-        out = []
-        for data, begins in padded(texts, self.order):
-            sums = np.concatenate([[0.0], np.cumsum(self.log_probabilities(grams(data, self.order)), dtype=np.float64)])
-            ends = np.append(begins[1:], len(data)) - (self.order - 1)
-            out.append(-(sums[ends] - sums[begins]) / np.maximum(ends - begins, 1))
-        return np.concatenate(out) if out else np.zeros(0)
-
 
 def train(docs: DataFrame, text_column: str = "text") -> Model:
     return Model.build(*kneser_ney(count_grams(docs, text_column)))
 
 
+class Sorted:
+    """Keys in order with their values. A key's hash gives the place of one key of that hash; if it is another's, binary search finds it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "values": self.values}
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        bits = 8 * keys.dtype.itemsize
+        return (keys * keys.dtype.type(MULTIPLIER >> (64 - bits) | 1)) >> keys.dtype.type(bits - SLOT_BITS)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values (0 where there is none), and which keys are there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.float32), np.zeros(len(keys), dtype=bool)
+        if not hasattr(self, "slots"):
+            self.slots = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+            self.slots[self.slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+        at = self.slots[self.slot(keys)]
+        found = self.keys[at] == keys
+        other = np.flatnonzero(~found)
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
+            found[other] = self.keys[at[other]] == keys[other]
+        return np.where(found, self.values[at], np.float32(0)), found
+
+
+class Lookup:
+    """A table of keys with n and value: the frequent keys, at most most_sent, as a sorted array for tasks; `rest` has the others, or is None."""
+
+    def __init__(self, table: DataFrame, dtype: type, most_sent: int = MOST_SENT):
+        sizes = {r["k"]: (r["keys"], r["n"]) for r in table.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).collect()}
+        self.total = sum(n for _, n in sizes.values())
+        above, least = 0, 1 << (max(sizes, default=0) + 1)
+        for k in sorted(sizes, reverse=True):
+            above += sizes[k][0]
+            if above > most_sent:
+                break
+            least = 1 << k
+        frequent = table.where(F.col("n") >= least).select("key", F.col("value").cast("float")).toArrow()
+        keys = frequent.column(0).to_numpy().astype(np.int64).view(np.uint64).astype(dtype)
+        order = np.argsort(keys)
+        self.frequent = Sorted(keys[order], frequent.column(1).to_numpy()[order])
+        # each has fewer than `least` occurrences, so none is hot in a join
+        self.rest = table.where(F.col("n") < least).select("key", "value") if above > most_sent else None
+
+
+def looked_up(sorted_: Sorted, keys: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose keys lie between begins and ends: the sum of the values, the number of keys that are not there, and these."""
+    values, found = sorted_.look(keys)
+    inside = np.zeros(len(keys) + 1, dtype=np.int32)  # between two texts there may be keys of neither
+    np.add.at(inside, begins, 1)
+    np.add.at(inside, ends, -1)
+    missing = ~found & (np.cumsum(inside)[:-1] > 0)
+    sums, counts = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)]), np.concatenate([[0], np.cumsum(missing)])
+    return sums[ends] - sums[begins], counts[ends] - counts[begins], keys[missing]
+
+
 def word_hashes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of blocks of whole texts: the 64-bit hash of each word, and where the words of each text begin."""
     held, size = [], 0
@@ -279,73 +311,69 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return docs.select(text_of(docs, text_column).cast("binary").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Words:
-    """The counts of all words: the frequent ones (from `least` occurrences on) as a sorted array for tasks, all of them as a table."""
+def gram_lookup(docs: DataFrame, text_column: str = "text", most_sent: int = MOST_SENT) -> Lookup:
+    """The log probabilities of all n-grams of the documents."""
+    tables, _ = kneser_ney(count_grams(docs, text_column))
+    return Lookup(tables[-1].select(F.col("gram").alias("key"), "n", F.log("p").alias("value")), np.uint32, most_sent)
 
-    def __init__(self, table: DataFrame, most_sent: int = WORDS_SENT):
-        self.table = table
-        sizes = {r["k"]: (r["words"], r["n"]) for r in table.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()}
-        self.total = sum(n for _, n in sizes.values())
-        above, self.least = 0, 1 << (max(sizes, default=0) + 1)
-        for k in sorted(sizes, reverse=True):
-            above += sizes[k][0]
-            if above > most_sent:
-                break
-            self.least = 1 << k
-        frequent = table.where(F.col("n") >= self.least).select("word", F.log("n").cast("float").alias("v")).toArrow().sort_by("word")
-        self.frequent = frequent.column(0).to_numpy(), frequent.column(1).to_numpy()
+
+def word_lookup(docs: DataFrame, text_column: str = "text", most_sent: int = MOST_SENT) -> Lookup:
+    """The logarithms of the counts of all words."""
+    counts = written(count_words(docs, text_column), "words")
+    return Lookup(counts.select(F.col("word").alias("key"), "n", F.log("n").alias("value")), np.uint64, most_sent)
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", carry: tuple[str, ...] = (), words: Words | None = None) -> DataFrame:
-    """doc_id, lang, carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, base_failed. With words: row, word_sum and rare, for word_perplexity()."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    frequent = docs.sparkSession.sparkContext.broadcast(words.frequent) if words else None
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MEASURES = ("gram", "word")
+
+
+def score(docs: DataFrame, grams: Lookup, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", carry: tuple[str, ...] = (), words: Lookup | None = None) -> DataFrame:
+    """doc_id, lang, carried columns, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bytes, gram_sum (and word_sum) with the keys that were not sent as gram_rare (word_rare), base_failed.
+
+    The result must be written: row numbers are those of one run.
+    """
+    used = [grams, *([words] if words else [])]
+    shared = docs.sparkSession.sparkContext.broadcast([x.frequent for x in used])
+    rest = [x.rest is not None for x in used]
+    names = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes"]
+    more = [f for m, some in zip(MEASURES, rest, strict=False) for f in ([f"{m}_sum", f"{m}_rare"] if some else [f"{m}_sum"])]
     kept = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[lang_column].cast("string").alias("lang"), *(docs[c].alias(f"carry_{c}") for c in carry), text_of(docs, text_column).cast("binary").alias("bytes"))
 
+    def keys_of(k: int, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if k == 0:
+            for data, begins in padded(texts, ORDER):
+                yield packed_grams(data, ORDER), begins, np.append(begins[1:], len(data)) - (ORDER - 1)
+        else:
+            for h, begins in word_hashes(texts):
+                yield h.view(np.uint64), begins, np.append(begins[1:], len(h))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for batch in batches:
             texts = buffers(batch.column(batch.num_columns - 1))
-            counts = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
-            columns = [*batch.columns[:-1], *(pa.array(counts[:, i]) for i in range(5)), pa.array(shared.value.log_perplexities(texts))]
-            if frequent:
-                row = np.arange(len(texts)) + done + (TaskContext.get().partitionId() << 40)
-                columns += [pa.array(row), *looked_up(texts)]
-                done += len(texts)
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names, "log_perplexity", *(["row", "word_sum", "rare"] if frequent else [])])
-
-    def looked_up(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
-        """For each text the sum of the logarithms of its frequent words' counts, and its other words."""
-        keys, values = frequent.value
-        sums, sizes, others = [], [], []
-        for h, begins in word_hashes(texts):
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            found = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
-            value = np.concatenate([[0.0], np.cumsum(np.where(found, values[at], 0) if len(keys) else np.zeros(len(h)), dtype=np.float64)])
-            missing = np.concatenate([[0], np.cumsum(~found)])
-            ends = np.append(begins[1:], len(h))
-            sums.append(value[ends] - value[begins])
-            sizes.append(missing[ends] - missing[begins])
-            others.append(h[~found])
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
-        return pa.array(np.concatenate(sums) if sums else np.zeros(0)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(others) if others else np.zeros(0, np.int64)))
+            row = np.arange(len(texts)) + done + (TaskContext.get().partitionId() << 40)
+            done += len(texts)
+            counts = np.array([(*base_counts(t), len(t)) for t in texts], dtype=np.int64).reshape(-1, 6)
+            columns = [*batch.columns[:-1], pa.array(row), *(pa.array(counts[:, i]) for i in range(6))]
+            for k, some in enumerate(rest):
+                got = [looked_up(shared.value[k], *x) for x in keys_of(k, texts)]
+                columns.append(pa.array(np.concatenate([g[0] for g in got]) if got else np.zeros(0)))
+                if some:
+                    offsets = np.concatenate([[0], np.cumsum(np.concatenate([g[1] for g in got]))]) if got else np.zeros(1)
+                    others = np.concatenate([g[2] for g in got]).astype(np.uint64).view(np.int64) if got else np.zeros(0, np.int64)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(others)))
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *names, *more])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    scored = kept.mapInArrow(run, head + "".join(f", {n} long" for n in names) + ", log_perplexity double" + (", row long, word_sum double, rare array<long>" if words else ""))
+    scored = kept.mapInArrow(run, head + "".join(f", {n} long" for n in names) + "".join(f", {f} {'array<long>' if f.endswith('rare') else 'double'}" for f in more))
     return scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def word_perplexity(scored: DataFrame, words: Words) -> DataFrame:
-    """score() with word_log_perplexity: the mean over a text's words of -log(n / all words); 0 without a word. scored must be written.
-
-    The words that were not sent to the tasks have fewer than words.least occurrences each, so none is hot in the join.
-    """
-    rest = words.table.where(F.col("n") < words.least)
-    found = scored.select("row", F.explode("rare").alias("word")).join(rest, "word").groupBy("row").agg(F.sum(F.log("n")).alias("rest"))
-    joined = scored.drop("rare").join(found, "row", "left")
-    mean = (F.col("word_sum") + F.coalesce("rest", F.lit(0.0))) / F.greatest("n_words", F.lit(1))
-    return joined.withColumn("word_log_perplexity", F.when(F.col("n_words") > 0, float(np.log(max(words.total, 1))) - mean).otherwise(0.0)).drop("row", "word_sum", "rest")
+def complete(scored: DataFrame, lookup: Lookup, measure: str) -> DataFrame:
+    """Adds the values of the keys that were not sent to the measure's sum. scored must be written."""
+    if lookup.rest is None:
+        return scored
+    found = scored.select("row", F.explode(f"{measure}_rare").alias("key")).join(lookup.rest, "key").groupBy("row").agg(F.sum("value").alias("more"))
+    return scored.drop(f"{measure}_rare").join(found, "row", "left").withColumn(f"{measure}_sum", F.col(f"{measure}_sum") + F.coalesce("more", F.lit(0.0))).drop("more")
 
 
 def bands(scored: DataFrame, measure: str = "log_perplexity", prior: int = 100) -> DataFrame:
@@ -404,15 +432,21 @@ def labelled_widths(scored: DataFrame, measure: str, labels: DataFrame, width: f
     return out[0], out[1]
 
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 4.0, prior: int = 100, carry: tuple[str, ...] = (), labels: DataFrame | None = None, words_sent: int = WORDS_SENT) -> DataFrame:
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", width: float = 4.0, prior: int = 100, carry: tuple[str, ...] = (), labels: DataFrame | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """score() with perplexity, low and high (the band in log perplexity) and kept.
 
-    With labels (doc_id, quality) of training rows: also word_log_perplexity, word_low and word_high, and kept documents lie in both bands.
+    With labels (doc_id, quality) of training rows: also word_log_perplexity (0 without a word), word_low and word_high, and kept documents lie in both bands.
     """
-    words = Words(written(count_words(docs, text_column), "words"), words_sent) if labels is not None else None
-    scored = written(score(docs, train(docs, text_column), id_column, text_column, lang_column, carry, words), "scored")
+    grams = gram_lookup(docs, text_column, most_sent)
+    words = word_lookup(docs, text_column, most_sent) if labels is not None else None
+    scored = written(score(docs, grams, id_column, text_column, lang_column, carry, words), "scored")
+    scored = complete(scored, grams, "gram").withColumn("log_perplexity", -F.col("gram_sum") / F.greatest("n_bytes", F.lit(1)))
     if words:
-        scored = written(word_perplexity(scored, words), "worded")
+        mean = F.col("word_sum") / F.greatest("n_words", F.lit(1))
+        scored = complete(scored, words, "word").withColumn("word_log_perplexity", F.when(F.col("n_words") > 0, float(np.log(max(words.total, 1))) - mean).otherwise(0.0)).drop("word_sum")
+    scored = scored.drop("row", "n_bytes", "gram_sum")
+    if grams.rest is not None or words and words.rest is not None:
+        scored = written(scored, "measured")
     judged = banded(scored, "log_perplexity", (width, width), "low", "high", prior)
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high"))
     if words:

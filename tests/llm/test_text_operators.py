@@ -382,16 +382,18 @@ def test_band_of_a_rare_language(spark):
 
 
 @pytest.mark.parametrize("sent", [0, 40, 1 << 20])
-def test_word_perplexity(spark, sent):
-    """Against Counter, whether words are looked up in the array, by the join, or both."""
+def test_word_and_gram_perplexity(spark, sent):
+    """Against brute force, whether words and n-grams are looked up in the array, by the join, or both."""
     rows = [*corpus(5), (None, "a b\x0ba"), (500, "x" * 3000 + " a")]
     counts = Counter(w for _, t in rows for w in (t or "").encode().split())
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    got = {r.doc_id: r.word_log_perplexity for r in perplexity.quality_rules(docs_of(spark, rows), labels=labels, words_sent=sent).collect()}
+    got = {r.doc_id: r for r in perplexity.quality_rules(docs_of(spark, rows), labels=labels, most_sent=sent).collect()}
+    p = kneser_ney_model([(t or "").encode() for _, t in rows])
     assert len(got) == len(rows)
     for i, t in rows:
-        own = (t or "").encode().split()
-        assert got[i] == pytest.approx(-sum(math.log(counts[w] / counts.total()) for w in own) / max(1, len(own)), rel=1e-5, abs=1e-6)
+        own, b = (t or "").encode().split(), (t or "").encode()
+        assert got[i].log_perplexity == pytest.approx(-sum(math.log(p((b"\0\0\0" + b)[k : k + 4])) for k in range(len(b))) / max(1, len(b)), rel=1e-4, abs=1e-5)
+        assert got[i].word_log_perplexity == pytest.approx(-sum(math.log(counts[w] / counts.total()) for w in own) / max(1, len(own)), rel=1e-5, abs=1e-6)
 
 
 def test_word_hashes(monkeypatch):
@@ -420,7 +422,20 @@ def test_model_backs_off(spark):
     p = kneser_ney_model([t.encode() for t in texts])
     unseen = b"\0\0\0zab!cabxq"
     want = [math.log(p(unseen[k : k + 4])) for k in range(len(unseen) - 3)]
-    assert model.log_probabilities(perplexity.grams(np.frombuffer(unseen, np.uint8), 4)) == pytest.approx(want, rel=1e-3)
+    assert model.log_probabilities(perplexity.packed_grams(np.frombuffer(unseen, np.uint8), 4)) == pytest.approx(want, rel=1e-3)
+
+
+@pytest.mark.parametrize("dtype", [np.uint32, np.uint64])
+def test_sorted_array_beyond_its_slots(dtype):
+    """More keys than slots: every key is found with its own value, and no other."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, np.iinfo(dtype).max, 6_000_000, dtype=dtype))
+    put = np.sort(rng.permutation(keys)[:5_000_000])
+    array = perplexity.Sorted(put, np.arange(len(put), dtype=np.float32) % 1009)
+    values, found = array.look(keys)
+    assert len(put) > 1 << perplexity.SLOT_BITS and found.sum() == len(put) and (keys[found] == put).all()
+    assert (values[found] == np.arange(len(put)) % 1009).all() and not values[~found].any()
+    assert not perplexity.Sorted(put[:0], array.values[:0]).look(keys)[1].any()
 
 
 def held(c, m, k):
