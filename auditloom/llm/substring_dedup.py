@@ -5,7 +5,9 @@
    leave the tasks as fixed-width records (hashes, document, place), without text, in a row per batch and bucket. Runs
    of equal bytes in one batch are settled there, so copies that fill a third of all rows cost a record per batch.
 2. Per bucket of minimisers: runs with a minimiser of their own are done. Runs of equal bytes collapse to the earliest;
-   all windows of the others start earlier elsewhere. Minimisers with two or more distinct runs need their text.
+   all windows of the others start earlier elsewhere. A window reaches over at least half of what a window holds besides
+   its minimiser on one side of that, so distinct runs can share one only if they share the bytes of that half; those
+   that do need their text.
 3. The texts of those runs, a few per document, are dealt by minimiser. In each task a suffix order and its
    Burrows-Wheeler transform are built over bounded groups of them; breadth-first backward extension finds interval
    borders by increasing common prefix and stops at `length`. Suffixes between borders share at least `length` bytes;
@@ -21,15 +23,18 @@ are only equal windows, at most one text per batch.
 4. The marks return to the documents, where covered bytes are cut.
 
 No two equal windows lie in one run (the leftmost smallest k-gram would lie at two places of it), so step 3 sees every
-equal pair that step 2 has not settled. Runs are compared by 128 bits of hash in step 2 and byte by byte in step 3.
+equal pair that step 2 has not settled. Step 2 takes runs for equal whose minimiser and whose 64-bit hash are equal; the
+hash mixes all k-grams of the run under a random key of the job, so nobody can write texts that collide. Step 3 compares
+byte by byte.
 
-Defined cases: null text is empty; a null id ranks below every other; documents of one id and different texts rank by a
-hash of the text; repeated rows of one id and text count as one document and get one result each; matches never cross
-documents; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text is empty; a null id ranks below every other, with the least long; documents of one id and
+different texts rank by a hash of the text; repeated rows of one id and text count as one document and get one result
+each; matches never cross documents; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,10 +58,10 @@ HOT_RUNS, LOCAL_HOT = 10_000, 64
 KEY_BYTES = 1 << 22
 #: Windows in a piece of a hot run.
 PIECE = 8
-#: Flags in the count of windows: the run is settled; its minimiser is hot. A count of 0 says that a minimiser is hot.
+#: Flags in the count of windows, which is below SPREAD: the run is settled; its minimiser is hot. A count of 0 says that a minimiser is hot.
 SETTLED, SPREAD, HOT = 1 << 15, 1 << 14, 1 << 31
 BASE = 0x9E3779B97F4A7C15 | 1
-RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("content", "<i4"), ("start", "<u4"), ("n", "<u2"), ("at", "<u2")])
+RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("content", "<i8"), ("start", "<u4"), ("n", "<u2"), ("at", "<u2"), ("left", "<u4"), ("right", "<u4")])
 MARK = np.dtype([("start", "<u4"), ("n", "<u4")])
 WANT = np.dtype([("start", "<u4"), ("n", "<u4"), ("h", "<u8"), ("at", "<u4")])
 
@@ -75,11 +80,11 @@ class Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def minimiser_runs(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end in data: place, number of windows, minimiser hash, content hash and distance to the minimiser of each run."""
+def minimiser_runs(data: np.ndarray, begins: np.ndarray, length: int, key: int = 1) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end in data: place, number of windows, minimiser hash, content hash and distance to the minimiser of each run, and hashes of the halves to the left and right of the minimiser (0 where the run does not reach so far)."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) + (np.zeros(0, np.uint32),) * 2
     power = lambda e: np.uint64(pow(BASE, e, 1 << 64))
     one = data.astype(np.uint64) + np.uint64(1)
     two = one[:-1] * power(1) + one[1:]
@@ -112,11 +117,20 @@ def minimiser_runs(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[n
     inside = np.cumsum(valid)[places] > 0
     places, count = places[inside], count[inside]
     up, down = Powers.get(n)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(one * up)])
-    content = (sums[places + count + length - 1] - sums[places]) * down[places] + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = h * np.uint64(key | 1)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= up[: len(h)]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
+    stretch = lambda first, last: (sums[last + 1] - sums[first]) * down[first]  # noqa: E731  hash of the k-grams first..last
+    content = stretch(places, places + count + length - 1 - GRAM) + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     content ^= content >> np.uint64(31)
     at = (low[places] & mask).astype(np.int64)
-    return places, count, h[at], content, at - places
+    half = (length - GRAM) // 2
+    left, right = (np.zeros(len(places), np.uint32) for _ in range(2))
+    for out, use, first in ((left, at - places >= half, at - half), (right, places + count + length - 1 - at >= half + GRAM, at)):
+        found = stretch(first[use], first[use] + half)
+        out[use] = (found ^ found >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return places, count, h[at], content, at - places, left, right
 
 
 def blocks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -242,15 +256,18 @@ def later_copies(runs: np.ndarray) -> np.ndarray:
 
 
 def _runs(rows: DataFrame, length: int, buckets: int, local_hot: int) -> DataFrame:
+    job = secrets.randbits(64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, contents = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = []
             for data, begins, which, offset in blocks(buffers(batch.column(2)), length):
-                places, count, h, s, at = minimiser_runs(data, begins, length)
+                places, count, h, s, at, left, right = minimiser_runs(data, begins, length, job)
                 k = np.searchsorted(begins, places, side="right") - 1
                 part = np.empty(len(places), dtype=RUN)
                 part["h"], part["s"], part["doc"], part["content"], part["start"], part["n"], part["at"] = h, s, docs[which[k]], contents[which[k]], places - begins[k] + offset[k], count, at
+                part["left"], part["right"] = left, right
                 found.append(part)
             if found:
                 runs = np.concatenate(found)
@@ -272,6 +289,18 @@ def _runs(rows: DataFrame, length: int, buckets: int, local_hot: int) -> DataFra
     return rows.mapInArrow(run, "bucket int, runs binary")
 
 
+def _share_a_half(runs: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Which runs share the left or the right half with another of the distinct runs of their minimiser."""
+    out = np.zeros(len(runs), dtype=bool)
+    for side in ("left", "right"):
+        key = lambda x, side=side: x["h"] + x[side].astype(np.uint64) * np.uint64(BASE)
+        known, n = np.unique(key(distinct[distinct[side] > 0]), return_counts=True)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, key(runs)), len(known) - 1)
+            out |= (runs[side] > 0) & (known[at] == key(runs)) & (n[at] > 1)
+    return out
+
+
 def _settled(runs: DataFrame, hot_runs: int) -> DataFrame:
     """doc, content, marks (settled runs), wants (runs whose text is needed)."""
 
@@ -291,11 +320,11 @@ def _settled(runs: DataFrame, hot_runs: int) -> DataFrame:
             use = hot | np.append(alike, False) | np.append(False, alike)
             got, hot = got[use], hot[use]
         later = later_copies(got)
-        distinct = np.unique(got[~later][["h", "s"]]) if len(got) else got[["h", "s"]]  # records that repeat one place count once
+        distinct = np.unique(got[~later][["h", "s", "left", "right"]]) if len(got) else got  # records that repeat one place count once
         h, kinds = np.unique(distinct["h"], return_counts=True)
         kinds = kinds[np.searchsorted(h, got["h"])] if len(h) else np.zeros(len(got), dtype=np.int64)
+        want = ~later & (hot | (kinds > 1) & _share_a_half(got, distinct))
         hot |= kinds > hot_runs
-        want = ~later & (hot | (kinds > 1))
         again = later_copies(spread)
         got = np.concatenate([got, spread, done])
         later = np.concatenate([later, again, np.ones(len(done), dtype=bool)])
@@ -311,9 +340,9 @@ def _settled(runs: DataFrame, hot_runs: int) -> DataFrame:
         wants["n"][hot] |= HOT
         rows = [(d, c, m[k].tobytes(), w[v].tobytes()) for d, c, (m, w, k, v) in per_document(got["doc"][use], got["content"][use], marks[use], wants[use], later[use], want[use])]
         for at in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000], strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc", "content", "marks", "wants"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000], strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc", "content", "marks", "wants"])
 
-    return runs.mapInArrow(run, "doc long, content int, marks binary, wants binary")
+    return runs.mapInArrow(run, "doc long, content long, marks binary, wants binary")
 
 
 def pieces(text: bytes, start: int, n: int, at: int, length: int) -> Iterator[tuple[int, int, int]]:
@@ -325,8 +354,8 @@ def pieces(text: bytes, start: int, n: int, at: int, length: int) -> Iterator[tu
         yield xxhash.xxh64_intdigest(text[low + PIECE - 1 : low + length]), first, end - first
 
 
-TEXT_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-TEXT_SCHEMA = "bucket int, h long, doc long, content int, start long, n int, text binary"
+TEXT_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+TEXT_SCHEMA = "bucket int, h long, doc long, content long, start long, n int, text binary"
 
 
 def batch_of(out: list[tuple]) -> pa.RecordBatch:
@@ -390,7 +419,7 @@ def _bounded(texts: DataFrame, length: int, buckets: int, key_bytes: int) -> Dat
 
 def _compared(texts: DataFrame, length: int) -> DataFrame:
     """doc, content, marks: windows that start earlier in another run. Rows come sorted by h; groups hold whole minimisers."""
-    field = np.dtype([("doc", "<i8"), ("content", "<i4"), ("start", "<i8")])
+    field = np.dtype([("doc", "<i8"), ("content", "<i8"), ("start", "<i8")])
 
     def marks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         known = np.array([(x[1], x[2], x[3] + k) for x in held if x[5] is None for k in range(x[4])], dtype=field)
@@ -407,7 +436,7 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
             out = np.zeros(len(cut) + 1, MARK)
             out["start"], out["n"] = start[np.append(0, cut)], np.diff(np.concatenate([[0], cut, [len(start)]]))
             rows.append((doc, content, out.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "content", "marks"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc", "content", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -421,7 +450,7 @@ def _compared(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield from marks(held)
 
-    return texts.select("h", "doc", "content", "start", "n", "text").mapInArrow(run, "doc long, content int, marks binary")
+    return texts.select("h", "doc", "content", "start", "n", "text").mapInArrow(run, "doc long, content long, marks binary")
 
 
 def covered(marks: list[bytes], length: int) -> list[tuple[int, int]]:
@@ -438,21 +467,21 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     as_text: kept is a string, without the rest of a character that a cut has broken.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if not 2 * GRAM <= length < SPREAD:
+        raise ValueError(f"length must be at least {2 * GRAM} and below {SPREAD}")
     n = partitions(docs.sparkSession)
     buckets = 8 * n
     text = text_of(docs, text_column)
-    key = [F.coalesce(docs[id_column].cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.hash(text), F.lit(0)).alias("content")]
+    key = [F.coalesce(docs[id_column].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("content")]
     plain = docs.select(*key, text.cast("binary").alias("bytes"))
     settled = written(_settled(_runs(plain, length, buckets, local_hot).repartition(n, "bucket"), hot_runs), "runs")
 
-    keyed = docs.select(*key, text.cast("binary").alias("bytes"), *(docs[c].alias(f"carry_{c}") for c in carry)).repartition(n, "doc", "content")
+    keyed = docs.select(*key, docs[id_column].isNull().alias("null_id"), text.cast("binary").alias("bytes"), *(docs[c].alias(f"carry_{c}") for c in carry)).repartition(n, "doc", "content")
     wants = settled.where(F.length("wants") > 0).groupBy("doc", "content").agg(F.collect_list("wants").alias("wants"))
     wanted = keyed.join(wants, ["doc", "content"]).select("doc", "content", "bytes", "wants")
     texts = _bounded(written(_texts_of_runs(wanted, length, buckets), "texts"), length, buckets, key_bytes).dropDuplicates(["h", "doc", "content", "start"]).repartition(n, "bucket").sortWithinPartitions("h", "doc", "content", "start")
     marks = settled.where(F.length("marks") > 0).select("doc", "content", "marks").unionByName(_compared(texts, length)).groupBy("doc", "content").agg(F.collect_list("marks").alias("marks"))
-    rows = keyed.join(marks, ["doc", "content"], "left").select("doc", *(f"carry_{c}" for c in carry), "bytes", "marks")
+    rows = keyed.join(marks, ["doc", "content"], "left").select("doc", "null_id", *(f"carry_{c}" for c in carry), "bytes", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,4 +500,4 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     out = rows.mapInArrow(cut, head + ", n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary"))
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *(F.col(f"carry_{c}").alias(c) for c in carry), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", "kept")
+    return out.select(F.when(~F.col("null_id"), F.col("doc")).alias("doc_id"), *(F.col(f"carry_{c}").alias(c) for c in carry), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", "kept")

@@ -142,6 +142,40 @@ def test_substring_dedup_text_under_one_key(spark):
     assert all(keys[3, k] == keys[200, k] for k in range(8))
 
 
+@pytest.mark.parametrize("length", [48, 49, 61, 100])
+def test_runs_that_share_a_window_share_a_half(length):
+    """Whatever the overlap on either side, two runs of one minimiser that have a window in common are both kept as candidates."""
+    rnd = random.Random(length)
+    any_bytes = lambda n: bytes(rnd.randrange(256) for _ in range(n))
+    shared = 0
+    for extra in range(0, 40):
+        passage = any_bytes(length + extra)
+        found = []
+        for _ in range(2):
+            text = any_bytes(rnd.randint(0, 120)) + passage + any_bytes(rnd.randint(0, 120))
+            data = np.frombuffer(text, np.uint8)
+            for place, n, h, s, at, left, right in zip(*substring_dedup.minimiser_runs(data, np.array([0]), length, 12345), strict=True):
+                run = np.zeros(1, substring_dedup.RUN)
+                run["h"], run["s"], run["left"], run["right"] = h, s, left, right
+                found.append((run, {text[place + k : place + k + length] for k in range(n)}))
+        runs = np.concatenate([r for r, _ in found])
+        half = substring_dedup._share_a_half(runs, np.unique(runs[["h", "s", "left", "right"]]))
+        for (i, (a, x)), (j, (b, y)) in itertools.combinations(enumerate(found), 2):
+            if a["s"] != b["s"] and x & y:
+                shared += 1
+                assert a["h"] == b["h"] and half[i] and half[j]
+    assert shared > 40
+
+
+def test_substring_dedup_tells_least_id_and_null_apart(spark):
+    rnd = random.Random(5)
+    a, b = ("".join(rnd.choice("abcdefgh") for _ in range(300)) for _ in range(2))
+    got = substring_dedup.substring_dedup(docs_of(spark, [(-(1 << 63), a), (None, b), (3, a + b)])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {-(1 << 63): 0, None: 0, 3: 600}
+    with pytest.raises(ValueError, match="length"):
+        substring_dedup.substring_dedup(docs_of(spark, []), length=40_000)
+
+
 def test_substring_dedup_cases(spark, monkeypatch):
     assert substring_dedup.substring_dedup(docs_of(spark, [])).count() == 0
     rnd = random.Random(4)
