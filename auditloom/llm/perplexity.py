@@ -38,7 +38,7 @@ MOST_SENT, MOST_HELD = 1 << 20, 1 << 24
 SYMBOLS = b"#*$%&|<>"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Bytes whose words are hashed at once; distinct words that a task holds before it passes counts on.
 WORD_BLOCK, WORDS_HELD = 1 << 20, 1 << 21
 WORD_BASE = 0x9E3779B97F4A7C15
