@@ -1,4 +1,8 @@
-"""The engine as one object: every call is made in a scope."""
+"""The engine as one object. Calls are made in a scope, and one without an application is refused.
+
+verify_chain (which gives no event away), record (which fills scopes in), enforce_retention and list_archives are also
+the platform's own and take any scope, or none.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,7 @@ from .plans import query as q
 from .scope import Scope
 from .schema import ARCHIVES, ERASURES, KEYS, POLICIES, REPORTS
 from .sources.sinks import Sink
+from .sources.scratch import scratch
 from .sources.store import Store
 from .streaming.ingest import Recorder
 
@@ -48,26 +53,29 @@ class Engine:
         return q.run_query(self.events(), scope.required().apply(q.Query(**vars(query) | {"limit": limit, "offset": offset})))
 
     def query(self, scope: Scope, query: q.Query) -> q.Page:
-        return q.run_query(self.events(), scope.apply(query))
+        return q.run_query(self.events(), scope.required().apply(query))
 
     def get_event(self, scope: Scope, id: str):
-        return q.one(self.events().where(scope.owns()), id)
+        return q.one(self.events().where(scope.required().owns()), id)
 
     def events_by_user(self, scope: Scope, user_id: str, after: datetime | None = None, before: datetime | None = None) -> DataFrame:
-        return q.by_user(self.events().where(scope.owns()), user_id, after, before)
+        return q.by_user(self.events().where(scope.required().owns()), user_id, after, before)
 
     def aggregate(self, scope: Scope, query: q.AggregateQuery) -> DataFrame:
-        return q.aggregate(self.store.events(), scope.apply(query))
+        return q.aggregate(self.store.events(), scope.required().apply(query))
+
+    def aggregate_total(self, scope: Scope, query: q.AggregateQuery) -> int:
+        return q.aggregate_total(self.store.events(), scope.required().apply(query)).first()[0]
 
     def count(self, scope: Scope, query: q.CountQuery) -> int:
-        return q.count(self.store.events(), scope.apply(query)).first()[0]
+        return q.count(self.store.events(), scope.required().apply(query)).first()[0]
 
     def stats(self, scope: Scope) -> tuple[DataFrame, DataFrame]:
         events = self.store.events().where(scope.required().owns())
         return q.stats_bundle(events, q.AggregateQuery()), q.recent(events)
 
     def verify_event(self, scope: Scope, id: str) -> bool:
-        event = self.store.events().where(scope.owns() & (F.col("id") == id))
+        event = self.store.events().where(scope.required().owns() & (F.col("id") == id))
         found = chain.verify_events(event).collect()
         if not found:
             raise NotFound(id)
@@ -81,33 +89,37 @@ class Engine:
         if not subject_id:
             raise InvalidQuery("subject_id is empty")
         now = now or utc_now()
-        events = self.store.events().where(scope.owns())
+        events = self.store.events().where(scope.required().owns())
         affected = erasure.count_by_subject(events, subject_id).first()[0]
-        destroyed = not self.store.keys().where(F.col("subject_id") == subject_id).isEmpty()
+        # keys of the scope's tenants; a key that was made without a scope is shared, and goes, too
+        keys = self.store.keys().where((F.col("subject_id") == subject_id) & (scope.owns() | ((F.col("app_id") == "") & (F.col("tenant_id") == ""))))
+        gone = [(subject_id, None, now, True, k.app_id, k.tenant_id) for k in keys.select("app_id", "tenant_id").collect()]  # one for each tenant of an application at most
+        destroyed = bool(gone)
         if destroyed:
-            self.store.add("keys", self.spark.createDataFrame([(subject_id, None, now, True)], KEYS))
+            self.store.add("keys", self.spark.createDataFrame(gone, KEYS))
         row = (new_id("erasure"), subject_id, reason, requested_by, affected, destroyed, scope.app_id, scope.tenant_id, now)
         self.store.add("erasures", self.spark.createDataFrame([row], ERASURES))
         return self.get_erasure(scope, row[0])
 
     def get_erasure(self, scope: Scope, id: str):
-        return q.one(self.store.erasures().where(scope.owns()), id)
+        return q.one(self.store.erasures().where(scope.required().owns()), id)
 
     def list_erasures(self, scope: Scope, limit: int = 0, offset: int = 0) -> DataFrame:
-        return q.listing(self.store.erasures().where(scope.owns()), limit, offset)
+        return q.listing(self.store.erasures().where(scope.required().owns()), limit, offset)
 
-    def subject_key(self, subject_id: str, now: datetime | None = None) -> bytes:
-        """The subject's key, made on first use."""
-        keys = self.store.keys().where(F.col("subject_id") == subject_id)
-        found = keys.limit(1).collect()
+    def subject_key(self, subject_id: str, now: datetime | None = None, scope: Scope = Scope()) -> bytes:
+        """The subject's key in a scope, made on first use. Without a scope: a key that all scopes share."""
+        mine = lambda: self.store.keys().where((F.col("subject_id") == subject_id) & (F.col("app_id") == scope.app_id) & (F.col("tenant_id") == scope.tenant_id)).limit(1).collect()
+        found = mine()
         if not found:
-            self.store.add("keys", self.spark.createDataFrame([(subject_id, bytearray(secrets.token_bytes(32)), now or utc_now(), False)], KEYS))
-            found = keys.limit(1).collect() or self.store.keys().where(F.col("subject_id") == subject_id).limit(1).collect()
+            self.store.add("keys", self.spark.createDataFrame([(subject_id, bytearray(secrets.token_bytes(32)), now or utc_now(), False, scope.app_id, scope.tenant_id)], KEYS))
+            found = mine()
         return bytes(found[0].key)
 
     def save_policy(self, scope: Scope, category: str, duration: str, archive: bool = False, now: datetime | None = None) -> str:
         """Sets the policy of a category of the scope's application; an existing one keeps its id."""
         ns, now = parse_duration(duration), now or utc_now()
+        scope.required()
         if not category or ns <= 0:
             raise InvalidQuery("a policy needs a category and a positive duration")
         old = self.store.policies().where((F.col("app_id") == scope.app_id) & (F.col("category") == category)).limit(1).collect()
@@ -116,17 +128,20 @@ class Engine:
         return row[0]
 
     def list_policies(self, scope: Scope) -> DataFrame:
-        return self.store.policies().where(scope.owns(by_tenant=False)).orderBy("created_at", "id")
+        return self.store.policies().where(scope.required().owns(by_tenant=False)).orderBy("created_at", "id")
 
     def delete_policy(self, scope: Scope, id: str, now: datetime | None = None) -> None:
-        old = q.one(self.store.policies().where(scope.owns(by_tenant=False)), id)
+        old = q.one(self.store.policies().where(scope.required().owns(by_tenant=False)), id)
         self.store.add("policies", self.spark.createDataFrame([(*old[:6], now or utc_now(), True)], POLICIES))
 
     def enforce_retention(self, now: datetime | None = None) -> dict[str, int]:
         """Archives what the policies archive, then purges what they expire; a failed archive purges nothing."""
         now = now or utc_now()
         policies = retention.latest_policies(self.store.policies())
-        expired = retention.assigned(self.store.events(), policies, now)
+        events = retention.marked(self.store.events(), policies, now)
+        path = scratch(self.spark, "expired")
+        events.where("policy_id is not null").write.parquet(path)
+        expired = self.spark.read.schema(events.schema).parquet(path)
         counts = retention.enforce_counts(expired, policies).agg(F.sum("archived"), F.sum("purged")).first()
         archived, purged = counts[0] or 0, counts[1] or 0
         if purged:
@@ -137,7 +152,7 @@ class Engine:
                 self.store.add("archives", summary.select(ids.alias("id"), "policy_id", "category", "event_count", "from_timestamp", "to_timestamp", F.lit(self.archive_sink.name).alias("sink_name"), F.lit(now).cast("timestamp_ntz").alias("created_at")))
             elif self.archive_sink is None:
                 archived = 0
-            self.store.replace_events(retention.survivors(self.store.events(), expired))
+            self.store.replace_events(retention.survivors(events))
         return {"archived": archived, "purged": purged, "retained": 0}
 
     def list_archives(self, limit: int = 0, offset: int = 0) -> DataFrame:
@@ -158,15 +173,22 @@ class Engine:
     def export_report(self, report: compliance.Report, format: str) -> str:
         return export.export(report, format)
 
+    def export_stored(self, scope: Scope, id: str, format: str) -> str:
+        """A saved report in any format, from what was saved: a later purge or erasure does not change it."""
+        return export.export(export.from_json(self.spark, self.get_report(scope, id).body), format)
+
     def get_report(self, scope: Scope, id: str):
-        return q.one(self.store.reports().where(scope.owns(by_tenant=False)), id)
+        return q.one(self.store.reports().where(scope.required().owns(by_tenant=False)), id)
 
     def list_reports(self, scope: Scope, limit: int = 0, offset: int = 0) -> DataFrame:
-        return q.listing(self.store.reports().where(scope.owns(by_tenant=False)), limit, offset)
+        return q.listing(self.store.reports().where(scope.required().owns(by_tenant=False)), limit, offset)
 
     def delete_report(self, scope: Scope, id: str, now: datetime | None = None) -> None:
         old = self.get_report(scope, id)
         self.store.add("reports", self.spark.createDataFrame([(*old[:10], now or utc_now(), True)], REPORTS))
 
     def streams(self, scope: Scope, limit: int = 0, offset: int = 0) -> DataFrame:
-        return q.listing(self.store.streams().where(scope.owns()), limit, offset)
+        return q.listing(self.store.streams().where(scope.required().owns()), limit, offset)
+
+    def get_stream(self, scope: Scope, id: str):
+        return q.one(self.store.streams().where(scope.required().owns()), id)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("severity", "category", "action", "outcome")
-#: Rules up to this number are broadcast; more are joined by shuffling.
+#: Rules up to this number are broadcast; of more, Spark chooses the join.
 MOST_BROADCAST = 10_000
 
 
@@ -16,12 +16,14 @@ def alert_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
     hit = F.lit(True)
     for c in FIELDS:
         hit = hit & ((F.col(f"rule_{c}") == "") | (F.col(f"rule_{c}") == F.col(c)))
-    if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return events.join(F.broadcast(named), hit).select("rule_id", *events.columns)
-    # per combination of set fields an equi-join: an event has 16 keys, a rule one
-    masks = range(1 << len(FIELDS))
-    key = lambda prefix, mask: F.concat_ws("|", F.lit(str(mask)), *(F.col(f"{prefix}{c}") for i, c in enumerate(FIELDS) if mask >> i & 1))
+    # an equi-join: a rule has the key of its set fields, an event a key for each combination that rules set
     rule_mask = sum((F.when(F.col(f"rule_{c}") != "", 1 << i).otherwise(0) for i, c in enumerate(FIELDS)), F.lit(0))
+    masks = sorted(r[0] for r in named.select(rule_mask.alias("m")).distinct().collect())  # at most 16
+    if not masks:
+        return events.limit(0).select(F.lit(None).cast(rules.schema["rule_id"].dataType).alias("rule_id"), *events.columns)
+    key = lambda prefix, mask: F.concat_ws("|", F.lit(str(mask)), *(F.col(f"{prefix}{c}") for i, c in enumerate(FIELDS) if mask >> i & 1))
     keyed_rules = named.withColumn("mask", rule_mask).withColumn("key", F.coalesce(*(F.when(F.col("mask") == m, key("rule_", m)) for m in masks)))
     keyed = events.withColumn("key", F.explode(F.array(*(key("", m) for m in masks))))
+    if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        keyed_rules = F.broadcast(keyed_rules)
     return keyed.join(keyed_rules, "key").where(hit).select("rule_id", *events.columns)

@@ -2,7 +2,8 @@
 
 A hash covers the hash before it, so a chain is computed in order; chains are independent. Events are dealt by chain and
 sorted inside the partitions, and a task walks its rows in Arrow batches with only the last hash in hand, so memory does
-not grow with a chain. Verification needs no recurrence: a row is compared with the stored hash of the row before it.
+not grow with a chain. Verification needs no recurrence: a row is compared with the stored hash of the row before it,
+which an equi-join by sequence number brings, so a chain is dealt over all tasks; only the rows at its holes are sorted.
 """
 
 from __future__ import annotations
@@ -70,11 +71,22 @@ def event_range(events: DataFrame, stream: str, start: int, end: int) -> DataFra
     return events.where((F.col("stream_id") == stream) & F.col("sequence").between(start, end)).orderBy("sequence")
 
 
-def _holes(events: DataFrame, start: int | None, end: int | None) -> DataFrame:
-    """Missing stretches (app_id, tenant_id, first, last), from the distance between neighbours. Bounds are closed; without them a chain begins at 1 and ends at its last event."""
+def _in_range(events: DataFrame, start: int | None, end: int | None) -> DataFrame:
+    return events.where(F.col("sequence").between(start if start is not None else 1, end if end is not None else (1 << 63) - 1))
+
+
+def _with_neighbours(rows: DataFrame) -> DataFrame:
+    """rows joined with the row before them: follows (there is one) and before (its hash). Where one is missing, rows with here = false stand for the rows that end a stretch: their sequence is one more."""
+    ended = rows.select(*SCOPE, (F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("before"), F.lit(True).alias("follows"))
+    return rows.withColumn("here", F.lit(True)).join(ended, [*SCOPE, "sequence"], "full").withColumns({"here": F.coalesce("here", F.lit(False)), "follows": F.coalesce("follows", F.lit(False))})
+
+
+def holes(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Missing stretches (app_id, tenant_id, first, last), between the rows that have no neighbour. Bounds are closed; without them a chain begins at 1 and ends at its last event."""
     w = Window.partitionBy(*SCOPE).orderBy("sequence")
-    rows = events.where(F.col("sequence").between(start if start is not None else 1, end if end is not None else (1 << 63) - 1))
-    steps = rows.select(*SCOPE, "sequence", F.coalesce(F.lag("sequence").over(w), F.lit((start or 1) - 1)).alias("before"))
+    edges = _with_neighbours(_in_range(events, start, end).select(*SCOPE, "sequence", "hash")).where("not here or not follows")
+    last = F.when(~F.col("here"), F.col("sequence") - 1)
+    steps = edges.withColumn("before", F.coalesce(F.last(last, True).over(w), F.lit((start or 1) - 1))).where("here")
     found = steps.where(F.col("sequence") - F.col("before") > 1).select(*SCOPE, (F.col("before") + 1).alias("first"), (F.col("sequence") - 1).alias("last"))
     if end is not None:
         inside = F.when(F.col("sequence").between(start or 1, end), F.col("sequence"))
@@ -85,16 +97,21 @@ def _holes(events: DataFrame, start: int | None, end: int | None) -> DataFrame:
 
 def gaps(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """The missing sequence numbers of each chain: app_id, tenant_id, sequence."""
-    return _holes(events, start, end).select(*SCOPE, F.explode(F.sequence("first", "last")).alias("sequence"))
+    return holes(events, start, end).select(*SCOPE, F.explode(F.sequence("first", "last")).alias("sequence"))
 
 
 def chain_marks(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Each event of the range with tampered: its hash or its link does not follow from the stored hash of the event before it. The first trusts its own prev_hash."""
-    rows = events.where(F.col("sequence").between(start if start is not None else 1, end if end is not None else (1 << 63) - 1))
+    joined = _with_neighbours(_in_range(events, start, end))
+    columns = [c for c in joined.columns if c not in ("here", "follows", "before")]
+    inner = joined.where("here and follows").select(*columns, F.col("before").alias("expected"))
+    # a row after a hole is compared with the last row before the hole
     w = Window.partitionBy(*SCOPE).orderBy("sequence")
-    rows = with_canonical(rows).withColumn("expected", F.coalesce(F.lag("hash").over(w), F.col("prev_hash")))
+    edges = joined.where("not here or not follows").withColumn("expected", F.last(F.when(~F.col("here"), F.struct("before")), True).over(w)["before"])
+    edges = edges.where("here").select(*columns, F.coalesce("expected", "prev_hash").alias("expected"))
+    rows = with_canonical(inner.unionByName(edges))
     bad = (event_hash(F.col("expected")) != F.col("hash")) | (F.col("prev_hash") != F.col("expected"))
-    return rows.withColumn("tampered", bad).drop("canonical_metadata", "expected")
+    return rows.withColumn("tampered", bad).select(*events.columns, "tampered")
 
 
 def verify_chains(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:

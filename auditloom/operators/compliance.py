@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..plans.query import Query, condition
 
 SECTION_CAP = 1000
+#: Parts in which the first events of a section are sought.
+SPLIT = 64
 
 
 @dataclass(frozen=True)
@@ -86,12 +88,13 @@ def classified(events: DataFrame, sections: tuple[SectionDef, ...]) -> DataFrame
 
 
 def section_events(events: DataFrame, sections: tuple[SectionDef, ...], cap: int | None = SECTION_CAP) -> DataFrame:
-    """classified() with each section cut to its first `cap` events by time; Spark cuts in every task before it shuffles."""
+    """classified() with each section cut to its first `cap` events by time: first within SPLIT parts of it, so that no task gets more than SPLIT * cap rows however many tasks there are."""
     rows = classified(events, sections)
     if cap is None:
         return rows
-    place = F.row_number().over(Window.partitionBy("section_no").orderBy("timestamp", "id"))
-    return rows.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+    first = lambda rows, *keys: rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "id"))).where(F.col("place") <= cap).drop("place")
+    parts = first(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPLIT))), "section_no", "part").drop("part")
+    return first(parts, "section_no")
 
 
 def section_counts(events: DataFrame, sections: tuple[SectionDef, ...], cap: int = SECTION_CAP) -> DataFrame:

@@ -20,25 +20,43 @@ def older_than(events: DataFrame, category: str, before: datetime) -> DataFrame:
     return (found if category == "*" else found.where(F.col("category") == category)).orderBy("timestamp", "id")
 
 
-def assigned(events: DataFrame, policies: DataFrame, now: datetime) -> DataFrame:
-    """Events that a policy expires, with policy_id, policy_category, archive of the first that does (in created_at, id order).
+#: Policies up to this number are broadcast; of more, Spark chooses the join.
+MOST_BROADCAST = 10_000
+
+
+def marked(events: DataFrame, policies: DataFrame, now: datetime) -> DataFrame:
+    """All events with policy_id, policy_category, archive of the first policy that expires them (in created_at, id order), or nulls.
 
-    A policy of one category reaches events by an equi-join and a wildcard policy through one more key, so an event
-    meets only its own policies; a policy of an application only that application's events.
+    An event can meet policies of four kinds: of its application or of all, for its category or for any. For each kind
+    there is an equi-join with the policies of one key gathered in a row, so no event is multiplied, and none is shuffled
+    while the policies can be broadcast.
     """
     rules = policies.select(
         F.col("id").alias("policy_id"), F.col("category").alias("policy_category"), "archive", F.col("app_id").alias("policy_app"), F.struct("created_at", "id").alias("rank"),
         (F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(secs=(F.col("duration_ns") / 1_000_000_000).cast("decimal(18,6)"))).alias("cutoff"),
     )
-    keyed = events.select("id", "timestamp", "category", "app_id", F.explode(F.array(F.col("category"), F.lit("*"))).alias("policy_category"))
-    hits = keyed.join(rules, "policy_category").where((F.col("timestamp") < F.col("cutoff")) & ((F.col("policy_app") == "") | (F.col("policy_app") == F.col("app_id"))))
-    first = hits.groupBy("id").agg(F.min_by(F.struct("policy_id", "policy_category", "archive"), "rank").alias("p"))
-    return events.join(first, "id").select(*events.columns, "p.*")
+    small = policies.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    out, found = events, []
+    for n, (app, category) in enumerate([(False, False), (False, True), (True, False), (True, True)]):
+        kind = rules.where(((F.col("policy_app") != "") == app) & ((F.col("policy_category") != "*") == category))
+        rows = kind.groupBy("policy_app", "policy_category").agg(F.sort_array(F.collect_list(F.struct("rank", "cutoff", "policy_id", "policy_category", "archive"))).alias(f"p{n}")).withColumnsRenamed({"policy_app": f"a{n}", "policy_category": f"c{n}"})
+        hit = F.col(f"a{n}") == (F.col("app_id") if app else F.left("app_id", F.lit(0)))  # an empty text of the event, so that any kind is an equi-join
+        if category:
+            hit = hit & (F.col(f"c{n}") == F.col("category"))
+        out = out.join(F.broadcast(rows) if small or not (app or category) else rows, hit, "left")
+        found.append(F.get(F.filter(f"p{n}", lambda p: F.col("timestamp") < p["cutoff"]), F.lit(0)))
+    out = out.withColumn("p", F.least(*found))
+    return out.select(*events.columns, "p.policy_id", "p.policy_category", "p.archive")
+
+
+def assigned(events: DataFrame, policies: DataFrame, now: datetime) -> DataFrame:
+    """Events that a policy expires, with policy_id, policy_category, archive of the first that does."""
+    return marked(events, policies, now).where("policy_id is not null")
 
 
-def survivors(events: DataFrame, expired: DataFrame) -> DataFrame:
-    """Events without the expired ones. Purging leaves holes in chains, by design."""
-    return events.join(expired.select("id"), "id", "left_anti")
+def survivors(marked_events: DataFrame) -> DataFrame:
+    """marked() events without the expired ones. Purging leaves holes in chains, by design."""
+    return marked_events.where("policy_id is null").drop("policy_id", "policy_category", "archive")
 
 
 def archive_summary(expired: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ class Query:
     limit: int = 0
     offset: int = 0
     order: str = "desc"
+    #: (timestamp, id) of the last event of the page before: the page begins after it. Costs the same at any depth, unlike offset.
+    cursor: tuple[datetime, str] | None = None
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,7 @@ class Page:
 
     events: DataFrame
     total: int
+    #: With a cursor: whether the page is full, so that there may be more.
     has_more: bool
 
 
@@ -83,19 +86,29 @@ def order_of(query: Query) -> list[Column]:
     return [F.asc("timestamp"), F.asc("id")] if query.order == "asc" else [F.desc("timestamp"), F.asc("id")]
 
 
+def after_cursor(query: Query) -> Column:
+    """The events that follow the query's cursor in its order."""
+    if query.cursor is None:
+        return F.lit(True)
+    at, id = F.lit(query.cursor[0]).cast("timestamp_ntz"), query.cursor[1]
+    later = F.col("timestamp") > at if query.order == "asc" else F.col("timestamp") < at
+    return later | ((F.col("timestamp") == at) & (F.col("id") > id))
+
+
 def page_of(events: DataFrame, query: Query) -> DataFrame:
-    """The page as a plan: a top-k, no full sort."""
-    return events.where(condition(query)).orderBy(*order_of(query)).offset(max(0, query.offset)).limit(query.limit if query.limit > 0 else DEFAULT_LIMIT)
+    """The page as a plan: a top-k, no full sort. A top-k keeps offset + limit rows, so deep pages should use a cursor."""
+    return events.where(condition(query) & after_cursor(query)).orderBy(*order_of(query)).offset(max(0, query.offset)).limit(query.limit if query.limit > 0 else DEFAULT_LIMIT)
 
 
 def run_query(events: DataFrame, query: Query) -> Page:
     """The page and the total, in one job over the data: the total is observed below the sort."""
     seen = Observation(f"total-{uuid.uuid4().hex}")
     limit, offset = query.limit if query.limit > 0 else DEFAULT_LIMIT, max(0, query.offset)
-    found = events.where(condition(query)).observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order_of(query)).offset(offset).limit(limit)
+    found = events.where(condition(query)).observe(seen, F.count(F.lit(1)).alias("total")).where(after_cursor(query)).orderBy(*order_of(query)).offset(offset).limit(limit)
     rows = found.collect()  # at most limit rows
     total = seen.get["total"]
-    return Page(events.sparkSession.createDataFrame(rows, found.schema), total, total > offset + len(rows))
+    more = len(rows) == limit if query.cursor is not None else total > offset + len(rows)
+    return Page(events.sparkSession.createDataFrame(rows, found.schema), total, more)
 
 
 def page_report(events: DataFrame, query: Query) -> DataFrame:
@@ -125,6 +138,11 @@ def aggregate(events: DataFrame, query: AggregateQuery) -> DataFrame:
     return events.where(condition(query)).groupBy(*query.group_by).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), *query.group_by)
 
 
+def aggregate_total(events: DataFrame, query: AggregateQuery) -> DataFrame:
+    """How many events the groups of aggregate() hold in all."""
+    return events.where(condition(query)).agg(F.count(F.lit(1)).alias("total"))
+
+
 def count(events: DataFrame, query: CountQuery) -> DataFrame:
     return events.where(condition(query)).agg(F.count(F.lit(1)).alias("count"))
 
@@ -161,3 +179,8 @@ def dashboard_tiles(events: DataFrame, now: datetime, days: int = 30) -> DataFra
         F.count_if(fresh & (F.col("severity") == "critical")).alias("critical"),
         F.count_if(fresh & F.col("outcome").isin("failure", "denied")).alias("failed"),
     )
+
+
+def erasure_tile(erasures: DataFrame, most: int = 10_000) -> DataFrame:
+    """How many erasures there are, counted up to `most`."""
+    return erasures.select("id").limit(most).agg(F.count(F.lit(1)).alias("erasures"))

@@ -74,6 +74,12 @@ query("tenant_scope_forced", f"{PAGE} app_id = 'app0' AND tenant_id = 't1' AND c
 query("recent_critical", f"{PAGE} severity = 'critical' ORDER BY timestamp DESC, id LIMIT 10")(lambda e: q.recent(e, 10, True).select(_page))
 query("id_validity", "SELECT regexp_matches(id, '^audit_[0-7][0-9a-hjkmnp-tv-z]{25}$') AS valid, split_part(id, '_', 1) AS prefix, count(*) AS count FROM audit GROUP BY ALL")(lambda e: e.groupBy(is_id(F.col("id"), "audit").alias("valid"), id_prefix(F.col("id")).alias("prefix")).count())
 
+CURSOR = (datetime(2024, 1, 20, 7, 30), "audit_00000000000000000000005000")
+query("query_cursor_desc", f"{PAGE} tenant_id = 't1' AND (timestamp < TIMESTAMP '2024-01-20 07:30:00' OR (timestamp = TIMESTAMP '2024-01-20 07:30:00' AND id > '{CURSOR[1]}')) ORDER BY timestamp DESC, id LIMIT 30")(
+    lambda e: q.page_of(e, q.Query(tenant_id="t1", limit=30, cursor=CURSOR)).select(_page)
+)
+query("query_cursor_asc", f"{PAGE} category IN ('ai') AND timestamp > TIMESTAMP '2024-01-20 07:30:00' ORDER BY timestamp, id LIMIT 30")(lambda e: q.page_of(e, q.Query(categories=["ai"], limit=30, order="asc", cursor=(CURSOR[0], "z"))).select(_page))
+
 # group counts
 for _dims in [*([d] for d in DIMENSIONS), ["outcome", "severity"], list(DIMENSIONS)]:
     _name = "agg_" + ("all_dims" if len(_dims) == 5 else "_".join(_dims))
@@ -81,6 +87,8 @@ for _dims in [*([d] for d in DIMENSIONS), ["outcome", "severity"], list(DIMENSIO
 query("agg_scoped_range", "SELECT category, count(*) AS count FROM audit WHERE app_id = 'app0' AND tenant_id = 't1' AND timestamp BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' GROUP BY category")(
     lambda e: q.aggregate(e, MEMBER.apply(q.AggregateQuery(after=datetime(2024, 1, 10), before=datetime(2024, 1, 20), group_by=["category"])))
 )
+query("agg_total_scoped", "SELECT count(*) AS total FROM audit WHERE app_id = 'app0' AND tenant_id = 't1'")(lambda e: q.aggregate_total(e, MEMBER.apply(q.AggregateQuery(group_by=["category"]))))
+query("agg_ranked", "SELECT category, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, category) AS place FROM audit GROUP BY category")(lambda e: _ranked(q.aggregate(e, q.AggregateQuery(group_by=["category"]))))
 query("count_scoped", "SELECT count(*) AS count FROM audit WHERE app_id = 'app0' AND tenant_id = 't1' AND category = 'auth'")(lambda e: q.count(e, MEMBER.apply(q.CountQuery(category="auth"))))
 query("count_by_subject", "SELECT count(*) AS count FROM audit WHERE subject_id = 'subj-5'")(lambda e: erasure.count_by_subject(e, "subj-5"))
 query("stats_bundle", "SELECT 'total' AS kind, '' AS value, count(*) AS count FROM audit UNION ALL SELECT 'category', category, count(*) FROM audit GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM audit GROUP BY 2 UNION ALL SELECT 'outcome', outcome, count(*) FROM audit GROUP BY 2")(
@@ -88,6 +96,12 @@ query("stats_bundle", "SELECT 'total' AS kind, '' AS value, count(*) AS count FR
 )
 query("dashboard_tiles", "SELECT count(*) AS total, count(*) FILTER (fresh AND severity = 'critical') AS critical, count(*) FILTER (fresh AND outcome IN ('failure', 'denied')) AS failed FROM (SELECT *, timestamp BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-02-01' AS fresh FROM audit)")(lambda e: q.dashboard_tiles(e, NOW))
 
+def _ranked(groups: DataFrame) -> DataFrame:
+    """The place that aggregate() gives each group."""
+    rows = groups.collect()  # a row per category
+    return groups.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], "category string, count bigint, place bigint")
+
+
 # chains
 CHAINED = "SELECT id, app_id, tenant_id, sequence, prev_hash, hash FROM chain"
 _chained = ["id", "app_id", "tenant_id", "sequence", "prev_hash", "hash"]
@@ -134,6 +148,10 @@ REPORTED = """SELECT app_id, tenant_id, len(gaps) = 0 AND len(tampered) = 0 AS v
 query("verify_chain_clean", REPORTED.format(here="true", bad="false"), True)(lambda e: chain.verify_chains(chain.append_chain(e)))
 query("verify_chain_tampered", REPORTED.format(here="sequence % 50 <> 0", bad="(sequence % 30 = 0 OR (sequence > 1 AND (sequence - 1) % 50 = 0))"), True)(lambda e: chain.verify_chains(_tampered(e)))
 query("sequence_gaps", "SELECT app_id, tenant_id, sequence FROM (SELECT *, max(CASE WHEN sequence % 50 <> 0 THEN sequence END) OVER (PARTITION BY app_id, tenant_id) AS top FROM chain) WHERE sequence % 50 = 0 AND sequence < top", True)(lambda e: chain.gaps(_tampered(e)))
+query("sequence_holes", "SELECT app_id, tenant_id, sequence AS first, sequence + 1 AS last FROM (SELECT *, max(CASE WHEN sequence % 50 > 1 THEN sequence END) OVER (PARTITION BY app_id, tenant_id) AS top FROM chain) WHERE sequence % 50 = 0 AND sequence < top UNION ALL SELECT DISTINCT app_id, tenant_id, 1, 1 FROM chain", True)(
+    lambda e: chain.holes(chain.append_chain(e).where("sequence % 50 > 1")).select("app_id", "tenant_id", F.col("first").cast("bigint"), F.col("last").cast("bigint"))
+)
+query("verify_event_tampered", "SELECT id, sequence % 30 <> 0 AS valid FROM chain WHERE sequence % 50 <> 0", True)(lambda e: chain.verify_events(_tampered(e)))
 query("sequence_gaps_range", "SELECT h.app_id, h.tenant_id, s.sequence FROM (SELECT DISTINCT app_id, tenant_id FROM chain) h, (SELECT unnest(range(40, 161)) AS sequence) s WHERE NOT EXISTS (SELECT 1 FROM chain c WHERE c.app_id = h.app_id AND c.tenant_id = h.tenant_id AND c.sequence = s.sequence AND c.sequence % 50 <> 0)", True)(lambda e: chain.gaps(_tampered(e), 40, 160))
 query("tampered_events", "SELECT id, sequence FROM chain WHERE sequence % 50 <> 0 AND (sequence % 30 = 0 OR (sequence > 1 AND (sequence - 1) % 50 = 0))", True)(lambda e: chain.chain_marks(_tampered(e)).where("tampered").select("id", "sequence"))
 
@@ -173,6 +191,19 @@ def _erasures(spark: SparkSession) -> DataFrame:
 
 query("erasures_page", "SELECT id FROM (VALUES ('erasure_2'), ('erasure_3')) v(id)")(lambda e: q.listing(_erasures(e.sparkSession), 2).select("id"))
 query("erasure_by_id", "SELECT 'erasure_3' AS id, 'subj-5' AS subject_id")(lambda e: _erasures(e.sparkSession).where("id = 'erasure_3'").select("id", "subject_id"))
+query("erasures_listed", "SELECT id, subject_id FROM audit WHERE subject_id <> '' ORDER BY timestamp DESC, id LIMIT 40 OFFSET 15")(lambda e: q.listing(_requests(e), 40, 15).select("id", "subject_id"))
+query("erasure_tile", "SELECT least(count(*), 150) AS erasures FROM audit WHERE subject_id <> ''")(lambda e: q.erasure_tile(_requests(e), 150))
+
+
+def _requests(e: DataFrame) -> DataFrame:
+    """Every event of a subject as a request to erase it."""
+    return e.where("subject_id <> ''").select("id", "subject_id", F.col("timestamp").alias("created_at"))
+
+
+SCOPED = "('erasure_1', 'subj-0', 'app0', 't1', '2024-01-10'), ('erasure_2', 'subj-0', 'app0', '', '2024-01-20'), ('erasure_3', 'subj-5', '', '', '2024-01-15'), ('erasure_4', 'subj-5', 'app1', 't2', '2024-01-12'), ('erasure_5', 'subj-5', 'app1', 't2', '2024-01-25')"
+query("erasure_scoped", f"SELECT a.id, subject_id, x.i IS NOT NULL AS erased, x.w AS erased_at, coalesce(x.i, '') AS erasure_id FROM audit a LEFT JOIN LATERAL (SELECT i, CAST(w AS TIMESTAMP) AS w FROM (VALUES {SCOPED}) t(i, s, p, n, w) WHERE s = a.subject_id AND p IN ('', a.app_id) AND n IN ('', a.tenant_id) AND CAST(w AS TIMESTAMP) >= a.timestamp ORDER BY w, i LIMIT 1) x ON true")(
+    lambda e: erasure.erasure_overlay(e, e.sparkSession.sql(f"SELECT id, subject_id, app_id, tenant_id, CAST(at AS TIMESTAMP_NTZ) AS created_at FROM VALUES {SCOPED} AS t(id, subject_id, app_id, tenant_id, at)")).select("id", "subject_id", "erased", "erased_at", "erasure_id")
+)
 ERASED = "(VALUES ('erasure_1', 'subj-0', TIMESTAMP '2024-01-10'), ('erasure_2', 'subj-0', TIMESTAMP '2024-01-20'), ('erasure_3', 'subj-5', TIMESTAMP '2024-01-15'))"
 query("erasure_overlay", f"SELECT a.id, subject_id, x.i IS NOT NULL AS erased, x.w AS erased_at, coalesce(x.i, '') AS erasure_id FROM audit a LEFT JOIN LATERAL (SELECT i, w FROM {ERASED} t(i, s, w) WHERE s = a.subject_id AND w >= a.timestamp ORDER BY w LIMIT 1) x ON true")(
     lambda e: erasure.erasure_overlay(e, _erasures(e.sparkSession)).select("id", "subject_id", "erased", "erased_at", "erasure_id")
@@ -208,7 +239,7 @@ def _expired(e: DataFrame) -> DataFrame:
 query("retention_older_than", "SELECT id FROM audit WHERE category = 'auth' AND timestamp < TIMESTAMP '2024-01-12'")(lambda e: retention.older_than(e, "auth", datetime(2024, 1, 12)).select("id"))
 for _name, _sql, _f in (
     ("retention_expired", "SELECT id, policy_id FROM expired WHERE policy_id IS NOT NULL", lambda e: _expired(e).select("id", "policy_id")),
-    ("retention_survivors", "SELECT id FROM expired WHERE policy_id IS NULL", lambda e: retention.survivors(e, _expired(e)).select("id")),
+    ("retention_survivors", "SELECT id FROM expired WHERE policy_id IS NULL", lambda e: retention.survivors(retention.marked(e, _policies(e.sparkSession), NOW)).select("id")),
     ("retention_archive_summary", "SELECT policy_id, CASE policy_id WHEN 'retpol_1' THEN 'auth' ELSE '*' END AS category, count(*) AS event_count, min(timestamp) AS from_timestamp, max(timestamp) AS to_timestamp FROM expired WHERE policy_id IN ('retpol_1', 'retpol_3') GROUP BY 1", lambda e: retention.archive_summary(_expired(e))),
     ("retention_enforce_counts", "SELECT p AS policy_id, CAST(CASE WHEN p = 'retpol_2' THEN 0 ELSE count(policy_id) END AS BIGINT) AS archived, count(policy_id) AS purged FROM (VALUES ('retpol_1'), ('retpol_2'), ('retpol_3')) v(p) LEFT JOIN expired ON policy_id = p GROUP BY p", lambda e: retention.enforce_counts(_expired(e), _policies(e.sparkSession))),
 ):
@@ -218,6 +249,11 @@ for _name, _sql, _f in (
 query("retention_latest_policies", "SELECT 'b' AS id, 2 AS v UNION ALL SELECT 'd', 1")(lambda e: retention.latest_policies(_versions(e.sparkSession)).select("id", F.col("v").cast("int")))
 
 
+query("policies_latest", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY app_id, category ORDER BY timestamp DESC, id DESC) AS n FROM audit) WHERE n = 1 AND outcome <> 'denied'")(
+    lambda e: retention.latest_policies(e.select("id", "app_id", "category", F.col("timestamp").alias("updated_at"), (F.col("outcome") == "denied").alias("deleted"))).select("id")
+)
+
+
 def _versions(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('a', 'x', '', 1, false, 1), ('b', 'x', '', 2, false, 2), ('c', 'y', '', 1, false, 1), ('c', 'y', '', 2, true, 2), ('d', 'x', 'app1', 1, false, 1) AS t(id, category, app_id, updated_at, deleted, v)")
 
@@ -311,6 +347,7 @@ query("time_ago", "SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THE
 query("truncated_ids", "SELECT id, left(id, 12) || '...' AS short, CASE WHEN length(reason) > 8 THEN left(reason, 8) || '...' ELSE reason END AS reason FROM audit")(lambda e: e.select("id", fx.truncate(F.col("id"), 12).alias("short"), fx.truncate(F.col("reason"), 8).alias("reason")))
 query("rfc3339_nano", "SELECT id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim(strftime(timestamp, '.%f'), '0'), '.') || 'Z' AS t, strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS s FROM audit")(lambda e: e.select("id", fx.rfc3339_nano(F.col("timestamp")).alias("t"), fx.rfc3339(F.col("timestamp")).alias("s")))
 query("list_split", "SELECT 'a,,b ' AS x, ['a', '', 'b '] AS parts UNION ALL SELECT '', []")(lambda e: e.sparkSession.sql("SELECT * FROM VALUES ('a,,b '), ('') AS t(x)").withColumn("parts", fx.split_list(F.col("x"))))
+query("list_split_events", "SELECT id, string_split(action || ',' || reason || ',' || outcome, ',') AS parts FROM audit")(lambda e: e.select("id", fx.split_list(F.concat_ws(",", "action", "reason", "outcome")).alias("parts")))
 query("sequence_clamp", "SELECT -5 AS n, 0 AS clamped UNION ALL SELECT 7, 7")(lambda e: e.sparkSession.sql("SELECT * FROM VALUES (-5), (7) AS t(n)").withColumn("clamped", fx.clamp_sequence(F.col("n").cast("bigint")).cast("int")))
 query("exact_seconds", "SELECT id, epoch_us(timestamp) / 1e6 AS seconds FROM audit")(lambda e: e.select("id", fx.seconds(F.col("timestamp")).alias("seconds")))
 

@@ -30,7 +30,7 @@ ERASURES = struct("id string, subject_id string, reason string, requested_by str
 POLICIES = struct("id string, category string, duration_ns bigint, archive boolean, app_id string, created_at timestamp_ntz, updated_at timestamp_ntz, deleted boolean")
 ARCHIVES = struct("id string, policy_id string, category string, event_count bigint, from_timestamp timestamp_ntz, to_timestamp timestamp_ntz, sink_name string, sink_ref string, created_at timestamp_ntz")
 REPORTS = struct("id string, title string, type string, period_from timestamp_ntz, period_to timestamp_ntz, app_id string, tenant_id string, generated_by string, format string, body string, created_at timestamp_ntz, deleted boolean")
-KEYS = struct("subject_id string, key binary, created_at timestamp_ntz, deleted boolean")
+KEYS = struct("subject_id string, key binary, created_at timestamp_ntz, deleted boolean, app_id string, tenant_id string")
 RULES = struct("severity string, category string, action string, outcome string")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import DuplicateSequence
 from ..operators.chain import append_chain, assert_unique, heads
 from ..schema import ARCHIVES, ERASURES, EVENTS, KEYS, POLICIES, REPORTS, normalised, struct
 
@@ -51,16 +52,34 @@ class Store:
     def append(self, events: DataFrame, name: str | None = None) -> DataFrame:
         """Chains new events onto the stored heads and writes them as one batch, which appears as a whole or not at all. Gives back the batch. One writer at a time.
 
-        A named batch is written once: a name that is there already is only read.
+        The batch is written aside, checked against itself and the stored heads, and then moved in place, so a sequence
+        number that is taken is an error that leaves the table as it was. A named batch is written once: a name that is there already is only read.
         """
-        path = f"{self.path}/{self._generation()[0]}/batch-{name or uuid.uuid4().hex}"
+        name = f"batch-{name or uuid.uuid4().hex}"
+        path, staged = f"{self.path}/{self._generation()[0]}/{name}", f"{self.path}/staging/{name}"
         if not self._exists(f"{path}/_SUCCESS"):
-            normalised(append_chain(normalised(events), self.heads())).write.mode("overwrite").parquet(path)
+            normalised(append_chain(normalised(events), self.heads())).write.mode("overwrite").parquet(staged)
+            self._check(self.spark.read.schema(EVENTS).parquet(staged))
+            self._rename(staged, path)
         batch = self.spark.read.schema(EVENTS).parquet(path)
-        assert_unique(batch)
         heads(batch).select(*HEADS.names).write.mode("append").parquet(f"{self.path}/heads")
         return batch
 
+    def _check(self, batch: DataFrame) -> None:
+        """Raises if a sequence number occurs twice in the batch, or does not follow the chain's stored head."""
+        assert_unique(batch)
+        begins = batch.groupBy("app_id", "tenant_id").agg(F.min("sequence").alias("first"))
+        stale = begins.join(self.heads(), ["app_id", "tenant_id"], "left").where("first <> coalesce(head_seq, 0) + 1").limit(5).collect()
+        if stale:
+            raise DuplicateSequence(str([(r.app_id, r.tenant_id, r.first) for r in stale]))
+
+    def _rename(self, old: str, new: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(new).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path(new).getParent())
+        if not fs.rename(path(old), path(new)):
+            raise OSError(f"cannot move {old} to {new}")
+
     def repair_heads(self) -> None:
         """Logs the heads that the events show: for after a failure between a batch and its heads."""
         heads(self.events()).select(*HEADS.names).write.mode("append").parquet(f"{self.path}/heads")
@@ -77,24 +96,24 @@ class Store:
         times = self.events().groupBy("app_id", "tenant_id").agg(F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"))
         return self.heads().join(times, ["app_id", "tenant_id"]).select(F.col("stream_id").alias("id"), "app_id", "tenant_id", "head_hash", "head_seq", "created_at", "updated_at")
 
-    def _live(self, name: str, schema: T.StructType, key: str, by: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(F.desc(by), F.desc("deleted"))
+    def _live(self, name: str, schema: T.StructType, by: str, *key: str) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy(F.desc(by), F.desc("deleted"))
         return self._read(name, schema).withColumn("n", F.row_number().over(w)).where("n = 1 and not deleted").drop("n")
 
     def erasures(self) -> DataFrame:
         return self._read("erasures", ERASURES)
 
     def policies(self) -> DataFrame:
-        return self._live("policies", POLICIES, "id", "updated_at")
+        return self._live("policies", POLICIES, "updated_at", "id")
 
     def archives(self) -> DataFrame:
         return self._read("archives", ARCHIVES)
 
     def reports(self) -> DataFrame:
-        return self._live("reports", REPORTS, "id", "created_at")
+        return self._live("reports", REPORTS, "created_at", "id")
 
     def keys(self) -> DataFrame:
-        return self._live("keys", KEYS, "subject_id", "created_at").where(F.length("key") > 0)
+        return self._live("keys", KEYS, "created_at", "subject_id", "app_id", "tenant_id").where(F.length("key") > 0)
 
     def add(self, name: str, rows: DataFrame) -> None:
         """Appends versions to erasures, policies, archives, reports or keys."""

@@ -22,6 +22,7 @@ from ..operators.alerts import alert_matches
 from ..operators.chain import SCOPE, stream_id
 from ..schema import normalised
 from ..scope import Scope
+from ..sources.scratch import scratch
 from ..sources.sinks import Sink
 from ..sources.store import Store
 
@@ -125,6 +126,11 @@ class Recorder:
                 rows.schema  # noqa: B018  an error in the plan shows here
             except Exception as e:
                 log.warning("hook failed: %s", e)
+        if self.quarantine is not None:
+            # written, so that an event has one id in the quarantine and here
+            path = scratch(rows.sparkSession, "recorded")
+            rows.write.parquet(path)
+            rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
         valid, invalid = validated(rows)
         if self.quarantine is not None:
             self.quarantine(invalid)

@@ -5,6 +5,7 @@ import hashlib
 import io
 import json
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -333,3 +334,82 @@ def test_append_stream_goes_on_from_heads(spark, tmp_path):
     got = store.events().collect()
     assert len(got) == 12 and {(r.id, r.sequence, r.hash) for r in got} == want
     assert "chained_stream" not in vars(queries)
+
+
+def test_calls_without_an_application_are_refused(spark, tmp_path):
+    engine, nobody, span = Engine(spark, str(tmp_path / "s")), Scope(tenant_id="ten"), (T0, T0)
+    calls = [
+        lambda: engine.list_events(nobody, q.Query()), lambda: engine.query(nobody, q.Query()), lambda: engine.get_event(nobody, "x"), lambda: engine.events_by_user(nobody, "u"),
+        lambda: engine.aggregate(nobody, q.AggregateQuery(group_by=["category"])), lambda: engine.aggregate_total(nobody, q.AggregateQuery()), lambda: engine.count(nobody, q.CountQuery()), lambda: engine.stats(nobody),
+        lambda: engine.verify_event(nobody, "x"), lambda: engine.erase(nobody, "s"), lambda: engine.get_erasure(nobody, "x"), lambda: engine.list_erasures(nobody), lambda: engine.save_policy(nobody, "auth", "1h"),
+        lambda: engine.list_policies(nobody), lambda: engine.delete_policy(nobody, "x"), lambda: engine.report(nobody, "soc2", *span), lambda: engine.export_stored(nobody, "x", "csv"), lambda: engine.get_report(nobody, "x"),
+        lambda: engine.list_reports(nobody), lambda: engine.delete_report(nobody, "x"), lambda: engine.streams(nobody), lambda: engine.get_stream(nobody, "x"),
+    ]
+    for call in calls:
+        with pytest.raises(Unauthorized):
+            call()
+
+
+def test_erasure_stays_with_its_tenant(spark, tmp_path):
+    engine, a, b = Engine(spark, str(tmp_path / "s")), Scope("app", "a"), Scope("app", "b")
+    for scope in (a, b):
+        engine.record(scope, [{"action": "read", "resource": "r", "category": "data", "subject_id": "s", "timestamp": T0}])
+    keys = {scope.tenant_id: engine.subject_key("s", T0, scope) for scope in (a, b)}
+    assert keys["a"] != keys["b"]
+    sealed = erasure.sealed(engine.store.events(), engine.store.keys(), ["reason"]).select("tenant_id", "encryption_key_id").collect()
+    assert {r.encryption_key_id for r in sealed} == {"s"}
+    done = engine.erase(a, "s", now=T0 + timedelta(days=1))
+    assert (done.events_affected, done.key_destroyed) == (1, True)
+    assert {(r.tenant_id, r.erased) for r in engine.events().collect()} == {("a", True), ("b", False)}
+    assert [(r.tenant_id, bytes(r.key)) for r in engine.store.keys().collect()] == [("b", keys["b"])]
+    whole = engine.erase(Scope("app"), "s", now=T0 + timedelta(days=2))
+    assert (whole.events_affected, whole.key_destroyed) == (2, True) and engine.store.keys().isEmpty()
+    assert {(r.tenant_id, r.erasure_id) for r in engine.events().collect()} == {("a", done.id), ("b", whole.id)}
+
+
+def test_stale_heads_leave_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(make(spark, [{}, {}]))
+    heads = store.heads()
+    stale = [heads.where("false"), heads]
+    monkeypatch.setattr(store, "heads", lambda: stale.pop(0))
+    with pytest.raises(DuplicateSequence):
+        store.append(make(spark, [{"id": "audit_x"}]))
+    monkeypatch.undo()
+    assert store.events().count() == 2 and sorted(r.sequence for r in store.append(make(spark, [{"id": "audit_y"}])).collect()) == [3]
+
+
+def test_stored_reports_export_as_they_were_made(spark, tmp_path):
+    engine, scope = Engine(spark, str(tmp_path / "s")), Scope("app", "ten")
+    engine.record(scope, [{"action": a, "resource": "r", "category": "auth", "severity": s, "reason": 'a,"b"', "metadata": '{"k": [1]}', "timestamp": T0} for a, s in (("login", "info"), ("logout", "critical"))])
+    made = engine.report(scope, "soc2", T0 - timedelta(1), T0 + timedelta(1))
+    live = {f: engine.export_report(made, f) for f in export.EXPORTERS}
+    engine.save_policy(scope, "auth", "1h")
+    assert engine.enforce_retention(T0 + timedelta(days=9))["purged"] == 2
+    assert {f: engine.export_stored(scope, made.id, f) for f in export.EXPORTERS} == live
+    with pytest.raises(NotFound):
+        engine.export_stored(Scope("other"), made.id, "csv")
+
+
+def test_cursor_pages_equal_offset_pages(spark):
+    events = make(spark, [{"timestamp": T0 + timedelta(minutes=i // 3)} for i in range(20)])
+    for order in ("asc", "desc"):
+        cursor, got, more = None, [], True
+        while more:
+            page = q.run_query(events, q.Query(limit=6, order=order, cursor=cursor))
+            rows = page.events.collect()
+            got += [r.id for r in rows]
+            cursor, more = (rows[-1].timestamp, rows[-1].id) if rows else cursor, page.has_more
+            assert page.total == 20
+        assert got == [r.id for r in q.page_of(events, q.Query(limit=50, order=order)).collect()]
+
+
+def test_plans_deal_a_chain_over_all_tasks(spark, capsys):
+    events = queries.audit_events(spark, "/root/testdata/sf0.001")
+    chain.holes(chain.append_chain(events)).explain("formatted")
+    assert re.search(r"hashpartitioning\(app_id#\d+, tenant_id#\d+, sequence#\d+L", capsys.readouterr().out)
+    queries.retention.survivors(queries.retention.marked(events, queries._policies(spark), queries.NOW)).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "NestedLoop" not in plan
+    queries.QUERIES["alert_matches"](spark, "/root/testdata/sf0.001").explain("formatted")
+    assert "NestedLoop" not in capsys.readouterr().out
