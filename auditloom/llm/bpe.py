@@ -5,6 +5,8 @@ letters; BPE with a word-end suffix; no decoder. The file is read by the driver
 vocabulary, whatever the data). Pieces are encoded with a segment tree over the ranks of adjacent pairs: the root gives
 the leftmost pair of the lowest rank, a merge updates three leaves, and the walk ends when the root holds no pair.
 
+A file of another shape is refused: it would be read wrongly.
+
 Defined cases: null text is empty, an empty text has no tokens; a piece of any length costs n log n; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored.
 """
@@ -36,9 +38,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def readable(data: dict) -> None:
+    """Raises ValueError if a tokenizer's file asks for a step that Encoder does not take."""
+    model, normal, cut = data["model"], data.get("normalizer") or {}, data.get("pre_tokenizer") or {}
+    steps = [(s["type"], s.get("pattern"), s.get("content")) for s in normal.get("normalizers", [])]
+    cuts = [(c["type"], c.get("pattern"), c.get("behavior"), c.get("invert"), c.get("add_prefix_space"), c.get("use_regex")) for c in cut.get("pretokenizers", [])]
+    checks = {
+        "model": model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "normalizer": steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)],
+        "pre_tokenizer": cuts == [("Split", {"Regex": PIECES}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)],
+        "decoder": data.get("decoder") is None,
+        "added_tokens": not any(t.get(k) for t in data.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if wrong := [k for k, ok in checks.items() if not ok]:
+        raise ValueError(f"cannot read a tokenizer with such a {', '.join(wrong)}")
+
+
 class Encoder:
     def __init__(self, spec: str):
         data = json.loads(spec)
+        readable(data)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -154,7 +173,9 @@ def encoder(spec: str) -> Encoder:
 
 def _per_text(docs: DataFrame, tokenizer_path: str, id_column: str, text_column: str, fields: list[tuple[str, str, pa.DataType]], row: Callable[[list[tuple[str, int, str]]], tuple]) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    readable(json.loads(content))
+    spec = docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 from collections import Counter
@@ -304,6 +305,14 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe_encode(docs_of(spark, []), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("change", [{"decoder": {"type": "ByteLevel"}}, {"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"model": {"type": "Unigram"}}])
+def test_bpe_refuses_other_shapes(spark, tmp_path, change):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        (tmp_path / "other.json").write_text(json.dumps(json.load(f) | change))
+    with pytest.raises(ValueError, match=next(iter(change))):
+        bpe.bpe_encode(docs_of(spark, [(1, "a")]), str(tmp_path / "other.json"))
+
+
 def padding(lengths, counts, bounds):
     return sum(c * (min(b for b in bounds if b >= n) - n) for n, c in zip(lengths, counts, strict=True))
 
