@@ -36,6 +36,8 @@ from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -302,12 +304,14 @@ def _share_a_half(runs: np.ndarray, distinct: np.ndarray) -> np.ndarray:
 
 
 def _settled(runs: DataFrame, hot_runs: int) -> DataFrame:
-    """doc, content, marks (settled runs), wants (runs whose text is needed)."""
+    """doc, content, marks (settled runs), wants (runs whose text is needed). Rows come sorted by bucket; a task holds one bucket's records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.concatenate([np.zeros(0, RUN), *(np.frombuffer(x.as_buffer(), dtype=RUN) for batch in batches for x in batch.column(1))])
-        if not len(got):
-            return
+        rows = ((bucket, x) for batch in batches for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for _, same in groupby(rows, key=itemgetter(0)):
+            yield from settle(np.concatenate([np.frombuffer(x.as_buffer(), dtype=RUN) for _, x in same]))
+
+    def settle(got: np.ndarray) -> Iterator[pa.RecordBatch]:
         done, spread = got[got["n"] >= SETTLED], got[(got["n"] >= SPREAD) & (got["n"] < SETTLED)]
         done["n"] -= SETTLED
         spread["n"] -= SPREAD
@@ -474,7 +478,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = text_of(docs, text_column)
     key = [F.coalesce(docs[id_column].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("content")]
     plain = docs.select(*key, text.cast("binary").alias("bytes"))
-    settled = written(_settled(_runs(plain, length, buckets, local_hot).repartition(n, "bucket"), hot_runs), "runs")
+    settled = written(_settled(_runs(plain, length, buckets, local_hot).repartition(n, "bucket").sortWithinPartitions("bucket"), hot_runs), "runs")
 
     keyed = docs.select(*key, docs[id_column].isNull().alias("null_id"), text.cast("binary").alias("bytes"), *(docs[c].alias(f"carry_{c}") for c in carry)).repartition(n, "doc", "content")
     wants = settled.where(F.length("wants") > 0).groupBy("doc", "content").agg(F.collect_list("wants").alias("wants"))
