@@ -68,6 +68,7 @@ query("query_time_range_closed", f"{PAGE} timestamp >= TIMESTAMP '2024-01-05' AN
 query("query_page_desc", f"{PAGE} tenant_id = 't1' ORDER BY timestamp DESC, id LIMIT 100")(lambda e: q.page_of(e, q.Query(tenant_id="t1")).select(_page))
 query("query_page_asc_offset", f"{PAGE} category IN ('auth') ORDER BY timestamp, id LIMIT 25 OFFSET 50")(lambda e: q.page_of(e, q.Query(categories=["auth"], limit=25, offset=50, order="asc")).select(_page))
 query("query_offset_past_end", f"{PAGE} false")(lambda e: q.page_of(e, q.Query(tenant_id="t1", offset=10**7)).select(_page))
+query("query_offset_last_page", f"{PAGE} user_id = 'u7' QUALIFY row_number() OVER (ORDER BY timestamp DESC, id) > 3")(lambda e: q.page_of(e, q.Query(user_id="u7", offset=3, limit=10**6)).select(_page))
 query("query_total_has_more", "SELECT count(*) AS total, CAST(greatest(0, least(20, count(*) - 40)) AS BIGINT) AS page, count(*) > 40 + greatest(0, least(20, count(*) - 40)) AS has_more FROM audit WHERE category = 'auth'")(lambda e: q.page_report(e, q.Query(categories=["auth"], limit=20, offset=40)))
 query("by_user", f"{PAGE} user_id = 'u7' AND timestamp >= TIMESTAMP '2024-01-03' AND timestamp <= TIMESTAMP '2024-01-20'")(lambda e: q.by_user(e, "u7", datetime(2024, 1, 3), datetime(2024, 1, 20)).select(_page))
 query("tenant_scope_forced", f"{PAGE} app_id = 'app0' AND tenant_id = 't1' AND category IN ('data')")(lambda e: e.where(q.condition(MEMBER.apply(q.Query(tenant_id="t5", categories=["data"])))).select(_page))
@@ -341,6 +342,9 @@ IPS = "('1.2.3.4, 5.6.7.8', '9.9.9.9', '10.0.0.1:80'), ('', '9.9.9.9', '10.0.0.1
 query("client_ip", f"SELECT x, r, a, CASE WHEN x <> '' THEN split_part(x, ',', 1) WHEN r <> '' THEN r ELSE regexp_replace(a, ':[^:]*$', '') END AS ip FROM (VALUES {IPS}) t(x, r, a)")(
     lambda e: e.sparkSession.sql(f"SELECT * FROM VALUES {IPS} AS t(x, r, a)").withColumn("ip", client_ip(F.col("x"), F.col("r"), F.col("a")))
 )
+query("client_ip_events", "SELECT id, CASE WHEN outcome = 'success' THEN action WHEN severity = 'info' THEN resource ELSE category END AS ip FROM audit")(
+    lambda e: e.select("id", client_ip(F.when(F.col("outcome") == "success", F.concat("action", F.lit(", 10.0.0.1"))).otherwise(""), F.when(F.col("severity") == "info", F.col("resource")).otherwise(""), F.concat("category", F.lit(":443"))).alias("ip"))
+)
 query("time_ago", "SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' WHEN s < 31536000 THEN s // 2592000 || 'mo ago' ELSE s // 31536000 || 'y ago' END AS ago FROM (SELECT id, abs(epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(timestamp)) // 1000000 AS s FROM audit)")(
     lambda e: e.select("id", fx.time_ago(F.col("timestamp"), F.lit(datetime(2024, 1, 15, 12)).cast("timestamp_ntz")).alias("ago"))
 )
@@ -349,6 +353,7 @@ query("rfc3339_nano", "SELECT id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || rt
 query("list_split", "SELECT 'a,,b ' AS x, ['a', '', 'b '] AS parts UNION ALL SELECT '', []")(lambda e: e.sparkSession.sql("SELECT * FROM VALUES ('a,,b '), ('') AS t(x)").withColumn("parts", fx.split_list(F.col("x"))))
 query("list_split_events", "SELECT id, string_split(action || ',' || reason || ',' || outcome, ',') AS parts FROM audit")(lambda e: e.select("id", fx.split_list(F.concat_ws(",", "action", "reason", "outcome")).alias("parts")))
 query("sequence_clamp", "SELECT -5 AS n, 0 AS clamped UNION ALL SELECT 7, 7")(lambda e: e.sparkSession.sql("SELECT * FROM VALUES (-5), (7) AS t(n)").withColumn("clamped", fx.clamp_sequence(F.col("n").cast("bigint")).cast("int")))
+query("sequence_clamp_events", "SELECT id, CAST(greatest(day(timestamp) - 15, 0) AS BIGINT) AS clamped FROM audit")(lambda e: e.select("id", fx.clamp_sequence((F.day("timestamp") - 15).cast("bigint")).alias("clamped")))
 query("exact_seconds", "SELECT id, epoch_us(timestamp) / 1e6 AS seconds FROM audit")(lambda e: e.select("id", fx.seconds(F.col("timestamp")).alias("seconds")))
 
 _CLOCK = datetime(2024, 1, 18, 15, 30)
