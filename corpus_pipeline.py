@@ -28,21 +28,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null or empty text goes (it has too few words); a null language is a language of its own; repeated rows are judged alike
+    and all stay or go; null ids stay; an empty table stays empty; columns besides those of documents are dropped.
+    """
     keyed = _keyed(docs)
     kept = quality_rules(keyed, carry=("key_id", "key_text"), labels=quality_labels(spark, sf_dir)).where("kept").select(F.col("carry_key_id").alias("key_id"), F.col("carry_key_text").alias("key_text"))
     return keyed.join(kept, ["key_id", "key_text"], "left_semi").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id."""
+    """Of equal texts, the row with the largest id.
+
+    Null text equals empty text; a null id is below every other; of rows that repeat id and text one stays; an empty table
+    stays empty; columns besides those of documents are dropped.
+    """
     kept = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"), F.unhex("text_sha256").alias("digest"))
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"), F.unhex(F.sha2(text_of(docs), 256)).alias("digest"))
     return keyed.join(kept, ["key_id", "digest"], "left_semi").dropDuplicates(["key_id", "digest"]).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id; of several with that id, the one with the least hash of its text."""
+    """Of each group of near-duplicates, the document with the smallest id; of several with that id, the one with the least hash of its text.
+
+    Null and empty texts and those without a word have fingerprint zero and are one group; a null id is above every other; an
+    empty table stays empty; columns besides those of documents are dropped.
+    """
     keyed = _keyed(docs)
     groups = simhash_components(keyed, carry=("key_id", "key_text"))
     least = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("carry_key_id", "carry_key_text"))).alias("k")
@@ -51,13 +63,21 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeat earlier ones; a character that a cut breaks goes as a whole."""
+    """All documents, without the bytes that repeat earlier ones; a character that a cut breaks goes as a whole.
+
+    Null text becomes empty; a null id is below every other; rows that repeat id and text count as one and are cut alike; a
+    text may be left empty and stays; an empty table stays empty; columns besides those of documents are dropped.
+    """
     cut = substring_dedup(docs, carry=("lang", "source"), as_text=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their buckets and batches."""
+    """The pieces of all documents with their buckets and batches.
+
+    Empty text is one piece of length 0; a long text gives several; null ids and repeated rows have pieces of their own; an
+    empty table gives no piece.
+    """
     return pack(docs)
 
 
