@@ -65,7 +65,9 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
     good = " ".join(f"w{i}" for i in range(80))
     odd = [(None, None, None, None, None), (None, good, None, None, None), (7, good + " x", "en", "s", 5), (7, good + " x", "en", "s", 5)]
     spark.createDataFrame(odd, SCHEMA).write.parquet(str(tmp_path / "b/documents.parquet"))
-    assert {(r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path / "b")).collect()} <= {(None, 0), (7, 0)}
+    linked = (fingerprint_model(good) ^ fingerprint_model(good + " x")).bit_count() <= 2
+    got = Counter((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path / "b")).collect())
+    assert got == Counter({(7, 0): 1} if linked else {(None, 0): 1, (7, 0): 1})
 
 
 def test_near_stage_keeps_one_of_each_group_where_ids_repeat(spark, tmp_path):

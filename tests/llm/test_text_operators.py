@@ -411,6 +411,22 @@ def test_quality_rules(spark):
     assert perplexity.quality_rules(docs_of(spark, [])).count() == 0
 
 
+def test_quality_rules_repeated_rows_ties_and_long_texts(spark):
+    """Repeated rows count as often as they occur and get a result each; equal texts lie on their band's border, which is inside."""
+    rows = corpus(6, 40)
+    rows += rows[:7]
+    got = perplexity.quality_rules(docs_of(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    p, text = kneser_ney_model([(t or "").encode() for _, t in rows]), dict(rows)
+    for r in got:
+        b = (text[r.doc_id] or "").encode()
+        assert r.log_perplexity == pytest.approx(-sum(math.log(p((b"\0\0\0" + b)[k : k + 4])) for k in range(len(b))) / max(1, len(b)), rel=1e-4, abs=1e-5)
+    same = " ".join(f"w{i}" for i in range(70))
+    got = perplexity.quality_rules(docs_of(spark, [(i, same) for i in range(9)] + [(99, "lorem ipsum " * 200_000)])).collect()
+    assert {r.doc_id for r in got if r.kept} == set(range(9))
+    assert [(r.n_words, r.n_repeat_words, r.base_failed) for r in got if r.doc_id == 99] == [(400_000, 400_000, True)]
+
+
 def test_band_of_a_rare_language(spark):
     """A language of 30 documents judges its own, whatever the level and number of the others."""
     rnd = random.Random(12)
