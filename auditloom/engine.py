@@ -23,7 +23,7 @@ from .schema import ARCHIVES, ERASURES, KEYS, POLICIES, REPORTS
 from .sources.sinks import Sink
 from .sources.scratch import scratch
 from .sources.store import Store
-from .streaming.ingest import Recorder
+from .streaming.ingest import Batcher, Recorder
 
 
 @dataclass
@@ -35,14 +35,18 @@ class Engine:
     def __post_init__(self):
         self.store = Store(self.spark, self.path)
 
-    def record(self, scope: Scope, events: DataFrame | list[dict]) -> DataFrame:
-        """Records events (a DataFrame, or a few dictionaries) and gives them with their chain columns."""
+    def record(self, scope: Scope, events: DataFrame | list[dict], name: str | None = None) -> DataFrame:
+        """Records events (a DataFrame, or a few dictionaries) and gives them with their chain columns. A named batch is recorded once."""
         if isinstance(events, list):
             names = sorted({k for e in events for k in e})
             events = self.spark.createDataFrame([tuple(e.get(k) for k in names) for e in events], ", ".join(f"{k} {'timestamp_ntz' if k == 'timestamp' else 'string'}" for k in names))
             if not events.where("coalesce(action, '') = '' or coalesce(resource, '') = '' or coalesce(category, '') = ''" if {"action", "resource", "category"} <= set(names) else "true").isEmpty():
                 raise InvalidQuery("action, resource and category are required")
-        return Recorder(self.store, scope).record(events)
+        return Recorder(self.store, scope).record(events, name)
+
+    def batcher(self, scope: Scope, size: int = 100, seconds: float = 5.0) -> Batcher:
+        """Gathers single events of a scope and records them in batches."""
+        return Batcher(lambda events, name: self.record(scope, events, name), size, seconds)
 
     def events(self) -> DataFrame:
         """All events, with the erasures laid over them."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import logging
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..errors import InvalidQuery
 from ..functions.canonical import content, with_canonical
 from ..functions.ids import new_ids
 from ..functions.timeranges import utc_now
@@ -104,9 +107,59 @@ def critical(action: str, resource: str, resource_id: str = "") -> EventBuilder:
     return EventBuilder("critical", action, resource, resource_id)
 
 
+class Batcher:
+    """Gathers the single events of a caller and records them together: as soon as there are `size`, at the first add() or tick() when the oldest has waited `seconds`, at flush(), and at the end of a `with` block.
+
+    record(events, name) records a batch. If it raises, the batch stays and is tried again, under the same name, before
+    any later event, so a store that writes a name once has every event once. An event that lacks a required field is
+    refused when it is added and does not hold up others. One thread at a time.
+    """
+
+    def __init__(self, record: Callable[[list[dict[str, Any]], str], object], size: int = 100, seconds: float = 5.0, clock: Callable[[], float] = time.monotonic):
+        if size < 1 or seconds <= 0:
+            raise InvalidQuery("a batch needs a positive size and time")
+        self.record, self.size, self.seconds, self.clock = record, size, seconds, clock
+        self.held: list[dict[str, Any]] = []
+        self.unsent: tuple[list[dict[str, Any]], str] | None = None
+        self.since = 0.0
+
+    def __enter__(self) -> Batcher:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.flush()
+
+    def add(self, event: dict[str, Any]) -> None:
+        if missing := [c for c in REQUIRED if not event.get(c)]:
+            raise InvalidQuery(f"{', '.join(missing)}: required")
+        if not self.held:
+            self.since = self.clock()
+        self.held.append(event)
+        if len(self.held) >= self.size:
+            self.flush()
+        else:
+            self.tick()
+
+    def tick(self) -> None:
+        """Records what has waited long enough; for the caller's own loop, when no event comes."""
+        if self.held and self.clock() - self.since >= self.seconds:
+            self.flush()
+
+    def flush(self) -> None:
+        while self.unsent or self.held:
+            if self.unsent is None:
+                self.unsent, self.held = (self.held, uuid.uuid4().hex), []
+            self.record(*self.unsent)
+            self.unsent = None
+
+
 @dataclass
 class Recorder:
-    """The record path. before: DataFrame to DataFrame (a filter skips events); after: called with each recorded batch; alert handlers get the matches of rules."""
+    """The record path. before: DataFrame to DataFrame (a filter skips events); after: called with each recorded batch; alert handlers get the matches of rules.
+
+    As a `with` block it calls init() of the hooks that have one at its beginning, and at its end shutdown() of hooks, then
+    flush() and close() of sinks; an error of one is logged and stops no other.
+    """
 
     store: Store
     scope: Scope = Scope()
@@ -117,6 +170,23 @@ class Recorder:
     alert_handlers: list[Callable[[DataFrame], None]] = field(default_factory=list)
     quarantine: Callable[[DataFrame], None] | None = None
 
+    def __enter__(self) -> Recorder:
+        self._call("init", *self.before, *self.after)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self._call("shutdown", *self.before, *self.after)
+        self._call("flush", *self.sinks)
+        self._call("close", *self.sinks)
+
+    def _call(self, name: str, *parts: Any) -> None:
+        """Calls a method of the parts that have it."""
+        for part in parts:
+            try:
+                getattr(part, name, lambda: None)()
+            except Exception as e:
+                log.warning("%s failed: %s", name, e)
+
     def record(self, events: DataFrame, name: str | None = None) -> DataFrame:
         """Scope, defaults, hooks, validation, chains, store; then sinks, hooks and alerts. Gives the recorded batch. An error of a hook or sink is logged and stops nothing."""
         rows = with_defaults(self.scope.fill(normalised(events)))

@@ -288,6 +288,81 @@ def test_recorder_hooks_alerts_and_quarantine(spark, tmp_path):
     assert seen == [2] and raised == [1] and bad == [[["resource is required", "category is required"]]]
 
 
+def test_recorder_begins_and_ends_hooks_and_sinks(spark, tmp_path):
+    calls = []
+
+    class Hook:
+        def __call__(self, df):
+            return df
+
+        def init(self):
+            calls.append("init")
+
+        def shutdown(self):
+            calls.append("shutdown")
+            raise ValueError("logged")
+
+    class Buffer(sinks.MultiSink):
+        def flush(self):
+            calls.append("flush")
+
+        def close(self):
+            calls.append("close")
+
+    with ingest.Recorder(Store(spark, str(tmp_path)), Scope("app"), before=[Hook(), lambda d: d], sinks=[Buffer(), sinks.MultiSink()]):
+        assert calls == ["init"]
+    assert calls == ["init", "shutdown", "flush", "close"]
+
+
+def test_batcher_by_size_time_and_end():
+    now, got = [0.0], []
+    one = lambda i: {"action": str(i), "resource": "r", "category": "c"}
+    with ingest.Batcher(lambda events, name: got.append([e["action"] for e in events]), 3, 5.0, lambda: now[0]) as batcher:
+        for i in range(4):
+            batcher.add(one(i))
+        assert got == [["0", "1", "2"]]
+        batcher.tick()
+        now[0] = 4.0
+        batcher.add(one(4))
+        assert len(got) == 1
+        now[0] = 5.0  # the oldest came at 0
+        batcher.tick()
+        assert got[1:] == [["3", "4"]]
+        batcher.tick()
+        now[0] = 9.0
+        batcher.add(one(5))
+        with pytest.raises(InvalidQuery):
+            batcher.add(one(6) | {"category": ""})
+        assert len(got) == 2
+    assert got[2:] == [["5"]]
+    for size, seconds in ((0, 1.0), (1, 0.0)):
+        with pytest.raises(InvalidQuery):
+            ingest.Batcher(print, size, seconds)
+
+
+def test_batcher_tries_a_failed_batch_again(spark, tmp_path):
+    engine, scope, fail = Engine(spark, str(tmp_path / "s")), Scope("app", "ten"), [True]
+
+    def record(events, name):
+        engine.record(scope, events, name)
+        if fail.pop():  # fails after the batch is there
+            raise OSError("lost")
+        fail.append(False)
+
+    batcher = ingest.Batcher(record, 2, 60.0)
+    event = ingest.info("login", "session").category("auth").event()
+    batcher.add(event)
+    with pytest.raises(OSError):
+        batcher.add(event)
+    fail.append(False)
+    batcher.add(event)
+    batcher.flush()
+    assert [r.sequence for r in engine.store.events().orderBy("sequence").collect()] == [1, 2, 3]
+    with engine.batcher(scope, 10) as late:
+        late.add(event)
+    assert engine.count(scope, q.CountQuery()) == 4 and engine.verify_chain(scope).where("not valid").isEmpty()
+
+
 def test_stream_recording_restarts_without_repeats(spark, tmp_path):
     source, engine = str(tmp_path / "in"), Engine(spark, str(tmp_path / "s"))
     events(spark, 5).write.parquet(source)
