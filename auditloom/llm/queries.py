@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .chat_format import chat_format, events_of, read_back
-from .common import table
+from .common import LOWER, UPPER, table
+from .divergence import divergences
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .line_dedup import line_dedup
 from .packing import pack
 from .perplexity import quality_rules
+from .resampling import resample
+from .sharding import LAW, interleave
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
@@ -94,6 +97,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = interleave(table(spark, sf_dir, "documents"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -105,8 +121,19 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_interleaved_shards": op12_interleaved_shards,
+    "op13_source_divergence": op13_source_divergence,
 }
 
+#: The CRC-32 of each text x of a table `texts`, byte by byte with the usual table of remainders, as a table crcs (x, crc).
+CRCS = """remainders AS (
+  SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS r FROM range(256) v(i))
+), crcs AS (
+  SELECT x, xor(coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295), 4294967295) AS crc FROM texts, remainders
+)"""
+LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
 ORACLES = {
     "op3_chat_format": r"""
 WITH rows AS (
@@ -133,4 +160,58 @@ WITH lines AS (
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op11_importance_resampling": rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS row, true AS raw, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT -row_number() OVER (), false, NULL, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), words AS (
+  SELECT row, raw, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM worded
+), runs AS (
+  SELECT row, raw, a, a || ' ' || lead(a) OVER v AS b, a || ' ' || lead(a) OVER v || ' ' || lead(a, 2) OVER v AS c FROM words WINDOW v AS (PARTITION BY row ORDER BY i)
+), features AS (
+  SELECT row, raw, unnest([a, b, c]) AS x FROM runs
+), texts AS (SELECT DISTINCT x FROM features WHERE x IS NOT NULL), {CRCS}, bucketed AS (
+  SELECT row, raw, crc % 10000 AS b FROM features JOIN crcs USING (x)
+), counts AS (
+  SELECT b, CAST(count(*) FILTER (raw) AS DOUBLE) AS s, CAST(count(*) FILTER (NOT raw) AS DOUBLE) AS t FROM bucketed GROUP BY b
+), gains AS (
+  SELECT b, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counts
+), sums AS (
+  SELECT row, CAST(count(*) AS BIGINT) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM bucketed JOIN gains USING (b) WHERE raw GROUP BY row
+), scored AS (
+  SELECT d.row, doc_id, len(w) >= 20 AS eligible, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM worded d LEFT JOIN sums USING (row) WHERE raw
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id, row) AS place, count(*) OVER (PARTITION BY eligible) AS held FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= held * 5 // 100 THEN place END AS rank FROM ranked""",
+    "op12_interleaved_shards": f"""
+WITH texts AS (SELECT DISTINCT coalesce(text, '') AS x FROM documents), {CRCS}, narrow AS (
+  SELECT doc_id, coalesce(source, '') AS source, strlen(x) + 1 AS size, crc, left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 16) AS shuffled FROM documents JOIN crcs ON x = coalesce(text, '')
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY shuffled, doc_id NULLS FIRST, size, crc) - 1 AS rank, count(*) OVER (PARTITION BY source) AS held FROM narrow
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / held, source, rank) - 1 AS place, count(*) OVER () AS n FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(place * 8 // n AS INTEGER) AS shard, place - (place * 8 // n * n + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed""",
+    "op13_source_divergence": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '[^\x00-\x60\x7B-\x7F]+') AS terms FROM documents
+), words AS (SELECT row, lang, source, unnest(terms) AS term FROM docs
+), kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 10
+), langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang
+), counts AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 2) // (g.n + 2 * l.v) AS p, 1 + 1000000000 * (k.c + 2) // (l.n + 2 * l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+), terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM shares WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+) WHERE part = 'pair' OR rank <= 10""",
 }
