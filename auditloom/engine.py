@@ -7,8 +7,9 @@ the platform's own and take any scope, or none.
 from __future__ import annotations
 
 import secrets
+import uuid
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,20 @@ from .errors import InvalidQuery, NotFound
 from .functions.ids import new_id
 from .functions.timeranges import parse_duration, utc_now
 from .operators import chain, compliance, erasure, export, retention
+from .plans import cube
 from .plans import query as q
+from .schema import ERASURES, EVENTS, KEYS, POLICIES, REPORTS, struct
 from .scope import Scope
-from .schema import ARCHIVES, ERASURES, KEYS, POLICIES, REPORTS
-from .sources.sinks import Sink
-from .sources.scratch import scratch
+from .sources.commits import CommitLog
+from .sources.sinks import Sink, archived
 from .sources.store import Store
 from .streaming.ingest import Batcher, Recorder
 
 
+#: Events that a retention run expires: with the policy that does, and whether it archives them.
+EXPIRED = struct(", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in EVENTS.fields), "policy_id string", "policy_category string", "archive boolean"]))
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -48,52 +54,73 @@ class Engine:
         """Gathers single events of a scope and records them in batches."""
         return Batcher(lambda events, name: self.record(scope, events, name), size, seconds)
 
-    def events(self) -> DataFrame:
-        """All events, with the erasures laid over them."""
-        return erasure.erasure_overlay(self.store.events(), self.store.erasures())
+    def events(self, scope: Scope = Scope(), after: datetime | None = None, before: datetime | None = None, **having: str) -> DataFrame:
+        """The events with the erasures laid over them; of a scope, times or values that are named, from the files that may hold them."""
+        return erasure.erasure_overlay(self.store.events(scope.app_id, scope.tenant_id, after, before, **having), self.store.erasures())
+
+    def _asked(self, scope: Scope, query: q.Query | q.AggregateQuery | q.CountQuery) -> tuple:
+        """The events that a query's scope and times may find, and the query in its scope."""
+        query = scope.required().apply(query)
+        having = {"user_id": query.user_id} if getattr(query, "user_id", "") else {}
+        return self.store.events(query.app_id, query.tenant_id, query.after, query.before, **having), query
 
     def list_events(self, scope: Scope, query: q.Query) -> q.Page:
         limit, offset = q.clamp_page(query.limit, query.offset)
-        return q.run_query(self.events(), scope.required().apply(q.Query(**vars(query) | {"limit": limit, "offset": offset})))
+        return self.query(scope, q.Query(**vars(query) | {"limit": limit, "offset": offset}))
 
     def query(self, scope: Scope, query: q.Query) -> q.Page:
-        return q.run_query(self.events(), scope.required().apply(query))
+        """A page of at most MOST_ROWS events; all events of a filter are events().where(plans.query.condition(...))."""
+        events, query = self._asked(scope, query)
+        return q.run_query(erasure.erasure_overlay(events, self.store.erasures()), query)
 
     def get_event(self, scope: Scope, id: str):
-        return q.one(self.events().where(scope.required().owns()), id)
+        return q.one(self.events(scope.required(), id=id).where(scope.owns()), id)
 
     def events_by_user(self, scope: Scope, user_id: str, after: datetime | None = None, before: datetime | None = None) -> DataFrame:
-        return q.by_user(self.events().where(scope.required().owns()), user_id, after, before)
+        return q.by_user(self.events(scope.required(), after, before, user_id=user_id).where(scope.owns()), user_id, after, before)
 
     def aggregate(self, scope: Scope, query: q.AggregateQuery) -> DataFrame:
-        return q.aggregate(self.store.events(), scope.required().apply(query))
+        """Group counts; without times, from the counts that are kept beside the events."""
+        if query.after is None and query.before is None and query.group_by and cube.known(query.group_by):
+            return cube.grouped(self.store.cube().where(q.condition(scope.required().apply(query))), *query.group_by)
+        return q.aggregate(*self._asked(scope, query))
 
     def aggregate_total(self, scope: Scope, query: q.AggregateQuery) -> int:
-        return q.aggregate_total(self.store.events(), scope.required().apply(query)).first()[0]
+        return q.aggregate_total(*self._asked(scope, query)).first()[0]
 
     def count(self, scope: Scope, query: q.CountQuery) -> int:
-        return q.count(self.store.events(), scope.required().apply(query)).first()[0]
+        return q.count(*self._asked(scope, query)).first()[0]
 
     def stats(self, scope: Scope) -> tuple[DataFrame, DataFrame]:
-        events = self.store.events().where(scope.required().owns())
-        return q.stats_bundle(events, q.AggregateQuery()), q.recent(events)
+        """Counts, from those kept beside the events, and the newest events."""
+        events = self.store.events(scope.required().app_id, scope.tenant_id).where(scope.owns())
+        return cube.stats(self.store.cube().where(scope.owns())), q.recent(events)
+
+    def tiles(self, scope: Scope, now: datetime | None = None, days: int = 30) -> DataFrame:
+        """total, critical, failed: whole days from the counts kept beside the events; only the days that the range cuts are read."""
+        now = now or utc_now()
+        first, last = cube.whole_days(now - timedelta(days=days), now)
+        mine = lambda after, before: self.store.events(scope.required().app_id, scope.tenant_id, after, before).where(scope.owns() & q.condition(q.CountQuery(after=after, before=before)))
+        begun = mine(now - timedelta(days=days), min(first, now) - timedelta(microseconds=1))
+        edges = begun.unionByName(mine(max(last + timedelta(days=1), first), now))
+        return cube.tiles(self.store.cube().where(scope.owns()), edges, now, days)
 
     def verify_event(self, scope: Scope, id: str) -> bool:
-        event = self.store.events().where(scope.required().owns() & (F.col("id") == id))
+        event = self.store.events(scope.required().app_id, scope.tenant_id, id=id).where(scope.owns() & (F.col("id") == id))
         found = chain.verify_events(event).collect()
         if not found:
             raise NotFound(id)
         return found[0].valid
 
     def verify_chain(self, scope: Scope, start: int | None = None, end: int | None = None) -> DataFrame:
-        return chain.verify_chains(self.store.events().where(scope.owns()), start, end)
+        return chain.verify_chains(self.store.events(scope.app_id, scope.tenant_id).where(scope.owns()), start, end)
 
     def erase(self, scope: Scope, subject_id: str, reason: str = "", requested_by: str = "", now: datetime | None = None):
         """Destroys the subject's key, records the erasure and gives its record."""
         if not subject_id:
             raise InvalidQuery("subject_id is empty")
         now = now or utc_now()
-        events = self.store.events().where(scope.required().owns())
+        events = self.store.events(scope.required().app_id, scope.tenant_id, subject_id=subject_id).where(scope.owns())
         affected = erasure.count_by_subject(events, subject_id).first()[0]
         # keys of the scope's tenants; a key that was made without a scope is shared, and goes, too
         keys = self.store.keys().where((F.col("subject_id") == subject_id) & (scope.owns() | ((F.col("app_id") == "") & (F.col("tenant_id") == ""))))
@@ -139,25 +166,44 @@ class Engine:
         self.store.add("policies", self.spark.createDataFrame([(*old[:6], now or utc_now(), True)], POLICIES))
 
     def enforce_retention(self, now: datetime | None = None) -> dict[str, int]:
-        """Archives what the policies archive, then purges what they expire; a failed archive purges nothing."""
-        now = now or utc_now()
-        policies = retention.latest_policies(self.store.policies())
-        events = retention.marked(self.store.events(), policies, now)
-        path = scratch(self.spark, "expired")
-        events.where("policy_id is not null").write.parquet(path)
-        expired = self.spark.read.schema(events.schema).parquet(path)
-        counts = retention.enforce_counts(expired, policies).agg(F.sum("archived"), F.sum("purged")).first()
-        archived, purged = counts[0] or 0, counts[1] or 0
-        if purged:
-            summary = retention.archive_summary(expired)
-            if self.archive_sink is not None and archived:
-                self.archive_sink.write(expired.where("archive").drop("policy_id", "policy_category", "archive"))
-                ids = F.concat(F.lit("archive_"), F.left(F.sha2(F.concat_ws("|", "policy_id", F.lit(str(now))), 256), F.lit(26)))
-                self.store.add("archives", summary.select(ids.alias("id"), "policy_id", "category", "event_count", "from_timestamp", "to_timestamp", F.lit(self.archive_sink.name).alias("sink_name"), F.lit(now).cast("timestamp_ntz").alias("created_at")))
-            elif self.archive_sink is None:
-                archived = 0
-            self.store.replace_events(retention.survivors(events))
-        return {"archived": archived, "purged": purged, "retained": 0}
+        """Archives what the policies archive, then purges what they expire; a failed archive purges nothing.
+
+        What a run expires is written down first, and then that the run has begun. A run that did not end is taken up by
+        the next call, with the same events, whatever the policies are then: its archive is written again in the same
+        place, its records have the same ids and its purge has its name, so each event is archived once and purged once.
+        """
+        log = CommitLog(self.spark, f"{self.store.path}/retention/runs")
+        newest = log.newest()
+        run = log.read(newest) if newest else {"step": "done"}
+        if run["step"] == "done":
+            run = self._expire(now or utc_now())
+            if not run["purged"]:
+                return {"archived": 0, "purged": 0, "retained": 0}
+            newest += 1
+            if not log.take(newest, run):
+                run = log.read(newest)  # another caller began one
+        expired = self.spark.read.schema(EXPIRED).parquet(f"{self.store.path}/retention/{run['run']}")
+        if self.archive_sink is not None and run["archived"]:
+            ref = archived(self.archive_sink, expired.where("archive").drop("policy_id", "policy_category", "archive"), run["run"])
+            ids = F.concat(F.lit("archive_"), F.left(F.sha2(F.concat_ws("|", "policy_id", F.lit(run["run"])), 256), F.lit(26)))
+            summary = retention.archive_summary(expired).select(ids.alias("id"), "policy_id", "category", "event_count", "from_timestamp", "to_timestamp", F.lit(self.archive_sink.name).alias("sink_name"), F.lit(ref).alias("sink_ref"), F.lit(run["now"]).cast("timestamp_ntz").alias("created_at"))
+            self.store.add("archives", summary)
+        self.store.purge(expired, f"purge-{run['run']}")
+        log.take(newest + 1, run | {"step": "done"})
+        return {"archived": run["archived"] if self.archive_sink is not None else 0, "purged": run["purged"], "retained": 0}
+
+    def _expire(self, now: datetime) -> dict:
+        """Writes what the policies expire, from the files that can hold any of it; what a run needs to know."""
+        policies, run = retention.latest_policies(self.store.policies()), uuid.uuid4().hex
+        shortest = policies.agg(F.min("duration_ns")).first()[0]
+        none = {"run": run, "step": "begun", "now": now.isoformat(sep=" "), "archived": 0, "purged": 0}
+        if shortest is None:
+            return none
+        events = self.store.events(before=now - timedelta(microseconds=shortest // 1000))
+        path = f"{self.store.path}/retention/{run}"
+        retention.assigned(events, policies, now).select(*EXPIRED.names).write.parquet(path)
+        counts = retention.enforce_counts(self.spark.read.schema(EXPIRED).parquet(path), policies).agg(F.sum("archived"), F.sum("purged")).first()
+        return none | {"archived": counts[0] or 0, "purged": counts[1] or 0}
 
     def list_archives(self, limit: int = 0, offset: int = 0) -> DataFrame:
         return q.listing(self.store.archives(), limit, offset)
@@ -167,7 +213,7 @@ class Engine:
         if type not in compliance.TITLES or type == "custom" and not sections:
             raise InvalidQuery(f"no such report: {type}")
         defs, now = compliance.TEMPLATES.get(type) or tuple(sections), now or utc_now()
-        events = compliance.in_period(self.store.events(), after, before, scope.required().app_id, scope.tenant_id)
+        events = compliance.in_period(self.store.events(scope.required().app_id, scope.tenant_id, after, before), after, before, scope.app_id, scope.tenant_id)
         rows = compliance.section_events(events, defs, cap)
         made = compliance.Report(new_id("report"), title or compliance.TITLES[type], type, after, before, scope.app_id, scope.tenant_id, generated_by, defs, rows, compliance.group_counts(events), compliance.report_stats(rows).first().asDict(), now)
         body = export.to_json(made)

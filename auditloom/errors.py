@@ -23,3 +23,11 @@ class UnsupportedFormat(AuditError):
 
 class DuplicateSequence(AuditError):
     """Two events of one chain have the same sequence number."""
+
+
+class DuplicateEvent(AuditError):
+    """An event's identifier occurs twice."""
+
+
+class Conflict(AuditError):
+    """Another writer changed what this one was about to change."""

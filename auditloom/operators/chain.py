@@ -76,8 +76,8 @@ def _in_range(events: DataFrame, start: int | None, end: int | None) -> DataFram
 
 
 def _with_neighbours(rows: DataFrame) -> DataFrame:
-    """rows joined with the row before them: follows (there is one) and before (its hash). Where one is missing, rows with here = false stand for the rows that end a stretch: their sequence is one more."""
-    ended = rows.select(*SCOPE, (F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("before"), F.lit(True).alias("follows"))
+    """rows joined with the row before them: follows (there is one) and before (its hash). Where one is missing, rows with here = false stand for the rows that end a stretch: their sequence is one more. A number that several rows have stands once for them, with the least hash, so no row is multiplied."""
+    ended = rows.select(*SCOPE, (F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("h")).groupBy(*SCOPE, "sequence").agg(F.min("h").alias("before")).withColumn("follows", F.lit(True))
     return rows.withColumn("here", F.lit(True)).join(ended, [*SCOPE, "sequence"], "full").withColumns({"here": F.coalesce("here", F.lit(False)), "follows": F.coalesce("follows", F.lit(False))})
 
 
@@ -95,39 +95,67 @@ def holes(events: DataFrame, start: int | None = None, end: int | None = None) -
     return found
 
 
+#: Missing numbers that one row expands to; a longer hole becomes several rows first.
+BLOCK = 100_000
+#: The most numbers of each kind that a chain's report lists; it counts all.
+LISTED = 1000
+
+
+def _numbers(stretches: DataFrame) -> DataFrame:
+    """A row for each number of stretches (first, last), which may be of any length."""
+    blocks = stretches.withColumn("first", F.explode(F.sequence("first", "last", F.lit(BLOCK).cast("bigint"))))
+    return blocks.select(*SCOPE, F.explode(F.sequence("first", F.least("last", F.col("first") + (BLOCK - 1)))).alias("sequence"))
+
+
 def gaps(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    """The missing sequence numbers of each chain: app_id, tenant_id, sequence."""
-    return holes(events, start, end).select(*SCOPE, F.explode(F.sequence("first", "last")).alias("sequence"))
+    """The missing sequence numbers of each chain: app_id, tenant_id, sequence. holes() gives them as stretches, of which there are fewer."""
+    return _numbers(holes(events, start, end))
 
 
-def chain_marks(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Each event of the range with tampered: its hash or its link does not follow from the stored hash of the event before it. The first trusts its own prev_hash."""
-    joined = _with_neighbours(_in_range(events, start, end))
-    columns = [c for c in joined.columns if c not in ("here", "follows", "before")]
+def _marked(events: DataFrame, carry: list[str], start: int | None, end: int | None) -> DataFrame:
+    """The events of a range: carry, scope, sequence and tampered. Their content is hashed before they are joined, so what is not carried is not moved."""
+    own = with_canonical(_in_range(events, start, end)).select(*dict.fromkeys([*carry, *SCOPE, "sequence", "hash", "prev_hash"]), (event_hash(F.col("prev_hash")) == F.col("hash")).alias("own"))
+    joined = _with_neighbours(own)
+    columns = own.columns
     inner = joined.where("here and follows").select(*columns, F.col("before").alias("expected"))
     # a row after a hole is compared with the last row before the hole
     w = Window.partitionBy(*SCOPE).orderBy("sequence")
     edges = joined.where("not here or not follows").withColumn("expected", F.last(F.when(~F.col("here"), F.struct("before")), True).over(w)["before"])
     edges = edges.where("here").select(*columns, F.coalesce("expected", "prev_hash").alias("expected"))
-    rows = with_canonical(inner.unionByName(edges))
-    bad = (event_hash(F.col("expected")) != F.col("hash")) | (F.col("prev_hash") != F.col("expected"))
-    return rows.withColumn("tampered", bad).select(*events.columns, "tampered")
+    return inner.unionByName(edges).withColumn("tampered", ~F.col("own") | (F.col("prev_hash") != F.col("expected")))
+
+
+def chain_marks(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Each event of the range with tampered: its hash or its link does not follow from the stored hash of the event before it. The first trusts its own prev_hash."""
+    return _marked(events, events.columns, start, end).select(*events.columns, "tampered")
+
 
+def verify_chains(events: DataFrame, start: int | None = None, end: int | None = None, listed: int = LISTED) -> DataFrame:
+    """A report per chain: app_id, tenant_id, valid, verified (events), first_event, last_event, missing (how many numbers), altered (how many events), and the first `listed` of each ascending: gaps, tampered.
 
-def verify_chains(events: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    """A report per chain: app_id, tenant_id, valid, verified, first_event, last_event, gaps, tampered (ascending sequence numbers)."""
+    A hole of any length, and any number of holes, is one number here; holes() and chain_marks() give them all.
+    """
     if start is not None and end is not None and end < start:
         raise InvalidQuery("the range is empty")
-    marked = chain_marks(events, start, end).groupBy(*SCOPE).agg(
-        F.count(F.lit(1)).alias("verified"), F.min("sequence").alias("first_event"), F.max("sequence").alias("last_event"),
-        F.sort_array(F.collect_set(F.when(F.col("tampered"), F.col("sequence")))).alias("tampered"),
-    )
-    missing = gaps(events, start, end).groupBy(*SCOPE).agg(F.sort_array(F.collect_list("sequence")).alias("gaps"))
-    none = F.array().cast("array<bigint>")
-    chains = events.select(*SCOPE).distinct().join(marked, SCOPE, "left").join(missing, SCOPE, "left")
-    zero = F.lit(0).cast("bigint")
-    out = chains.withColumn("gaps", F.coalesce("gaps", none)).withColumn("tampered", F.coalesce("tampered", none))
-    return out.select(*SCOPE, ((F.size("gaps") == 0) & (F.size("tampered") == 0)).alias("valid"), *(F.coalesce(c, zero).alias(c) for c in ("verified", "first_event", "last_event")), "gaps", "tampered")
+    marks = _marked(events, [], start, end)
+    of_chain = Window.partitionBy(*SCOPE)
+    counted = marks.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("verified"), F.min("sequence").alias("first_event"), F.max("sequence").alias("last_event"), F.count_if("tampered").alias("altered"))
+    bad = marks.where("tampered").select(*SCOPE, "sequence").distinct()
+    named = bad.withColumn("n", F.row_number().over(of_chain.orderBy("sequence"))).where(F.col("n") <= listed).groupBy(*SCOPE).agg(F.sort_array(F.collect_list("sequence")).alias("tampered"))
+    stretches = holes(events, start, end)
+    size = F.col("last") - F.col("first") + 1
+    missing = stretches.groupBy(*SCOPE).agg(F.sum(size).alias("missing"))
+    # the first holes hold the first numbers, as each holds one at least
+    early = stretches.withColumn("n", F.row_number().over(of_chain.orderBy("first"))).where(F.col("n") <= listed)
+    early = early.withColumn("before", F.coalesce(F.sum(size).over(of_chain.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < listed)
+    shown = early.withColumn("last", F.least("last", F.col("first") + (F.lit(listed) - F.col("before") - 1)))
+    gap_lists = _numbers(shown.select(*SCOPE, "first", "last")).groupBy(*SCOPE).agg(F.sort_array(F.collect_list("sequence")).alias("gaps"))
+    out = events.select(*SCOPE).distinct()
+    for part in (counted, missing, named, gap_lists):
+        out = out.join(part, SCOPE, "left")
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+    out = out.withColumns({c: F.coalesce(c, zero) for c in ("verified", "first_event", "last_event", "missing", "altered")} | {c: F.coalesce(c, none) for c in ("gaps", "tampered")})
+    return out.select(*SCOPE, ((F.col("missing") == 0) & (F.col("altered") == 0)).alias("valid"), "verified", "first_event", "last_event", "missing", "altered", "gaps", "tampered")
 
 
 def assert_unique(events: DataFrame) -> DataFrame:

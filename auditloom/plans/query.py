@@ -7,13 +7,15 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidQuery, NotFound
 from ..schema import DIMENSIONS
 
 DEFAULT_LIMIT, HTTP_LIMIT, HTTP_MOST = 100, 50, 1000
+#: The most rows of a page that is gathered on the driver.
+MOST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -101,9 +103,9 @@ def page_of(events: DataFrame, query: Query) -> DataFrame:
 
 
 def run_query(events: DataFrame, query: Query) -> Page:
-    """The page and the total, in one job over the data: the total is observed below the sort."""
+    """The page, of at most MOST_ROWS rows, and the total, in one job over the data: the total is observed below the sort."""
     seen = Observation(f"total-{uuid.uuid4().hex}")
-    limit, offset = query.limit if query.limit > 0 else DEFAULT_LIMIT, max(0, query.offset)
+    limit, offset = min(query.limit, MOST_ROWS) if query.limit > 0 else DEFAULT_LIMIT, max(0, query.offset)
     found = events.where(condition(query)).observe(seen, F.count(F.lit(1)).alias("total")).where(after_cursor(query)).orderBy(*order_of(query)).offset(offset).limit(limit)
     rows = found.collect()  # at most limit rows
     total = seen.get["total"]
@@ -138,6 +140,12 @@ def aggregate(events: DataFrame, query: AggregateQuery) -> DataFrame:
     return events.where(condition(query)).groupBy(*query.group_by).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), *query.group_by)
 
 
+def ranked(events: DataFrame, query: AggregateQuery) -> DataFrame:
+    """aggregate() with the place of each group, from 1. There are few groups, as dimensions have few values."""
+    groups = aggregate(events, query)
+    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("count"), *query.group_by)).cast("bigint"))
+
+
 def aggregate_total(events: DataFrame, query: AggregateQuery) -> DataFrame:
     """How many events the groups of aggregate() hold in all."""
     return events.where(condition(query)).agg(F.count(F.lit(1)).alias("total"))

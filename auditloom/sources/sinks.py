@@ -40,6 +40,32 @@ def payload(events: DataFrame) -> Column:
     return F.to_json(F.struct(*fields))
 
 
+def archived(sink: Sink, events: DataFrame, name: str) -> str:
+    """Writes events under a name and gives the place. A sink that has write_named() replaces what an earlier try left there."""
+    named = getattr(sink, "write_named", None)
+    if named is not None:
+        return named(events, name)
+    sink.write(events)
+    return name
+
+
+class FolderSink:
+    """A sink whose files are below a path. write() adds to them; write_named() puts all of a batch below batch=name, so a batch that is written again is there once."""
+
+    path: str
+
+    def _write(self, events: DataFrame, path: str, mode: str) -> None:
+        raise NotImplementedError
+
+    def write(self, events: DataFrame) -> None:
+        self._write(events, self.path, "append")
+
+    def write_named(self, events: DataFrame, name: str) -> str:
+        path = f"{self.path}/batch={name}"
+        self._write(events, path, "overwrite")
+        return path
+
+
 class StdoutSink:
     """A JSON line per event on the driver's output; rows come one partition at a time."""
 
@@ -50,7 +76,7 @@ class StdoutSink:
             sys.stdout.write(row.line + "\n")
 
 
-class FileSink:
+class FileSink(FolderSink):
     """JSON lines under a directory; a file is closed by its task once it has `max_records` events."""
 
     name = "file"
@@ -58,11 +84,11 @@ class FileSink:
     def __init__(self, path: str, max_records: int = 0):
         self.path, self.max_records = path, max_records
 
-    def write(self, events: DataFrame) -> None:
-        events.select(payload(events).alias("value")).write.option("maxRecordsPerFile", self.max_records).mode("append").text(self.path)
+    def _write(self, events: DataFrame, path: str, mode: str) -> None:
+        events.select(payload(events).alias("value")).write.option("maxRecordsPerFile", self.max_records).mode(mode).text(path)
 
 
-class RotatingFileSink:
+class RotatingFileSink(FolderSink):
     """JSON lines in files of a directory that executors share, named prefix-time-part-number.jsonl; a task begins a new file when the one at hand has `max_bytes` or more before the next event."""
 
     name = "rotating-file"
@@ -70,8 +96,8 @@ class RotatingFileSink:
     def __init__(self, path: str, prefix: str = "audit", max_bytes: int = 0, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)):
         self.path, self.prefix, self.max_bytes, self.clock = path, prefix, max_bytes, clock
 
-    def write(self, events: DataFrame) -> None:
-        stamp, path, prefix, most = f"{self.clock():%Y%m%dT%H%M%SZ}", self.path, self.prefix, self.max_bytes
+    def _write(self, events: DataFrame, path: str, mode: str) -> None:
+        stamp, prefix, most = f"{self.clock():%Y%m%dT%H%M%SZ}", self.prefix, self.max_bytes
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Gives each line the number of its file."""
@@ -87,20 +113,23 @@ class RotatingFileSink:
 
         lines = events.select(payload(events).alias("value")).mapInArrow(cut, "value string, number int")
         name = F.concat(F.lit(f"{prefix}-{stamp}-"), F.lpad(F.spark_partition_id().cast("string"), 4, "0"), F.lit("-"), F.lpad(F.col("number").cast("string"), 4, "0"))
-        lines.select("value", name.alias("file")).write.partitionBy("file").mode("append").text(path)
+        lines.select("value", name.alias("file")).write.partitionBy("file").mode(mode).text(path)
 
 
-class PartitionedSink:
-    """Gzip JSON lines by category and day; a later write adds files and replaces none."""
+class PartitionedSink(FolderSink):
+    """Gzip JSON lines by category and day, at most `files` of each in a write; a later write adds files and replaces none."""
 
     name = "partitioned"
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, files: int = 4):
+        self.path, self.files = path, files
 
-    def write(self, events: DataFrame) -> None:
-        day = events.select(payload(events).alias("value"), *partition_columns())
-        day.write.partitionBy("category", "year", "month", "day").option("compression", "gzip").mode("append").text(self.path)
+    def _write(self, events: DataFrame, path: str, mode: str) -> None:
+        keys = ["category", "year", "month", "day"]
+        lines = events.select(payload(events).alias("value"), *partition_columns())
+        # dealt by day and a hash, so that neither every task writes to every day nor a large day meets in a task
+        dealt = lines.repartition(*keys, F.pmod(F.xxhash64("value"), F.lit(self.files)))
+        dealt.write.partitionBy(*keys).option("compression", "gzip").mode(mode).text(path)
 
 
 def partition_columns() -> list[Column]:
@@ -108,14 +137,14 @@ def partition_columns() -> list[Column]:
     return [F.col("category"), F.year(t).alias("year"), F.lpad(F.month(t).cast("string"), 2, "0").alias("month"), F.lpad(F.dayofmonth(t).cast("string"), 2, "0").alias("day")]
 
 
-class ParquetSink:
+class ParquetSink(FolderSink):
     name = "parquet"
 
     def __init__(self, path: str, partition_by: tuple[str, ...] = ()):
         self.path, self.partition_by = path, partition_by
 
-    def write(self, events: DataFrame) -> None:
-        events.write.partitionBy(*self.partition_by).mode("append").parquet(self.path)
+    def _write(self, events: DataFrame, path: str, mode: str) -> None:
+        events.write.partitionBy(*self.partition_by).mode(mode).parquet(path)
 
 
 class JdbcSink:

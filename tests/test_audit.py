@@ -375,12 +375,11 @@ def test_stream_recording_restarts_without_repeats(spark, tmp_path):
     assert engine.verify_chain(Scope()).where("valid and verified = 5").count() == 2
 
 
-def test_named_batches_and_head_repair(spark, tmp_path):
+def test_named_batches(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "s"))
     first = engine.store.append(events(spark, 3), "one")
     again = engine.store.append(events(spark, 3), "one")
     assert first.count() == again.count() == engine.store.events().count() == 3
-    engine.store.repair_heads()
     more = engine.store.append(events(spark, 2).withColumn("id", F.concat("id", F.lit("x"))))
     assert sorted(r.sequence for r in more.collect()) == [4, 5] and engine.verify_chain(Scope()).first().valid
 
@@ -442,18 +441,6 @@ def test_erasure_stays_with_its_tenant(spark, tmp_path):
     assert {(r.tenant_id, r.erasure_id) for r in engine.events().collect()} == {("a", done.id), ("b", whole.id)}
 
 
-def test_stale_heads_leave_the_table_as_it_was(spark, tmp_path, monkeypatch):
-    store = Store(spark, str(tmp_path / "s"))
-    store.append(make(spark, [{}, {}]))
-    heads = store.heads()
-    stale = [heads.where("false"), heads]
-    monkeypatch.setattr(store, "heads", lambda: stale.pop(0))
-    with pytest.raises(DuplicateSequence):
-        store.append(make(spark, [{"id": "audit_x"}]))
-    monkeypatch.undo()
-    assert store.events().count() == 2 and sorted(r.sequence for r in store.append(make(spark, [{"id": "audit_y"}])).collect()) == [3]
-
-
 def test_stored_reports_export_as_they_were_made(spark, tmp_path):
     engine, scope = Engine(spark, str(tmp_path / "s")), Scope("app", "ten")
     engine.record(scope, [{"action": a, "resource": "r", "category": "auth", "severity": s, "reason": 'a,"b"', "metadata": '{"k": [1]}', "timestamp": T0} for a, s in (("login", "info"), ("logout", "critical"))])

@@ -1,0 +1,311 @@
+"""The event store: commits that are whole or absent, several writers, reads by file, purges, compaction, counts, retention that is taken up again."""
+
+import threading
+from collections import Counter
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+from test_audit import T0, events, make
+
+from auditloom.engine import Engine
+from auditloom.errors import Conflict, DuplicateEvent
+from auditloom.operators import chain
+from auditloom.plans import cube
+from auditloom.plans import query as q
+from auditloom.scope import Scope
+from auditloom.sources import files, sinks, store
+from auditloom.sources.commits import CommitLog
+from auditloom.sources.store import Store
+from auditloom.streaming import ingest
+
+
+class Crash(Exception):
+    pass
+
+
+def crash(*args, **kwargs):
+    raise Crash
+
+
+def batch(spark, n, prefix, **fields):
+    return events(spark, n, **fields).withColumn("id", F.concat(F.lit(f"{prefix}_"), "id"))
+
+
+def assert_whole(at, ids):
+    """The ids are there once, and each chain verifies from 1 without a hole."""
+    assert sorted(r.id for r in at.events().select("id").collect()) == sorted(ids)
+    for r in chain.verify_chains(at.events()).collect():
+        assert r.valid and r.first_event == 1 and r.last_event == r.verified
+
+
+def ids_of(df):
+    return [r.id for r in df.select("id").collect()]
+
+
+def test_numbers_are_taken_once(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "log"))
+    assert log.newest() == 0
+    for n in range(1, 12):
+        assert log.take(n, {"n": n}) and not log.take(n, {"n": -n})
+        assert log.read(n) == {"n": n} and CommitLog(spark, str(tmp_path / "log")).newest() == n
+    assert log.newest() == 11 and not [p for p in (tmp_path / "log").iterdir() if p.name.startswith("_aside")]
+
+
+@pytest.mark.parametrize("step", ["append_chain", "described", "filters", "cube_of", "before the record", "after the record", "fold"])
+def test_a_failure_leaves_the_batch_whole_or_absent(spark, tmp_path, monkeypatch, step):
+    at = Store(spark, str(tmp_path / "s"))
+    monkeypatch.setattr(store, "SNAPSHOT_EVERY", 2)
+    first, second, third = (batch(spark, 3, p, tenant_id=t) for p, t in (("a", "t"), ("b", "u"), ("c", "t")))
+    ids = ids_of(at.append(first)) + ids_of(at.append(second))
+    with monkeypatch.context() as m:
+        take = CommitLog.take
+        if step == "before the record":
+            m.setattr(CommitLog, "take", crash)
+        elif step == "after the record":
+            m.setattr(CommitLog, "take", lambda *a: take(*a) and crash())
+        elif step == "fold":
+            at.append(batch(spark, 1, "d"))
+            ids += ids_of(batch(spark, 1, "d"))
+            m.setattr(Store, "fold", crash)
+        else:
+            m.setattr(files if step in ("described", "filters") else store, step, crash)
+        with pytest.raises(Crash):
+            at.append(third, "third")
+    fresh = Store(spark, at.path)
+    if step in ("after the record", "fold"):
+        ids += ids_of(third)
+    assert_whole(fresh, ids)
+    assert ids_of(fresh.append(third, "third")) and len(set(ids) | set(ids_of(third))) == fresh.events().count()
+    assert_whole(fresh, set(ids) | set(ids_of(third)))
+
+
+def test_a_writer_that_comes_second_goes_on_from_the_first(spark, tmp_path, monkeypatch):
+    """The other writer commits when this one has chained its batch, once on the same chain, once on another."""
+    mine, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    take, chained = CommitLog.take, []
+    monkeypatch.setattr(store, "append_chain", lambda *a: chained.append(1) or chain.append_chain(*a))
+    for prefix, tenant, times in (("x", "t", 3), ("y", "u", 2)):
+        rest = [batch(spark, 2, f"{prefix}2", tenant_id=tenant)]
+        with monkeypatch.context() as m:
+            m.setattr(CommitLog, "take", lambda log, *a, rest=rest: (rest and other.append(rest.pop())) and False or take(log, *a))
+            mine.append(batch(spark, 3, f"{prefix}1"))
+        assert len(chained) == times  # the same chain is chained again, another is not
+        chained.clear()
+    assert_whole(mine, [r for p in ("x1", "y1") for r in ids_of(batch(spark, 3, p))] + [r for p in ("x2", "y2") for r in ids_of(batch(spark, 2, p))])
+
+
+def test_writers_at_once(spark, tmp_path):
+    path, errors = str(tmp_path / "s"), []
+    rows = [batch(spark, 4, f"w{i}") for i in range(4)]
+
+    def write(df):
+        try:
+            Store(spark, path).append(df)
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(df,)) for df in rows]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    assert_whole(Store(spark, path), [i for df in rows for i in ids_of(df)])
+
+
+def test_an_id_is_recorded_once(spark, tmp_path):
+    at = Store(spark, str(tmp_path / "s"))
+    at.append(batch(spark, 5, "a"))
+    at.append(batch(spark, 5, "b"))
+    for twice in (batch(spark, 5, "a"), batch(spark, 1, "b").unionByName(batch(spark, 1, "c")), make(spark, [{"id": "d"}, {"id": "d"}])):
+        with pytest.raises(DuplicateEvent):
+            at.append(twice)
+    assert at.events().count() == 10 and [r.sequence for r in at.append(batch(spark, 1, "c")).collect()] == [11]
+
+
+def test_lookups_open_few_files(spark, tmp_path):
+    at = Store(spark, str(tmp_path / "s"))
+    for i in range(4):
+        at.append(make(spark, [{"id": f"{k:03d}-{i}", "user_id": f"u{k % 3 + 3 * i}", "subject_id": f"s{i}", "tenant_id": f"t{i % 2}", "timestamp": T0 + timedelta(days=i)} for k in range(6)]).coalesce(1))
+    n = lambda **k: at.files_for(**k).count()
+    assert n() == 4 and n(app_id="a") == 4 and n(app_id="b") == n(app_id="a", tenant_id="t9") == 0
+    assert n(app_id="a", tenant_id="t1") == 2 and n(after=T0 + timedelta(days=2)) == 2 and n(app_id="a", tenant_id="t1", before=T0 + timedelta(days=1)) == 1
+    assert n(id="002-2") == n(user_id="u4") == n(subject_id="s3") == 1 and n(id="nothing") == 0
+    assert [r.id for r in at.events(id="002-2").where("id = '002-2'").collect()] == ["002-2"]
+    engine, scope = Engine(spark, at.path), Scope("a", "t1")
+    assert engine.get_event(scope, "003-1").user_id == "u3" and engine.events_by_user(scope, "u4").count() == 2
+    assert engine.query(scope, q.Query(user_id="u4")).total == 2 and engine.count(scope, q.CountQuery(after=T0 + timedelta(days=2))) == 6
+
+
+def test_filters_pass_what_was_put_in_and_little_else(spark, tmp_path):
+    at = Store(spark, str(tmp_path / "s"))
+    ids = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("id"))
+    at.append(ids.select("id", *(F.lit(v).alias(c) for c, v in (("app_id", "a"), ("tenant_id", "t"), ("action", "x"))), F.lit(T0).cast("timestamp_ntz").alias("timestamp")))
+    live = at.files()
+    probe = lambda rows: files.may_hold(live, at._filters(live), "id", rows.select(F.col("id").alias("value"))).select("value").distinct().count()
+    assert probe(ids) == 20_000 and probe(spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("id"))) < 1500
+    assert files.may_hold(live.where("false"), at._filters(live), "id", ids.select(F.col("id").alias("value"))).count() == 0
+
+
+def days(spark, at):
+    """One file for each of six days and two categories, and one file of both."""
+    for i in range(6):
+        for c in ("auth", "data"):
+            at.append(make(spark, [{"id": f"{c}-{i}-{k}", "category": c, "timestamp": T0 + timedelta(days=i, minutes=k)} for k in range(4)]).coalesce(1))
+    at.append(make(spark, [{"id": f"m{k}", "category": "auth" if k % 2 else "data", "timestamp": T0 + timedelta(days=k % 6, hours=1)} for k in range(12)]).coalesce(1))
+
+
+def test_a_purge_drops_whole_files_and_rewrites_mixed_ones(spark, tmp_path):
+    at = Store(spark, str(tmp_path / "s"))
+    days(spark, at)
+    before = {r.path for r in at.files().collect()}
+    doomed = at.events().where((F.col("category") == "auth") & (F.col("timestamp") < T0 + timedelta(days=3))).select("id", "timestamp")
+    gone = {r.id for r in doomed.collect()}
+    want = Counter((r.id, r.sequence, r.hash) for r in at.events().collect() if r.id not in gone)
+    assert at.purge(doomed, "p") == {"dropped": 3, "rewritten": 1}
+    after = {r.path for r in at.files().collect()}
+    assert len(before - after) == 4 and len(after - before) <= 4
+    assert Counter((r.id, r.sequence, r.hash) for r in at.events().collect()) == want
+    assert at.purge(at.events(), "p") == {"dropped": 0, "rewritten": 0}  # its name is there
+    assert at.heads().first().head_seq == 60  # heads do not go back
+    assert at.purge(at.events(), "all")["rewritten"] == 0 and at.events().count() == 0 and at.cube().count() == 0
+    assert [r.sequence for r in at.append(batch(spark, 1, "new")).collect()] == [61]
+
+
+def test_what_is_appended_during_a_purge_stays(spark, tmp_path, monkeypatch):
+    at, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    at.append(batch(spark, 4, "a"))
+    take, rest = CommitLog.take, [batch(spark, 2, "b")]
+    with monkeypatch.context() as m:
+        m.setattr(CommitLog, "take", lambda log, *a: (rest and other.append(rest.pop())) and False or take(log, *a))
+        at.purge(at.events())
+    assert sorted(ids_of(at.events())) == sorted(ids_of(batch(spark, 2, "b")))
+
+
+def test_a_purge_and_a_compaction_at_once(spark, tmp_path, monkeypatch):
+    """The one that comes second finds its files replaced, and begins again."""
+    at, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    for i in range(3):
+        at.append(batch(spark, 3, f"b{i}").coalesce(1))
+    doomed = spark.createDataFrame(at.events().where("id LIKE 'b1%'").select("id", "timestamp").collect(), "id string, timestamp timestamp_ntz")
+    replace, once = Store._replace, [1]
+
+    def late(self, *args):
+        if self is at and once:
+            once.pop()
+            other.compact(100)
+        return replace(self, *args)
+
+    monkeypatch.setattr(Store, "_replace", late)
+    at.purge(doomed)
+    assert sorted(ids_of(at.events())) == sorted(i for p in ("b0", "b2") for i in ids_of(batch(spark, 3, p)))
+    with pytest.raises(Conflict):
+        spark.createDataFrame([("batches/none/events/x",)], "path string").write.parquet(f"{at.path}/batches/z/removed")
+        replace(at, "purge", "batches/z", ("removed",))
+
+
+def test_compaction_keeps_rows_heads_and_counts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SNAPSHOT_EVERY", 5)
+    at = Store(spark, str(tmp_path / "s"))
+    for i in range(12):
+        at.append(make(spark, [{"id": f"{i}-{k}", "tenant_id": f"t{k % 4}", "timestamp": T0 + timedelta(days=i)} for k in range(8)]).coalesce(1))
+    seen = lambda s: (Counter(map(tuple, s.events().collect())), sorted(map(tuple, s.heads().collect())), sorted(map(tuple, s.cube().collect())))
+    before = seen(at)
+    assert at.compact(32) == {"before": 12, "after": 3}
+    assert seen(at) == before and at.files().count() == 3 and at.compact(32)["before"] == at.compact(32)["after"]
+    assert seen(Store(spark, at.path)) == before
+    scopes = [(r.first_scope, r.last_scope, r.first_time, r.last_time) for r in at.files().collect()]
+    assert any(a != scopes[0][0] or b != scopes[0][1] for a, b, *_ in scopes)  # files differ in what they cover
+    assert_whole(at, [f"{i}-{k}" for i in range(12) for k in range(8)])
+
+
+def test_curve_keeps_scopes_and_times_together(spark):
+    rows = spark.range(4096).selectExpr("concat('i', id) AS id", "'a' AS app_id", "concat('t', id % 16) AS tenant_id", "id AS sequence", "timestampadd(HOUR, cast(id AS int), TIMESTAMP_NTZ '2024-01-01') AS timestamp")
+    parts = files.clustered(rows, 16).groupBy(F.spark_partition_id()).agg(F.countDistinct("tenant_id").alias("tenants"), (F.max("timestamp") - F.min("timestamp")).alias("span"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in parts) == 4096
+    # of 16 tenants and 170 days, a file has a part of either
+    assert max(r.tenants for r in parts) < 16 and sum(r.span < timedelta(days=100) for r in parts) > len(parts) / 2
+    assert files.clustered(rows.where("false"), 4).count() == 0
+
+
+def test_counts_beside_the_events_equal_a_scan(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "s"))
+    rows = [{"id": f"e{k}", "category": ("auth", "data", "ai")[k % 3], "severity": ("info", "critical")[k % 2], "outcome": ("success", "failure", "denied")[k % 5 % 3], "tenant_id": f"t{k % 2}", "timestamp": T0 - timedelta(hours=7 * k)} for k in range(150)]
+    engine.store.append(make(spark, rows[:70]))
+    engine.store.append(make(spark, rows[70:]))
+    engine.store.purge(engine.store.events().where("category = 'ai' AND tenant_id = 't0'").select("id", "timestamp"))
+    for scope in (Scope("a"), Scope("a", "t1"), Scope("b")):
+        live = engine.store.events().where(scope.owns())
+        assert Counter(map(tuple, engine.stats(scope)[0].collect())) == Counter(map(tuple, q.stats_bundle(live, q.AggregateQuery()).collect()))
+        assert engine.aggregate(scope, q.AggregateQuery(group_by=["category", "outcome"])).collect() == q.aggregate(live, q.AggregateQuery(group_by=["category", "outcome"])).collect()
+        for now, n in ((T0, 30), (T0 - timedelta(days=5, microseconds=1), 3), (T0.replace(hour=0, minute=0), 1), (T0, 0)):
+            assert tuple(engine.tiles(scope, now, n).first()) == tuple(q.dashboard_tiles(live, now, n).first()), (scope, now, n)
+    assert all("/cube/" in f for f in engine.stats(Scope("a"))[0].inputFiles())
+    assert cube.whole_days(T0, T0 + timedelta(days=1)) == (T0.replace(hour=0, minute=0) + timedelta(days=1), T0.replace(hour=0, minute=0))
+
+
+class Flaky(sinks.PartitionedSink):
+    """Fails after having written, as often as it is told to."""
+
+    def __init__(self, path, fails):
+        super().__init__(path)
+        self.fails = fails
+
+    def write_named(self, events, name):
+        out = super().write_named(events, name)
+        if self.fails:
+            self.fails -= 1
+            raise Crash
+        return out
+
+
+@pytest.mark.parametrize("step", ["mark", "archive", "record", "purge", "done"])
+def test_retention_goes_on_after_a_failure(spark, tmp_path, monkeypatch, step):
+    out = str(tmp_path / "archive")
+    engine, scope = Engine(spark, str(tmp_path / "s"), Flaky(out, int(step == "archive"))), Scope("app", "t")
+    engine.record(scope, [ingest.info("a", "r").category(c).event() | {"id": f"{c}{d}", "timestamp": T0 - timedelta(days=d)} for c, d in (("auth", 40), ("auth", 50), ("auth", 5), ("data", 40))])
+    engine.save_policy(scope, "auth", "720h", archive=True, now=T0)
+    engine.save_policy(scope, "data", "720h", now=T0)
+    with monkeypatch.context() as m:
+        if step == "record":
+            m.setattr(Store, "add", crash)
+        elif step == "purge":
+            m.setattr(Store, "_replace", crash)
+        elif step in ("mark", "done"):
+            take = CommitLog.take
+            m.setattr(CommitLog, "take", lambda log, n, r: crash() if log.path.endswith("retention/runs") and r["step"] == ("begun" if step == "mark" else "done") else take(log, n, r))
+        with pytest.raises(Crash):
+            engine.enforce_retention(T0)
+    engine.record(scope, [ingest.info("a", "r").category("auth").event() | {"id": "late", "timestamp": T0 - timedelta(days=60)}])
+    again = engine.enforce_retention(T0)
+    first = 3 if step == "mark" else 2  # the late event belongs to a run only if none had begun
+    assert again == {"archived": first, "purged": first + 1, "retained": 0}
+    last = engine.enforce_retention(T0)
+    assert last["archived"] == 3 - first and ids_of(engine.store.events()) == ["auth5"]
+    assert sorted(r.id for r in spark.read.json(out).collect()) == ["auth40", "auth50", "late"]
+    kept = engine.list_archives().collect()
+    assert sum(r.event_count for r in kept) == 3 and all(r.sink_ref.startswith(f"{out}/batch=") for r in kept)
+    assert engine.enforce_retention(T0) == {"archived": 0, "purged": 0, "retained": 0}
+
+
+def test_a_hole_of_any_length_and_repeated_numbers(spark):
+    """Three thousand million numbers are missing; a number that several rows have multiplies nothing."""
+    c = chain.append_chain(events(spark, 4))
+    far = c.withColumn("sequence", F.when(F.col("sequence") == 4, F.lit(3_000_000_004)).otherwise(F.col("sequence")))
+    got = chain.verify_chains(far).first()
+    assert (got.verified, got.missing, got.altered, got.valid, got.last_event) == (4, 3_000_000_000, 0, False, 3_000_000_004)
+    assert got.gaps == list(range(4, 1004)) and got.tampered == []
+    twice = c.unionByName(c.where("sequence > 1")).unionByName(c.where("sequence = 2"))
+    got = chain.verify_chains(twice).first()
+    assert (got.verified, got.missing, got.altered, got.first_event, got.last_event) == (8, 0, 0, 1, 4)
+    wide = c.withColumn("sequence", F.col("sequence") * 250_001)
+    assert chain.gaps(wide).agg(F.count("*"), F.countDistinct("sequence"), F.max("sequence")).first() == (4 * 250_000, 4 * 250_000, 4 * 250_001 - 1)
+    listed = chain.verify_chains(c.withColumn("sequence", F.col("sequence") * 3), listed=5).first()
+    assert listed.gaps == [1, 2, 4, 5, 7] and listed.missing == 8
+
+
+def test_partitioned_sink_writes_few_files(spark, tmp_path):
+    rows = make(spark, [{"category": c, "timestamp": T0 + timedelta(minutes=i)} for i in range(40) for c in ("auth", "data")]).repartition(8)
+    sinks.PartitionedSink(str(tmp_path / "p"), 2).write(rows)
+    assert len(list((tmp_path / "p").rglob("*.gz"))) <= 4 and spark.read.json(str(tmp_path / "p")).count() == 80
