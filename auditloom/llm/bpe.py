@@ -7,6 +7,10 @@ the leftmost pair of the lowest rank, a merge updates three leaves, and the walk
 
 A file of another shape is refused: it would be read wrongly.
 
+What a letter, a number, a lower case and a combining mark are depends on the version of Unicode. The tokenizers library
+is asked once, by the driver, for every code point on which it differs from the modules used here; texts that hold such
+code points take its answers.
+
 Defined cases: null text is empty, an empty text has no tokens; a piece of any length costs n log n; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored.
 """
@@ -15,8 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -31,6 +38,43 @@ NO_PAIR = 1 << 62
 REMEMBERED = 500_000
 
 
+def _class(points: list[int]) -> str:
+    """Code points as the inside of a character class, by ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(points):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@lru_cache
+def library_unicode() -> dict[str, str]:
+    """Character classes of code points on which the tokenizers library differs: more and fewer letters and numbers, other lower case (and which), marks without order or composition."""
+    from tokenizers import Regex, normalizers
+
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    lines = lambda normalizer, texts: normalizer.normalize_str("\n".join(texts)).split("\n")
+    out = {}
+    for kind in "LN":
+        theirs, ours = set(normalizers.Replace(Regex(rf"[^\p{{{kind}}}]"), "").normalize_str(every)), set(regex.findall(rf"\p{{{kind}}}", every))
+        out[kind], out[f"not {kind}"] = _class([ord(c) for c in theirs - ours]), _class([ord(c) for c in ours - theirs])
+    letters = [chr(c) for c in points if unicodedata.category(chr(c)) in ("Lu", "Lt", "Cn", "So", "Nl") and chr(c) != "Σ"]
+    other = {c: low for c, low in zip(letters, lines(normalizers.Lowercase(), letters), strict=True) if low != c.lower()}
+    out["case"], out["lower"] = _class(list(map(ord, other))), json.dumps(other)
+    nfc = normalizers.NFC()
+    # a mark that has an order changes places with one of a lower or a higher order
+    marks = [chr(c) for c in points if unicodedata.combining(chr(c))]
+    tries = [c + "\u0334" if unicodedata.combining(c) > 1 else "\u0345" + c for c in marks]
+    loose = [c for c, text, found in zip(marks, tries, lines(nfc, tries), strict=True) if unicodedata.normalize("NFC", text) != found]
+    pairs = ["".join(chr(int(x, 16)) for x in d.split()) for c in points if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d]
+    loose += [text[1] for text, found in zip(pairs, lines(nfc, pairs), strict=True) if unicodedata.normalize("NFC", text) != found]
+    out["marks"] = _class([ord(c) for c in loose])
+    return out
+
+
 def byte_letters() -> list[str]:
     """A printable letter for each byte: printable Latin-1 stands for itself, the others follow from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -55,7 +99,9 @@ def readable(data: dict) -> None:
 
 
 class Encoder:
-    def __init__(self, spec: str):
+    """spec: the tokenizer's file. differs: library_unicode(); without it, the modules' own Unicode is used."""
+
+    def __init__(self, spec: str, differs: dict[str, str] | None = None):
         data = json.loads(spec)
         readable(data)
         model = data["model"]
@@ -70,7 +116,16 @@ class Encoder:
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
         self.added = added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.pieces = regex.compile(PIECES)
+        self.pieces = self.odd_pieces = regex.compile(PIECES)
+        self.odd = self.apart = None
+        differs = {k: v for k, v in (differs or {}).items() if v}
+        self.lower: dict[str, str] = json.loads(differs.pop("lower", "{}"))
+        if differs:
+            classes = {k: "[" + rf"\p{{{k}}}" + (differs.get(k) or "") + (f"--[{differs[f'not {k}']}]" if f"not {k}" in differs else "") + "]" for k in "LN"}
+            self.odd_pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{classes['L']}+|{classes['N']}|(?:(?!\s|{classes['L']}|{classes['N']})[\s\S])+")
+            self.odd = re.compile("[" + "".join(differs.values()) + "]")
+            apart = differs.get("case", "") + differs.get("marks", "")
+            self.apart = re.compile(f"([{apart}])") if apart else None
         self.inner = [self.vocab.get(x) for x in byte_letters()]
         self.last = [self.vocab.get(x + self.suffix) for x in byte_letters()]
         self.known: dict[str, tuple[str, int, str]] = {}
@@ -139,8 +194,10 @@ class Encoder:
                 self.known[piece] = found
         return found
 
-    def normal(self, text: str) -> str:
-        """NFC and lower case; a capital sigma is lowered without regard to its place."""
+    def normal(self, text: str, odd: bool = False) -> str:
+        """NFC and lower case; a capital sigma is lowered without regard to its place. In an odd text, code points with another lower case, and marks that the library leaves where they are, stand apart from what is around them."""
+        if odd and self.apart:
+            return "".join(self.lower.get(part, part) if k % 2 else self.normal(part) for k, part in enumerate(self.apart.split(text)))
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
@@ -150,7 +207,8 @@ class Encoder:
             if k % 2:
                 yield str(self.added[part]), 1, part
             elif part:
-                yield from map(self.rendered, self.pieces.findall(self.normal(part)))
+                odd = self.odd is not None and not part.isascii() and self.odd.search(part) is not None
+                yield from map(self.rendered, (self.odd_pieces if odd else self.pieces).findall(self.normal(part, odd)))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, n, _ in self.parts(text) if n for i in ids.split(" ")]
@@ -163,11 +221,11 @@ class Encoder:
 ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, differs: dict[str, str]) -> Encoder:
     """One encoder per Python worker and specification."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in ENCODERS:
-        ENCODERS[key] = Encoder(spec)
+        ENCODERS[key] = Encoder(spec, differs)
     return ENCODERS[key]
 
 
@@ -175,10 +233,10 @@ def _per_text(docs: DataFrame, tokenizer_path: str, id_column: str, text_column:
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
     readable(json.loads(content))
-    spec = docs.sparkSession.sparkContext.broadcast(content)
+    spec = docs.sparkSession.sparkContext.broadcast((content, library_unicode()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(spec.value)
+        bpe = encoder(*spec.value)
         for batch in batches:
             rows = [row([p for p in bpe.parts(t.as_py()) if p[1]]) for t in batch.column(1)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
