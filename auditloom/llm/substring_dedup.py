@@ -58,6 +58,8 @@ GROUP = 1 << 20
 HOT_RUNS, LOCAL_HOT = 10_000, 64
 #: Bytes of text under one key, beyond which its windows are dealt singly; more than HOT_RUNS runs have.
 KEY_BYTES = 1 << 22
+#: Records of runs in a bucket, which a task holds at a time. A byte of text has about 5/4 bytes of records (48 for every 39), so the number of buckets follows from the bytes of all texts.
+BUCKET_BYTES = 1 << 25
 #: Windows in a piece of a hot run.
 PIECE = 8
 #: Flags in the count of windows, which is below SPREAD: the run is settled; its minimiser is hot. A count of 0 says that a minimiser is hot.
@@ -474,8 +476,9 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if not 2 * GRAM <= length < SPREAD:
         raise ValueError(f"length must be at least {2 * GRAM} and below {SPREAD}")
     n = partitions(docs.sparkSession)
-    buckets = 8 * n
     text = text_of(docs, text_column)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    buckets = max(8 * n, -(-size * 5 // (4 * BUCKET_BYTES)))
     key = [F.coalesce(docs[id_column].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("content")]
     plain = docs.select(*key, text.cast("binary").alias("bytes"))
     settled = written(_settled(_runs(plain, length, buckets, local_hot).repartition(n, "bucket").sortWithinPartitions("bucket"), hot_runs), "runs")
