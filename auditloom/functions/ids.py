@@ -6,7 +6,6 @@ import re
 import time
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,10 +41,20 @@ def id_prefix(column: Column) -> Column:
 
 
 def new_ids(prefix: str) -> Column:
-    """A new identifier in each row. Write the rows before they are used twice: each evaluation makes others."""
-
-    @F.pandas_udf("string")
-    def make(rows: pd.Series) -> pd.Series:
-        return pd.Series([new_id(prefix) for _ in rows])
-
-    return make.asNondeterministic()(F.lit(0))
+    """A new identifier in each row: this moment, then random bits. Write the rows before they are used twice: each evaluation makes others."""
+    random = F.translate(F.uuid(), "-", "")
+    bits = lambda start, digits: F.conv(F.substring(random, start, digits), 16, 10).cast("bigint")
+    # 128 bits in two halves: 48 of time, 4 of version, 12 random; 2 of variant, 62 random
+    made = F.named_struct(
+        F.lit("high"), F.shiftleft(F.unix_millis(F.current_timestamp()), 16).bitwiseOR(F.lit(7 << 12)).bitwiseOR(bits(1, 3)),
+        F.lit("low"), F.shiftleft(bits(21, 7), 34).bitwiseOR(F.shiftleft(bits(4, 7), 6)).bitwiseOR(bits(29, 2).bitwiseAND(F.lit(63))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(-(1 << 63))),
+    )
+    letter = lambda value: F.substring(F.lit(ALPHABET), (value.bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+
+    def written(x: Column) -> Column:
+        high, low = x["high"], x["low"]
+        between = F.shiftrightunsigned(low, 60).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(1)), 4))
+        return F.concat(F.lit(f"{prefix}_"), *(letter(F.shiftrightunsigned(high, 5 * i + 1)) for i in range(12, -1, -1)), letter(between), *(letter(F.shiftrightunsigned(low, 5 * i)) for i in range(11, -1, -1)))
+
+    # one evaluation of the random bits for all letters
+    return F.transform(F.array(made), written)[0]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidQuery, NotFound
 from ..schema import DIMENSIONS
+from .order import placed
 
 DEFAULT_LIMIT, HTTP_LIMIT, HTTP_MOST = 100, 50, 1000
 #: The most rows of a page that is gathered on the driver.
@@ -102,17 +103,34 @@ def page_of(events: DataFrame, query: Query) -> DataFrame:
     return events.where(condition(query) & after_cursor(query)).orderBy(*order_of(query)).offset(max(0, query.offset)).limit(query.limit if query.limit > 0 else DEFAULT_LIMIT)
 
 
+def deep_page(events: DataFrame, query: Query) -> DataFrame:
+    """The page at any offset: every (timestamp, id) gets its place by ranges, and the few of the page bring their events, so no task holds offset rows."""
+    found = events.where(condition(query) & after_cursor(query))
+    offset, limit = max(0, query.offset), query.limit if query.limit > 0 else DEFAULT_LIMIT
+    keys = placed(found.select("timestamp", "id"), *order_of(query)).where(F.col("place").between(offset, offset + limit - 1)).select("id")
+    page = found.join(F.broadcast(keys) if limit <= MOST_ROWS else keys, "id", "left_semi")
+    return page.orderBy(*order_of(query))
+
+
 def run_query(events: DataFrame, query: Query) -> Page:
-    """The page, of at most MOST_ROWS rows, and the total, in one job over the data: the total is observed below the sort."""
+    """The page, of at most MOST_ROWS rows, and the total, in one job over the data: the total is observed below the sort. Past an offset of MOST_ROWS the page is found by places (deep_page)."""
     seen = Observation(f"total-{uuid.uuid4().hex}")
     limit, offset = min(query.limit, MOST_ROWS) if query.limit > 0 else DEFAULT_LIMIT, max(0, query.offset)
-    found = events.where(condition(query)).observe(seen, F.count(F.lit(1)).alias("total")).where(after_cursor(query)).orderBy(*order_of(query)).offset(offset).limit(limit)
-    rows = found.collect()  # at most limit rows
-    total = seen.get["total"]
+    if offset > MOST_ROWS:
+        found = deep_page(events, replace(query, limit=limit))
+        rows, total = found.collect(), count_of(events, query)
+    else:
+        found = events.where(condition(query)).observe(seen, F.count(F.lit(1)).alias("total")).where(after_cursor(query)).orderBy(*order_of(query)).offset(offset).limit(limit)
+        rows = found.collect()  # at most limit rows
+        total = seen.get["total"]
     more = len(rows) == limit if query.cursor is not None else total > offset + len(rows)
     return Page(events.sparkSession.createDataFrame(rows, found.schema), total, more)
 
 
+def count_of(events: DataFrame, query: Query) -> int:
+    return events.where(condition(query)).count()
+
+
 def page_report(events: DataFrame, query: Query) -> DataFrame:
     """total, page, has_more of a query as a plan of one row."""
     limit, offset = query.limit if query.limit > 0 else DEFAULT_LIMIT, max(0, query.offset)

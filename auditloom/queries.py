@@ -6,6 +6,7 @@ Times are fixed: 'now' is 2024-02-01, the reporting period is January 2024.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from functools import partial
 
@@ -16,6 +17,7 @@ from .functions import text as fx
 from .functions import timeranges as tr
 from .functions.ids import id_prefix, is_id
 from .operators import alerts, chain, compliance, erasure, export, retention
+from .plans import cube
 from .plans import query as q
 from .schema import DIMENSIONS, POLICIES
 from .scope import Scope, client_ip
@@ -69,6 +71,7 @@ query("query_page_desc", f"{PAGE} tenant_id = 't1' ORDER BY timestamp DESC, id L
 query("query_page_asc_offset", f"{PAGE} category IN ('auth') ORDER BY timestamp, id LIMIT 25 OFFSET 50")(lambda e: q.page_of(e, q.Query(categories=["auth"], limit=25, offset=50, order="asc")).select(_page))
 query("query_offset_past_end", f"{PAGE} false")(lambda e: q.page_of(e, q.Query(tenant_id="t1", offset=10**7)).select(_page))
 query("query_offset_last_page", f"{PAGE} user_id = 'u7' QUALIFY row_number() OVER (ORDER BY timestamp DESC, id) > 3")(lambda e: q.page_of(e, q.Query(user_id="u7", offset=3, limit=10**6)).select(_page))
+query("query_deep_page", f"{PAGE} category <> 'ai' ORDER BY timestamp DESC, id LIMIT 50 OFFSET 500")(lambda e: q.deep_page(e.where("category <> 'ai'"), q.Query(limit=50, offset=500)).select(_page))
 query("query_total_has_more", "SELECT count(*) AS total, CAST(greatest(0, least(20, count(*) - 40)) AS BIGINT) AS page, count(*) > 40 + greatest(0, least(20, count(*) - 40)) AS has_more FROM audit WHERE category = 'auth'")(lambda e: q.page_report(e, q.Query(categories=["auth"], limit=20, offset=40)))
 query("by_user", f"{PAGE} user_id = 'u7' AND timestamp >= TIMESTAMP '2024-01-03' AND timestamp <= TIMESTAMP '2024-01-20'")(lambda e: q.by_user(e, "u7", datetime(2024, 1, 3), datetime(2024, 1, 20)).select(_page))
 query("tenant_scope_forced", f"{PAGE} app_id = 'app0' AND tenant_id = 't1' AND category IN ('data')")(lambda e: e.where(q.condition(MEMBER.apply(q.Query(tenant_id="t5", categories=["data"])))).select(_page))
@@ -326,6 +329,72 @@ def _stream_record(spark: SparkSession, stream: DataFrame, path: str) -> DataFra
     return chain.verify_chains(store.events()).select("app_id", "tenant_id", "valid", "verified")
 
 
+# the store: writers at once, purges and compaction by file, counts beside the events
+def store_query(name: str, sql: str, chained: bool = False):
+    """A query whose function takes the audit events and an empty store."""
+    return lambda f: query(name, sql, chained)(lambda e: f(e, Store(e.sparkSession, scratch(e.sparkSession, name))))
+
+
+def _halves(e: DataFrame) -> list[DataFrame]:
+    return [e.where(f"timestamp {op} TIMESTAMP_NTZ '2024-01-15'") for op in ("<", ">=")]
+
+
+@store_query("concurrent_append", "SELECT app_id, tenant_id, true AS valid, count(*) AS verified, 1 AS first_event, count(*) AS last_event FROM audit GROUP BY app_id, tenant_id")
+def _concurrent(e: DataFrame, store: Store) -> DataFrame:
+    """Two writers at once; every event is in its chain once, whoever came first."""
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda half: Store(e.sparkSession, store.path).append(half), _halves(e)))
+    return chain.verify_chains(store.events()).select("app_id", "tenant_id", "valid", "verified", F.col("first_event").cast("int"), "last_event")
+
+
+@store_query("store_append", CHAINED, True)
+def _appended(e: DataFrame, store: Store) -> DataFrame:
+    """Appended in two batches, compacted, read back."""
+    for half in _halves(e):
+        store.append(half)
+    store.compact()
+    return store.events().select(_chained)
+
+
+@store_query("store_lookup", "SELECT id, timestamp, action FROM audit WHERE subject_id = 'subj-5' AND app_id = 'app1' AND timestamp >= TIMESTAMP '2024-01-15'")
+def _looked_up(e: DataFrame, store: Store) -> DataFrame:
+    """Events of a subject, from the files whose ranges and filters may hold them."""
+    for half in _halves(e):
+        store.append(half)
+    found = store.events("app1", after=datetime(2024, 1, 15), subject_id="subj-5")
+    return found.where("subject_id = 'subj-5' AND app_id = 'app1' AND timestamp >= TIMESTAMP_NTZ '2024-01-15'").select("id", "timestamp", "action")
+
+
+@store_query("store_heads", f"SELECT app_id, tenant_id, {STREAM} AS stream_id, max(sequence) AS head_seq, max_by(hash, sequence) AS head_hash, min(timestamp) AS created_at, max(timestamp) AS updated_at FROM chain GROUP BY app_id, tenant_id", True)
+def _store_heads(e: DataFrame, store: Store) -> DataFrame:
+    """Heads as commits tell them, also after a purge of what was first."""
+    for half in _halves(e):
+        store.append(half)
+    store.purge(_halves(e)[0].where("category = 'auth'").select("id", "timestamp"))
+    return store.heads()
+
+
+PURGED = "audit WHERE NOT (category = 'auth' AND timestamp < TIMESTAMP '2024-01-12')"
+
+
+def _purged(e: DataFrame, store: Store) -> Store:
+    for half in _halves(e):
+        store.append(half)
+    store.purge(e.where("category = 'auth' AND timestamp < TIMESTAMP_NTZ '2024-01-12'").select("id", "timestamp"))
+    return store
+
+
+store_query("store_purge", f"SELECT id FROM {PURGED}")(lambda e, store: _purged(e, store).events().select("id"))
+store_query("stats_kept", f"SELECT 'total' AS kind, '' AS value, count(*) AS count FROM {PURGED} UNION ALL SELECT 'category', category, count(*) FROM {PURGED} GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM {PURGED} GROUP BY 2 UNION ALL SELECT 'outcome', outcome, count(*) FROM {PURGED} GROUP BY 2")(lambda e, store: cube.stats(_purged(e, store).cube()))
+store_query("counts_kept", f"SELECT date_trunc('day', timestamp)::TIMESTAMP AS day, app_id, tenant_id, category, action, outcome, severity, resource, count(*) AS n FROM {PURGED} GROUP BY ALL")(lambda e, store: _purged(e, store).cube())
+
+
+@query("tiles_kept", "SELECT count(*) AS total, count(*) FILTER (fresh AND severity = 'critical') AS critical, count(*) FILTER (fresh AND outcome IN ('failure', 'denied')) AS failed FROM (SELECT *, timestamp BETWEEN TIMESTAMP '2024-01-10 07:30:00' AND TIMESTAMP '2024-01-20 07:30:00' AS fresh FROM audit)")
+def _tiles(e: DataFrame) -> DataFrame:
+    """Whole days from counts, the two cut days from events."""
+    return cube.tiles(cube.merged(cube.cube_of(e)), e, datetime(2024, 1, 20, 7, 30), 10)
+
+
 # scalar functions
 query("client_ip_events", "SELECT id, CASE WHEN outcome = 'success' THEN action WHEN severity = 'info' THEN resource ELSE category END AS ip FROM audit")(
     lambda e: e.select("id", client_ip(F.when(F.col("outcome") == "success", F.concat("action", F.lit(", 10.0.0.1"))).otherwise(""), F.when(F.col("severity") == "info", F.col("resource")).otherwise(""), F.concat("category", F.lit(":443"))).alias("ip"))
