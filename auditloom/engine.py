@@ -6,13 +6,15 @@ the platform's own and take any scope, or none.
 
 from __future__ import annotations
 
+import logging
 import secrets
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .errors import InvalidQuery, NotFound
 from .functions.ids import new_id
@@ -20,12 +22,15 @@ from .functions.timeranges import parse_duration, utc_now
 from .operators import chain, compliance, erasure, export, retention
 from .plans import cube
 from .plans import query as q
+from .plugins import Registry
 from .schema import ERASURES, EVENTS, KEYS, POLICIES, REPORTS, struct
 from .scope import Scope
 from .sources.commits import CommitLog
 from .sources.sinks import Sink, archived
 from .sources.store import Store
-from .streaming.ingest import Batcher, Recorder
+from .streaming.ingest import Batcher
+
+log = logging.getLogger(__name__)
 
 
 #: Events that a retention run expires: with the policy that does, and whether it archives them.
@@ -37,10 +42,18 @@ class Engine:
     spark: SparkSession
     path: str
     archive_sink: Sink | None = None
+    plugins: Registry = field(default_factory=Registry)
 
     def __post_init__(self):
         self.store = Store(self.spark, self.path)
 
+    def __enter__(self) -> Engine:
+        self.plugins.emit("on_init")
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.plugins.emit("on_shutdown")
+
     def record(self, scope: Scope, events: DataFrame | list[dict], name: str | None = None) -> DataFrame:
         """Records events (a DataFrame, or a few dictionaries) and gives them with their chain columns. A named batch is recorded once."""
         if isinstance(events, list):
@@ -48,11 +61,11 @@ class Engine:
             events = self.spark.createDataFrame([tuple(e.get(k) for k in names) for e in events], ", ".join(f"{k} {'timestamp_ntz' if k == 'timestamp' else 'string'}" for k in names))
             if not events.where("coalesce(action, '') = '' or coalesce(resource, '') = '' or coalesce(category, '') = ''" if {"action", "resource", "category"} <= set(names) else "true").isEmpty():
                 raise InvalidQuery("action, resource and category are required")
-        return Recorder(self.store, scope).record(events, name)
+        return self.plugins.recorder(self.store, scope).record(events, name)
 
-    def batcher(self, scope: Scope, size: int = 100, seconds: float = 5.0) -> Batcher:
+    def batcher(self, scope: Scope, size: int = 100, seconds: float = 5.0, background: bool = False) -> Batcher:
         """Gathers single events of a scope and records them in batches."""
-        return Batcher(lambda events, name: self.record(scope, events, name), size, seconds)
+        return Batcher(lambda events, name: self.record(scope, events, name), size, seconds, background=background)
 
     def events(self, scope: Scope = Scope(), after: datetime | None = None, before: datetime | None = None, **having: str) -> DataFrame:
         """The events with the erasures laid over them; of a scope, times or values that are named, from the files that may hold them."""
@@ -192,6 +205,18 @@ class Engine:
         log.take(newest + 1, run | {"step": "done"})
         return {"archived": run["archived"] if self.archive_sink is not None else 0, "purged": run["purged"], "retained": 0}
 
+    def schedule_retention(self, interval: str, checkpoint: str) -> StreamingQuery:
+        """Enforces retention once every interval ("6 hours"), until the query is stopped. A run that fails is logged and taken up at the next turn."""
+
+        def turn(ticks: DataFrame, number: int) -> None:
+            try:
+                log.info("retention: %s", self.enforce_retention())
+            except Exception as e:
+                log.warning("retention failed: %s", e)
+
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return ticks.writeStream.foreachBatch(turn).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
     def _expire(self, now: datetime) -> dict:
         """Writes what the policies expire, from the files that can hold any of it; what a run needs to know."""
         policies, run = retention.latest_policies(self.store.policies()), uuid.uuid4().hex
@@ -209,23 +234,24 @@ class Engine:
         return q.listing(self.store.archives(), limit, offset)
 
     def report(self, scope: Scope, type: str, after: datetime, before: datetime, sections: tuple[compliance.SectionDef, ...] = (), title: str = "", generated_by: str = "", cap: int = compliance.SECTION_CAP, now: datetime | None = None) -> compliance.Report:
-        """Makes and saves a report: soc2, hipaa, euaiact, or custom with own sections."""
-        if type not in compliance.TITLES or type == "custom" and not sections:
+        """Makes and saves a report: soc2, hipaa, euaiact, a plugin's kind, or custom with own sections."""
+        if type not in compliance.TITLES and type not in self.plugins.reports or type == "custom" and not sections:
             raise InvalidQuery(f"no such report: {type}")
-        defs, now = compliance.TEMPLATES.get(type) or tuple(sections), now or utc_now()
+        defs, now = compliance.TEMPLATES.get(type) or self.plugins.reports.get(type) or tuple(sections), now or utc_now()
         events = compliance.in_period(self.store.events(scope.required().app_id, scope.tenant_id, after, before), after, before, scope.app_id, scope.tenant_id)
         rows = compliance.section_events(events, defs, cap)
-        made = compliance.Report(new_id("report"), title or compliance.TITLES[type], type, after, before, scope.app_id, scope.tenant_id, generated_by, defs, rows, compliance.group_counts(events), compliance.report_stats(rows).first().asDict(), now)
+        made = compliance.Report(new_id("report"), title or compliance.TITLES.get(type, type), type, after, before, scope.app_id, scope.tenant_id, generated_by, defs, rows, compliance.group_counts(events), compliance.report_stats(rows).first().asDict(), now)
         body = export.to_json(made)
         self.store.add("reports", self.spark.createDataFrame([(made.id, made.title, type, after, before, scope.app_id, scope.tenant_id, generated_by, "json", body, now, False)], REPORTS))
         return made
 
     def export_report(self, report: compliance.Report, format: str) -> str:
-        return export.export(report, format)
+        """A report as text: json, csv, markdown, html, or a plugin's format."""
+        return self.plugins.exporters[format](report) if format in self.plugins.exporters else export.export(report, format)
 
     def export_stored(self, scope: Scope, id: str, format: str) -> str:
         """A saved report in any format, from what was saved: a later purge or erasure does not change it."""
-        return export.export(export.from_json(self.spark, self.get_report(scope, id).body), format)
+        return self.export_report(export.from_json(self.spark, self.get_report(scope, id).body), format)
 
     def get_report(self, scope: Scope, id: str):
         return q.one(self.store.reports().where(scope.required().owns(by_tenant=False)), id)

@@ -13,6 +13,7 @@ Small tables are logs of versions: a row's last version counts, and a deletion i
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from typing import Any
 
@@ -141,14 +142,15 @@ class Store:
         normalised(events).write.parquet(f"{at}/events")
         rows = known.with_path(self._events_of(batch))
         known.described(rows).write.parquet(f"{at}/files")
-        known.filters(rows, self.spark.read.schema(known.FILES).parquet(f"{at}/files")).sortWithinPartitions("kind", "bucket").write.parquet(f"{at}/filters")
+        tables = dict(parts or {})
+        tables["filters"] = known.filters(rows, self.spark.read.schema(known.FILES).parquet(f"{at}/files")).sortWithinPartitions("kind", "bucket")
         if "heads" in has:
             last = F.max_by("hash", "sequence").alias("head_hash")
-            rows.groupBy(*SCOPE).agg(F.max("stream_id").alias("stream_id"), F.max("sequence").alias("head_seq"), last, F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at")).write.parquet(f"{at}/heads")
+            tables["heads"] = rows.groupBy(*SCOPE).agg(F.max("stream_id").alias("stream_id"), F.max("sequence").alias("head_seq"), last, F.min("timestamp").alias("created_at"), F.max("timestamp").alias("updated_at"))
         if "cube" in has:
-            cube_of(rows).write.parquet(f"{at}/cube")
-        for name, part in (parts or {}).items():
-            part.write.parquet(f"{at}/{name}")
+            tables["cube"] = cube_of(rows)
+        with ThreadPoolExecutor(len(tables)) as pool:  # small jobs that do not depend on each other
+            list(pool.map(lambda name: tables[name].write.parquet(f"{at}/{name}"), tables))
         return batch
 
     def append(self, events: DataFrame, name: str | None = None) -> DataFrame:

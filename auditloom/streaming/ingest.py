@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import logging
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -112,45 +113,63 @@ class Batcher:
 
     record(events, name) records a batch. If it raises, the batch stays and is tried again, under the same name, before
     any later event, so a store that writes a name once has every event once. An event that lacks a required field is
-    refused when it is added and does not hold up others. One thread at a time.
+    refused when it is added and does not hold up others. Threads may add at once. In the background, a thread of the
+    `with` block calls tick() at least twice in `seconds`; a batch that it cannot record is logged and tried again.
     """
 
-    def __init__(self, record: Callable[[list[dict[str, Any]], str], object], size: int = 100, seconds: float = 5.0, clock: Callable[[], float] = time.monotonic):
+    def __init__(self, record: Callable[[list[dict[str, Any]], str], object], size: int = 100, seconds: float = 5.0, clock: Callable[[], float] = time.monotonic, background: bool = False):
         if size < 1 or seconds <= 0:
             raise InvalidQuery("a batch needs a positive size and time")
         self.record, self.size, self.seconds, self.clock = record, size, seconds, clock
+        self.lock, self.ended = threading.RLock(), threading.Event()
+        self.thread = threading.Thread(target=self._watch, daemon=True) if background else None
         self.held: list[dict[str, Any]] = []
         self.unsent: tuple[list[dict[str, Any]], str] | None = None
         self.since = 0.0
 
     def __enter__(self) -> Batcher:
+        if self.thread:
+            self.thread.start()
         return self
 
     def __exit__(self, *error: object) -> None:
+        self.ended.set()
+        if self.thread:
+            self.thread.join()
         self.flush()
 
+    def _watch(self) -> None:
+        while not self.ended.wait(self.seconds / 2):
+            try:
+                self.tick()
+            except Exception as e:
+                log.warning("batch not recorded: %s", e)
+
     def add(self, event: dict[str, Any]) -> None:
         if missing := [c for c in REQUIRED if not event.get(c)]:
             raise InvalidQuery(f"{', '.join(missing)}: required")
-        if not self.held:
-            self.since = self.clock()
-        self.held.append(event)
-        if len(self.held) >= self.size:
-            self.flush()
-        else:
-            self.tick()
+        with self.lock:
+            if not self.held:
+                self.since = self.clock()
+            self.held.append(event)
+            if len(self.held) >= self.size:
+                self.flush()
+            else:
+                self.tick()
 
     def tick(self) -> None:
         """Records what has waited long enough; for the caller's own loop, when no event comes."""
-        if self.held and self.clock() - self.since >= self.seconds:
-            self.flush()
+        with self.lock:
+            if (self.held or self.unsent) and self.clock() - self.since >= self.seconds:
+                self.flush()
 
     def flush(self) -> None:
-        while self.unsent or self.held:
-            if self.unsent is None:
-                self.unsent, self.held = (self.held, uuid.uuid4().hex), []
-            self.record(*self.unsent)
-            self.unsent = None
+        with self.lock:
+            while self.unsent or self.held:
+                if self.unsent is None:
+                    self.unsent, self.held = (self.held, uuid.uuid4().hex), []
+                self.record(*self.unsent)
+                self.unsent = None
 
 
 @dataclass
