@@ -35,8 +35,10 @@ def term_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "
     """lang, source, term, count, docs (how many documents have it); a null term stands for documents without one, so every group occurs."""
     named = [F.coalesce(docs[c].cast("string"), F.lit("")).alias(n) for c, n in ((lang_column, "lang"), (source_column, "source"))]
     terms = docs.select(*named, words_of(text_of(docs, text_column), BETWEEN).alias("terms"))
-    marked = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("count"), F.lit(0).alias("docs"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("count"), F.lit(1).alias("docs"))))
-    return terms.select("lang", "source", F.explode_outer(marked).alias("t")).groupBy("lang", "source", "t.term").agg(F.sum("t.count").alias("count"), F.sum("t.docs").alias("docs"))
+    # all terms, then each of them once: what comes after the first n tells documents
+    both = terms.select("lang", "source", F.size("terms").alias("n"), F.concat("terms", F.array_distinct("terms")).alias("both"))
+    each = both.select("lang", "source", "n", F.posexplode_outer("both").alias("place", "term"))
+    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("place") < F.col("n")).alias("count"), F.count_if(F.col("place") >= F.col("n")).alias("docs"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
