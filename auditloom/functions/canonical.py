@@ -43,6 +43,8 @@ def _dump(value: object) -> str:
         return "[" + ",".join(map(_dump, value)) + "]"
     if isinstance(value, _Number):
         return _number(value.text)
+    if isinstance(value, str):
+        value = value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # half a surrogate pair has no UTF-8
     text = json.dumps(value, ensure_ascii=False)
     if isinstance(value, str):
         for c in "<>&\u2028\u2029":
@@ -51,23 +53,50 @@ def _dump(value: object) -> str:
 
 
 def canonical_json(text: str | None) -> str:
-    """Sorted keys, no blanks, <, > and & escaped; {} for what is empty or no JSON object."""
+    """Sorted keys, no blanks, <, > and & escaped; {} for what is empty or no JSON object; a text nested too deep to be read is its own."""
     if not text:
         return "{}"
     try:
         value = json.loads(text, parse_float=_Number, parse_int=_Number)
+        return _dump(value) if isinstance(value, dict) and value else "{}"
     except ValueError:
         return "{}"
-    return _dump(value) if isinstance(value, dict) and value else "{}"
+    except RecursionError:
+        return text
 
 
 def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical_json, na_action=None)
+    """The canonical texts of what is not plain; plain rows come as the null that they stay."""
+    return texts.map(canonical_json, na_action="ignore")
+
+
+#: A JSON string without escapes, control characters, or characters whose order by code point is not that by UTF-16 unit.
+STRING = r'"[^"\\\x00-\x1f\x{d800}-\x{10ffff}]*"'
+#: What may be left of a plain text without its strings and words: brackets, whole numbers of at most 18 digits, blanks.
+REST = r"^(?!.*(?:[0-9]{19}|-0))\{[-0-9:,\[\]{} ]*\}$"
 
 
 def with_canonical(events: DataFrame, source: str = "metadata", target: str = "canonical_metadata") -> DataFrame:
-    """Adds the canonical JSON of a column. Metadata is canonicalised in Arrow batches: no built-in function escapes and prints numbers this way."""
-    return events.withColumn(target, F.pandas_udf(_canonical, "string")(F.col(source)))
+    """Adds the canonical JSON of a column: plain texts by built-in functions, only the others by Python in Arrow batches.
+
+    Plain is an object of strings without escapes, short whole numbers, true, false and null, at any depth that the parser
+    reads. The parser sorts the keys. It is lenient about repeated keys and what follows an object; that changes a text's
+    length, so a text counts as plain only if it keeps its length but for blanks. Each step is a column of its own, so that
+    none is computed twice.
+    """
+    kept = [c for c in events.columns if c != target]
+    left, text, plain, other = (f"_{target}_{step}" for step in ("left", "text", "plain", "other"))
+    given = F.coalesce(F.col(source), F.lit(""))
+    stripped = events.withColumn(left, F.regexp_replace(given, STRING, ""))
+    words = F.regexp_replace(left, r"\b(true|false|null)\b", "")
+    parsed = stripped.withColumn(text, F.to_json(F.try_parse_json(F.when(words.rlike(REST), given))))
+    escaped = F.col(text)
+    for c in "<>&\u2028\u2029":
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    unblanked = F.length(given) - F.length(left) + F.length(F.replace(left, F.lit(" "), F.lit("")))
+    routed = parsed.withColumn(plain, F.when(given == "", "{}").when(F.length(text) == unblanked, escaped))
+    python = F.pandas_udf(_canonical, "string")(F.when(F.col(plain).isNull(), given))
+    return routed.withColumn(other, python).select(*kept, F.coalesce(plain, other).alias(target))
 
 
 def content(prev_hash: Column, metadata: str = "canonical_metadata") -> Column:
