@@ -21,7 +21,7 @@ from .plans import cube
 from .plans import query as q
 from .schema import DIMENSIONS, POLICIES
 from .scope import Scope, client_ip
-from .sources import sinks
+from .sources import lines, sinks
 from .sources.audit_view import SQL as AUDIT
 from .sources.audit_view import audit_events, audit_view
 from .sources.scratch import scratch
@@ -296,6 +296,27 @@ def _partitioned(e: DataFrame) -> DataFrame:
     return _sunk(e.sparkSession.read.schema("id string, category string").json(path))
 
 
+LINE_ROWS = "SELECT category, date_trunc('day', timestamp)::DATE AS day, count(*) AS count, count(DISTINCT id) AS ids, min(resource_id) AS least, sum(CASE WHEN metadata = '{}' THEN 0 ELSE CAST(json_extract_string(metadata, '$.k') AS BIGINT) END)::BIGINT AS total FROM audit WHERE category IN ('auth', 'ai') AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp < TIMESTAMP '2024-01-20' GROUP BY ALL"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of two categories and ten days, from the files that hold them, parsed again."""
+    found = lines.read_lines(spark, path).where("category IN ('auth', 'ai') AND day >= DATE '2024-01-10' AND day < DATE '2024-01-20'")
+    parsed = found.select("category", "day", F.from_json("value", "id string, resource_id string, metadata struct<k: bigint>").alias("e"))
+    return parsed.groupBy("category", "day").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("e.id").alias("ids"), F.min("e.resource_id").alias("least"), F.sum(F.coalesce("e.metadata.k", F.lit(0))).alias("total"))
+
+
+@query("sink_lines_read_back", LINE_ROWS)
+def _lines_written(e: DataFrame) -> DataFrame:
+    """Written through the data source of lines, one half twice under one name, and read again."""
+    sink = lines.LinesSink(scratch(e.sparkSession, "lines"), max_bytes=1 << 20)
+    first, second = _halves(e)
+    sink.write(first)
+    for _ in range(2):
+        sink.write_named(second, "second half")
+    return _lines(e.sparkSession, sink.path)
+
+
 def _sunk(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("id").alias("ids"))
 
@@ -329,6 +350,13 @@ def _stream_record(spark: SparkSession, stream: DataFrame, path: str) -> DataFra
     return chain.verify_chains(store.events()).select("app_id", "tenant_id", "valid", "verified")
 
 
+@stream_query("stream_lines_read_back", LINE_ROWS)
+def _stream_lines(spark: SparkSession, stream: DataFrame, path: str) -> DataFrame:
+    """A stream written through the data source of lines, and read again."""
+    lines.stream_lines(stream, f"{path}/lines", f"{path}/state", "audit").awaitTermination()
+    return _lines(spark, f"{path}/lines")
+
+
 # the store: writers at once, purges and compaction by file, counts beside the events
 def store_query(name: str, sql: str, chained: bool = False):
     """A query whose function takes the audit events and an empty store."""
