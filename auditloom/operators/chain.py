@@ -26,6 +26,11 @@ def stream_id() -> Column:
     return F.concat(F.lit("stream_"), F.left(F.sha2(F.concat_ws("|", *SCOPE), 256), F.lit(26)))
 
 
+def _dealt() -> Column:
+    """What rows are dealt by, to have each chain in one task. Not the columns of the scope: after a join by these, Spark leaves a repartition by the same out, and may then read that join's shuffle piece by piece, so that a chain comes to several tasks."""
+    return F.xxhash64(*SCOPE)
+
+
 def heads(events: DataFrame) -> DataFrame:
     """The head of each chain: app_id, tenant_id, stream_id, head_seq, head_hash."""
     return events.groupBy(*SCOPE).agg(F.max("stream_id").alias("stream_id"), F.coalesce(F.max("sequence"), F.lit(0).cast("bigint")).alias("head_seq"), F.coalesce(F.max_by("hash", "sequence"), F.lit("")).alias("head_hash"))
@@ -39,7 +44,7 @@ def append_chain(events: DataFrame, stored_heads: DataFrame | None = None) -> Da
         tailed = tailed.join(stored_heads.select(*SCOPE, "head_seq", "head_hash"), SCOPE, "left")
     else:
         tailed = tailed.withColumn("head_seq", F.lit(None).cast("bigint")).withColumn("head_hash", F.lit(None).cast("string"))
-    ordered = tailed.repartition(*SCOPE).sortWithinPartitions(*SCOPE, "timestamp", "id")
+    ordered = tailed.repartition(_dealt()).sortWithinPartitions(*SCOPE, "timestamp", "id")
     keep = [c for c in ordered.columns if c not in ("tail", "head_seq", "head_hash")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

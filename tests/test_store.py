@@ -309,3 +309,22 @@ def test_partitioned_sink_writes_few_files(spark, tmp_path):
     rows = make(spark, [{"category": c, "timestamp": T0 + timedelta(minutes=i)} for i in range(40) for c in ("auth", "data")]).repartition(8)
     sinks.PartitionedSink(str(tmp_path / "p"), 2).write(rows)
     assert len(list((tmp_path / "p").rglob("*.gz"))) <= 4 and spark.read.json(str(tmp_path / "p")).count() == 80
+
+
+def test_a_resumed_chain_stays_in_one_task(spark, tmp_path):
+    """Heads too large to be broadcast when the query is planned, but small when it runs: the join's shuffle is then read piece by piece."""
+    rows = make(spark, [{"tenant_id": f"t{i % 5}", "timestamp": T0 + timedelta(minutes=i)} for i in range(400)])
+    rows.repartition(8).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    whole = {r.id: r.hash for r in chain.append_chain(rows).collect()}
+    old, new = (rows.where(F.col("timestamp") < F.lit(T0 + timedelta(minutes=200)).cast("timestamp_ntz")), rows.where(F.col("timestamp") >= F.lit(T0 + timedelta(minutes=200)).cast("timestamp_ntz")))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "10", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        resumed = {r.id: r.hash for r in chain.append_chain(new, chain.heads(chain.append_chain(old))).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(resumed) == 200 and all(whole[i] == h for i, h in resumed.items())
