@@ -104,6 +104,8 @@ def holes(events: DataFrame, start: int | None = None, end: int | None = None) -
 BLOCK = 100_000
 #: The most numbers of each kind that a chain's report lists; it counts all.
 LISTED = 1000
+#: Numbers of a chain that one task gets at once when a report is made.
+WIDTH = 1 << 16
 
 
 def _numbers(stretches: DataFrame) -> DataFrame:
@@ -135,32 +137,75 @@ def chain_marks(events: DataFrame, start: int | None = None, end: int | None = N
     return _marked(events, events.columns, start, end).select(*events.columns, "tampered")
 
 
-def verify_chains(events: DataFrame, start: int | None = None, end: int | None = None, listed: int = LISTED) -> DataFrame:
-    """A report per chain: app_id, tenant_id, valid, verified (events), first_event, last_event, missing (how many numbers), altered (how many events), and the first `listed` of each ascending: gaps, tampered.
+def _blocks(events: DataFrame, start: int | None, end: int | None) -> DataFrame:
+    """What a report needs of each chain's stretch of WIDTH numbers, a row each: a task gets a stretch, not a chain, and no list is longer than a stretch.
 
-    A hole of any length, and any number of holes, is one number here; holes() and chain_marks() give them all.
+    Of repeated numbers each event counts; the least hash of a number is the one that the next has to follow.
+    """
+    own = with_canonical(_in_range(events, start, end)).select(*SCOPE, "sequence", "hash", "prev_hash", (event_hash(F.col("prev_hash")) == F.col("hash")).alias("own"))
+    block = Window.partitionBy(*SCOPE, "block").orderBy("sequence", "hash")
+    rows = own.withColumn("block", F.floor((F.col("sequence") - 1) / WIDTH)).withColumn("prior", F.lag("sequence").over(block))
+    first_of = F.col("prior").isNull() | (F.col("prior") != F.col("sequence"))
+    rows = rows.withColumn("head", F.when(first_of, F.struct("sequence", "hash")))
+    rows = rows.withColumn("before", F.last("head", True).over(block.rowsBetween(Window.unboundedPreceding, -1)))
+    # events that repeat a number follow what its first event follows
+    rows = rows.withColumn("followed", F.last(F.when(F.col("head").isNotNull(), F.struct("before")), True).over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow))["before"])
+    inner = F.col("followed").isNotNull()
+    tampered = ~F.col("own") | (inner & (F.col("prev_hash") != F.col("followed.hash")))
+    hole = F.col("head").isNotNull() & inner & (F.col("sequence") - F.col("followed.sequence") > 1)
+    lowest = F.when(~inner, F.col("prev_hash"))
+    return rows.groupBy(*SCOPE, "block").agg(
+        F.count(F.lit(1)).alias("verified"), F.min("sequence").alias("low"), F.max("head").alias("high"), F.count_if(tampered).alias("altered"),
+        F.collect_set(F.when(tampered, F.col("sequence"))).alias("tampered"),
+        F.collect_list(F.when(hole, F.struct((F.col("followed.sequence") + 1).alias("first"), (F.col("sequence") - 1).alias("last")))).alias("holes"),
+        # events of the lowest number, which the block before decides, by their prev_hash
+        F.collect_list(F.when(F.coalesce("own", F.lit(True)), lowest)).alias("open"),
+    )
+
+
+def verify_chains(events: DataFrame, start: int | None = None, end: int | None = None, listed: int | None = LISTED) -> DataFrame:
+    """A report per chain: app_id, tenant_id, valid, verified (events), first_event, last_event, missing (how many numbers), altered (how many events), and the first `listed` of each ascending, all of them if it is None: gaps, tampered.
+
+    A hole of any length, and any number of holes, is one number here; holes() and chain_marks() give them all. Events are
+    read and dealt once, by blocks of numbers; what is put together by chain are the blocks.
     """
     if start is not None and end is not None and end < start:
         raise InvalidQuery("the range is empty")
-    marks = _marked(events, [], start, end)
-    of_chain = Window.partitionBy(*SCOPE)
-    counted = marks.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("verified"), F.min("sequence").alias("first_event"), F.max("sequence").alias("last_event"), F.count_if("tampered").alias("altered"))
-    bad = marks.where("tampered").select(*SCOPE, "sequence").distinct()
-    named = bad.withColumn("n", F.row_number().over(of_chain.orderBy("sequence"))).where(F.col("n") <= listed).groupBy(*SCOPE).agg(F.sort_array(F.collect_list("sequence")).alias("tampered"))
-    stretches = holes(events, start, end)
-    size = F.col("last") - F.col("first") + 1
-    missing = stretches.groupBy(*SCOPE).agg(F.sum(size).alias("missing"))
-    # the first holes hold the first numbers, as each holds one at least
-    early = stretches.withColumn("n", F.row_number().over(of_chain.orderBy("first"))).where(F.col("n") <= listed)
-    early = early.withColumn("before", F.coalesce(F.sum(size).over(of_chain.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < listed)
-    shown = early.withColumn("last", F.least("last", F.col("first") + (F.lit(listed) - F.col("before") - 1)))
-    gap_lists = _numbers(shown.select(*SCOPE, "first", "last")).groupBy(*SCOPE).agg(F.sort_array(F.collect_list("sequence")).alias("gaps"))
-    out = events.select(*SCOPE).distinct()
-    for part in (counted, missing, named, gap_lists):
-        out = out.join(part, SCOPE, "left")
+    of_chain = Window.partitionBy(*SCOPE).orderBy("block")
+    earlier = of_chain.rowsBetween(Window.unboundedPreceding, -1)
     zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
-    out = out.withColumns({c: F.coalesce(c, zero) for c in ("verified", "first_event", "last_event", "missing", "altered")} | {c: F.coalesce(c, none) for c in ("gaps", "tampered")})
-    return out.select(*SCOPE, ((F.col("missing") == 0) & (F.col("altered") == 0)).alias("valid"), "verified", "first_event", "last_event", "missing", "altered", "gaps", "tampered")
+    blocks = _blocks(events, start, end).withColumn("before", F.lag("high").over(of_chain))
+    # the lowest events of a block against the highest of the block before
+    broken = F.when(F.col("before").isNull(), zero).otherwise(F.size(F.filter("open", lambda h: h != F.col("before.hash"))).cast("bigint"))
+    blocks = blocks.withColumn("broken", broken)
+    blocks = blocks.withColumn("tampered", F.sort_array(F.when(F.col("broken") > 0, F.array_union("tampered", F.array("low"))).otherwise(F.col("tampered"))))
+    since = F.coalesce(F.col("before.sequence"), F.lit((start or 1) - 1).cast("bigint"))
+    gap = F.struct((since + 1).alias("first"), (F.col("low") - 1).alias("last"))
+    blocks = blocks.withColumn("holes", F.sort_array(F.when(F.col("low") - since > 1, F.concat(F.array(gap), "holes")).otherwise(F.col("holes"))))
+    count = F.aggregate("holes", zero, lambda n, h: n + h["last"] - h["first"] + 1)
+    blocks = blocks.withColumns({"missing": count, "altered": F.col("altered") + F.col("broken"), "n": F.size("tampered").cast("bigint")})
+    if listed is not None:
+        # holes hold one number at least, so the first ones hold the first numbers
+        left = lambda c: F.greatest(F.lit(listed) - F.coalesce(F.sum(c).over(earlier), zero), zero)
+        blocks = blocks.withColumns({"more": left("missing"), "tampered": F.slice("tampered", F.lit(1), left("n").cast("int"))})
+        blocks = blocks.withColumn("holes", F.slice("holes", F.lit(1), F.col("more").cast("int")))
+    joined = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", c))), lambda b: b[c]))
+    counted = blocks.groupBy(*SCOPE).agg(
+        *(F.sum(c).alias(c) for c in ("verified", "missing", "altered")), F.min("low").alias("first_event"), F.max("high.sequence").alias("last_event"),
+        joined("tampered").alias("tampered"), joined("holes").alias("holes"),
+    )
+    out = events.select(*SCOPE).distinct().join(counted, SCOPE, "left").withColumns({c: F.coalesce(c, zero) for c in ("verified", "first_event", "last_event", "missing", "altered")} | {"tampered": F.coalesce("tampered", none)})
+    out = out.withColumn("holes", F.coalesce("holes", F.array().cast("array<struct<first:bigint,last:bigint>>")))
+    if end is not None:
+        top = F.greatest(F.col("last_event"), F.lit((start or 1) - 1).cast("bigint"))
+        tail = F.array(F.struct((top + 1).alias("first"), F.lit(end).cast("bigint").alias("last")))
+        out = out.withColumns({"holes": F.when(top < end, F.concat("holes", tail)).otherwise(F.col("holes")), "missing": F.col("missing") + F.greatest(F.lit(end) - top, zero)})
+    if listed is not None:
+        # each hole is cut to what is wanted at most before it is written out
+        out = out.withColumn("holes", F.transform(F.slice("holes", 1, listed), lambda h: F.struct(h["first"], F.least(h["last"], h["first"] + (listed - 1)).alias("last"))))
+    gaps = F.flatten(F.transform("holes", lambda h: F.sequence(h["first"], h["last"])))
+    gaps = F.coalesce(gaps if listed is None else F.slice(gaps, 1, listed), none)
+    return out.select(*SCOPE, ((F.col("missing") == 0) & (F.col("altered") == 0)).alias("valid"), "verified", "first_event", "last_event", "missing", "altered", gaps.alias("gaps"), "tampered")
 
 
 def assert_unique(events: DataFrame) -> DataFrame:

@@ -328,3 +328,26 @@ def test_a_resumed_chain_stays_in_one_task(spark, tmp_path):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(resumed) == 200 and all(whole[i] == h for i, h in resumed.items())
+
+
+def test_a_report_lists_all_and_blocks_change_nothing(spark, monkeypatch):
+    """More than 1000 missing and more than 1000 altered numbers, all listed; the same report by blocks of any width."""
+    c = chain.append_chain(events(spark, 2600))
+    bad = c.where("sequence % 100 not between 30 and 90").withColumn("metadata", F.when(F.col("sequence") % 100 > 90, "{}").otherwise(F.col("metadata")))
+    far = bad.withColumn("sequence", F.when(F.col("sequence") > 2500, F.col("sequence") + 900).otherwise(F.col("sequence")))
+    far = far.unionByName(far.where("sequence in (5, 95, 101)")).localCheckpoint()
+    marks = sorted({r.sequence for r in chain.chain_marks(far).where("tampered").collect()})
+    missing = sorted(r.sequence for r in chain.gaps(far).collect())
+    altered = chain.chain_marks(far).where("tampered").count()
+    assert len(missing) > 1000
+    for width in (1 << 16, 7, 100):
+        monkeypatch.setattr(chain, "WIDTH", width)
+        got = chain.verify_chains(far, listed=None).first()
+        assert (got.gaps, got.tampered, got.missing, got.altered, got.verified) == (missing, marks, len(missing), altered, far.count())
+        some = chain.verify_chains(far, listed=3).first()
+        assert (some.gaps, some.tampered, some.missing, some.altered) == (missing[:3], marks[:3], len(missing), altered)
+        part = chain.verify_chains(far, 25, 4000, listed=None).first()
+        assert part.gaps == [r.sequence for r in chain.gaps(far, 25, 4000).orderBy("sequence").collect()]
+        assert part.tampered == sorted({r.sequence for r in chain.chain_marks(far, 25, 4000).where("tampered").collect()})
+    edited = c.where("sequence % 3 = 0").localCheckpoint()
+    assert len(chain.verify_chains(edited, listed=None).first().tampered) == 865 and len(chain.verify_chains(c.withColumn("metadata", F.lit("{}")), listed=None).first().tampered) == 2600
