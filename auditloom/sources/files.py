@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +47,37 @@ def marks(value: Column, bits: Column) -> Column:
 
 
 def filters(events: DataFrame, files: DataFrame) -> DataFrame:
-    """FILTERS of the files: bitmaps of the places that their ids, subjects and users take. Tasks combine their own first."""
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in KINDS)))
-    keyed = events.join(files.select("path", "bits"), "path").select("path", "bits", keys.alias("k")).where("k.value <> ''")
-    placed = keyed.select("path", "k.kind", "bits", F.explode(marks(F.col("k.value"), F.col("bits"))).alias("place"))
-    grouped = placed.groupBy("path", "kind", "bits", F.floor(F.col("place") / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP).alias("bitmap"))
+    """FILTERS of the files: bitmaps of the places that their ids, subjects and users take.
+
+    Places are computed by Spark; a task sets them in the bitmaps of the files that it reads (about 12 bits a row and kind),
+    and only bitmaps are grouped, as several tasks may read one file.
+    """
+    places = [F.when(F.col(k) != "", F.pmod(F.xxhash64(k, F.lit(i)), F.col("bits"))) for k in KINDS for i in range(MARKS)]
+    placed = events.join(files.select("path", "bits"), "path").select("path", "bits", *(F.coalesce(c, F.lit(-1)).alias(f"p{n}") for n, c in enumerate(places)))
+
+    count = len(places)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[str, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            paths = batch.column("path").dictionary_encode()
+            codes, bits = paths.indices.to_numpy(), batch.column("bits").to_numpy()
+            taken = [batch.column(f"p{n}").to_numpy() for n in range(count)]
+            for code, path in enumerate(paths.dictionary.to_pylist()):
+                rows = codes == code
+                size = int(bits[rows][0])
+                found = maps.setdefault(path, (size, np.zeros((len(KINDS), size // 8), np.uint8)))[1]
+                for n, column in enumerate(taken):
+                    place = column[rows & (column >= 0)]
+                    np.bitwise_or.at(found[n // MARKS], place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+        for path, (size, found) in maps.items():
+            for kind, row in zip(KINDS, found.reshape(len(KINDS), -1, BITMAP // 8), strict=True):
+                held = np.flatnonzero(row.any(axis=1))
+                for part in (held[i : i + 1000] for i in range(0, len(held), 1000)):
+                    columns = [[path] * len(part), [kind] * len(part), [size] * len(part), part.tolist(), [row[b].tobytes() for b in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], FILTERS.names)
+
+    grouped = placed.mapInArrow(drawn, FILTERS).groupBy("path", "kind", "bits", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     return grouped.select(*FILTERS.names)
 
 

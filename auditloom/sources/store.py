@@ -34,6 +34,8 @@ PATHS = struct("path string")
 SNAPSHOT_EVERY = 16
 #: Rows that a file of a compaction should have.
 FILE_ROWS = 1_000_000
+#: Rows that reading ids must save for each id that filters are asked for.
+PROBED = 64
 
 
 class Store:
@@ -181,15 +183,17 @@ class Store:
         return self._events_of(batch)
 
     def _refuse_known(self, batch: str, files: DataFrame) -> None:
-        """Raises if a file has an id of the batch: ranges of ids come first, then filters, and only files that pass both are read."""
+        """Raises if a file has an id of the batch: ranges of ids come first, then filters, and only files that pass both are read. A batch that is no small part of what it may meet is compared with the ids at once, which costs less than asking filters for each of its own."""
         ids = self._events_of(batch).select(F.col("id").alias("value"))
-        low, high = ids.agg(F.min("value"), F.max("value")).first()
+        low, high, count = ids.agg(F.min("value"), F.max("value"), F.count(F.lit(1))).first()
         near = known.near(files, ids=(low or "", high or ""))
-        if near.isEmpty():
+        rows = near.agg(F.sum("rows")).first()[0]
+        if not rows:
             return
-        hits = known.may_hold(near, self._filters(near), "id", ids)
-        paths = known.paths_of(hits, self.path)
-        again = self._open(paths).select(F.col("id").alias("value")).join(hits.select("value").distinct(), "value", "left_semi").limit(5).collect() if paths else []
+        if count * PROBED <= rows:
+            near = known.may_hold(near, self._filters(near), "id", ids)
+        paths = known.paths_of(near, self.path)
+        again = self._open(paths).select(F.col("id").alias("value")).join(ids, "value", "left_semi").limit(5).collect() if paths else []
         if again:
             raise DuplicateEvent(str([r.value for r in again]))
 

@@ -351,3 +351,35 @@ def test_a_report_lists_all_and_blocks_change_nothing(spark, monkeypatch):
         assert part.tampered == sorted({r.sequence for r in chain.chain_marks(far, 25, 4000).where("tampered").collect()})
     edited = c.where("sequence % 3 = 0").localCheckpoint()
     assert len(chain.verify_chains(edited, listed=None).first().tampered) == 865 and len(chain.verify_chains(c.withColumn("metadata", F.lit("{}")), listed=None).first().tampered) == 2600
+
+
+def test_a_large_batch_is_compared_with_ids_and_a_small_one_asks_filters(spark, tmp_path, monkeypatch):
+    """Ids of both batches lie among each other; a known id is refused either way."""
+    at, rows = Store(spark, str(tmp_path / "s")), events(spark, 40)
+    at.append(rows.where("right(id, 1) < '5'"))
+    monkeypatch.setattr(files, "may_hold", crash)
+    at.append(rows.where("right(id, 1) >= '5' and right(id, 2) < '37'"))
+    with pytest.raises(DuplicateEvent):
+        at.append(rows.where("right(id, 2) in ('38', '12')"))
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "PROBED", 1)
+    with pytest.raises(DuplicateEvent):
+        at.append(rows.where("right(id, 2) in ('38', '12')"))
+    at.append(rows.where("right(id, 2) >= '37' and right(id, 1) >= '5'"))
+    assert_whole(at, ids_of(rows))
+
+
+def test_filters_hold_the_places_of_all_values(spark, tmp_path):
+    rows = make(spark, [{"user_id": f"u{i % 7}", "subject_id": "" if i % 3 else f"s{i}"} for i in range(300)])
+    rows.repartition(3).write.parquet(str(tmp_path / "batches/b/events"))
+    found = files.with_path(spark.read.schema(rows.schema).parquet(str(tmp_path / "batches/b/events"))).localCheckpoint()
+    bits = files.BITMAP * 2
+    known = files.described(found).withColumn("bits", F.lit(bits).cast("bigint"))
+    got = {}
+    for r in files.filters(found, known).collect():
+        got.setdefault((r.path, r.kind), set()).update(r.bucket * files.BITMAP + 8 * i + j for i, byte in enumerate(r.bitmap) for j in range(8) if byte >> j & 1)
+    want = {}
+    for kind in files.KINDS:
+        for r in found.where(F.col(kind) != "").select("path", files.marks(F.col(kind), F.lit(bits).cast("bigint")).alias("at")).collect():
+            want.setdefault((r.path, kind), set()).update(r["at"])
+    assert got == want and len(got) == 9
