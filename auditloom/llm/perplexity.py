@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ SYMBOLS = b"#*$%&|<>"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 #: Bytes handled at once.
 BLOCK = 1 << 20
-#: Bytes whose words are hashed at once; distinct words that a task holds before it passes counts on.
-WORD_BLOCK, WORDS_HELD = 1 << 20, 1 << 21
+#: Bytes whose words are hashed at once; counts of words that wait to be merged, and distinct words that a task holds before it passes counts on.
+WORD_BLOCK, WORDS_WAITING, WORDS_HELD = 1 << 20, 1 << 19, 1 << 20
 WORD_BASE = 0x9E3779B97F4A7C15
 #: Steps of an interquartile range in which widths are sought, and the largest.
 STEPS, MOST_STEPS = 20, 400
@@ -99,12 +100,24 @@ def buffers(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most about BLOCK bytes of text (the last column), or one row, so that what a task makes of texts is small, however many rows Spark sends at once."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            until = max(at + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+            yield batch.slice(at, until - at)
+            at = until
+
+
 def count_grams(docs: DataFrame, text_column: str = "text", order: int = ORDER) -> DataFrame:
     """gram, n: over all texts, with order - 1 zero bytes before each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for data, begins in padded(buffers(batch.column(0)), order):
                 packed = packed_grams(data, order)
                 inside = np.ones(len(packed), dtype=bool)
@@ -291,14 +304,17 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
         waiting, size = [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            found, place = np.unique(np.concatenate([keys, *(x for x, _ in waiting)]), return_inverse=True)
-            return found, np.bincount(place, weights=np.concatenate([counts, *(n for _, n in waiting)])).astype(np.int64)
+            found = np.concatenate([keys, *(x for x, _ in waiting)])
+            order = np.argsort(found, kind="stable")  # fast on sorted runs
+            found, n = found[order], np.concatenate([counts, *(n for _, n in waiting)])[order]
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else order
+            return found[first], np.add.reduceat(n, first) if len(first) else n
 
-        for batch in batches:
+        for batch in slices(batches):
             for h, _ in word_hashes(buffers(batch.column(0))):
                 waiting.append(np.unique(h, return_counts=True))
                 size += len(waiting[-1][0])
-                if size >= WORDS_HELD:
+                if size >= WORDS_WAITING:
                     keys, counts = merged()
                     waiting, size = [], 0
                     if len(keys) >= WORDS_HELD:
@@ -348,7 +364,7 @@ def score(docs: DataFrame, grams: Lookup, id_column: str = "doc_id", text_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = buffers(batch.column(batch.num_columns - 1))
             row = np.arange(len(texts)) + done + (TaskContext.get().partitionId() << 40)
             done += len(texts)
