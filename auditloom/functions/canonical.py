@@ -72,30 +72,40 @@ def _canonical(texts: pd.Series) -> pd.Series:
 
 #: A JSON string without escapes, control characters, or characters whose order by code point is not that by UTF-16 unit.
 STRING = r'"[^"\\\x00-\x1f\x{d800}-\x{10ffff}]*"'
+#: An object of at most one pair without blanks, whose value is short and whose strings nothing has to be escaped in: it is its own canonical text.
+SIMPLE = r'^\{(?:"[^"\\\x00-\x1f<>&\x{2028}\x{2029}\x{d800}-\x{10ffff}]*":(?:0|-?[1-9][0-9]{0,17}|true|false|null|"[^"\\\x00-\x1f<>&\x{2028}\x{2029}\x{d800}-\x{10ffff}]*"))?\}\z'
 #: What may be left of a plain text without its strings and words: brackets, whole numbers of at most 18 digits, blanks.
 REST = r"^(?!.*(?:[0-9]{19}|-0))\{[-0-9:,\[\]{} ]*\}$"
 
 
-def with_canonical(events: DataFrame, source: str = "metadata", target: str = "canonical_metadata") -> DataFrame:
-    """Adds the canonical JSON of a column: plain texts by built-in functions, only the others by Python in Arrow batches.
+def with_plain(events: DataFrame, source: str = "metadata", target: str = "canonical_metadata") -> DataFrame:
+    """Adds the canonical JSON of a column where built-in functions give it, null where canonical_json() has to.
 
     Plain is an object of strings without escapes, short whole numbers, true, false and null, at any depth that the parser
     reads. The parser sorts the keys. It is lenient about repeated keys and what follows an object; that changes a text's
     length, so a text counts as plain only if it keeps its length but for blanks. Each step is a column of its own, so that
-    none is computed twice.
+    none is computed twice; simple texts pass the steps as nulls.
     """
     kept = [c for c in events.columns if c != target]
-    left, text, plain, other = (f"_{target}_{step}" for step in ("left", "text", "plain", "other"))
+    simple, left, text, plain = (f"_{target}_{step}" for step in ("simple", "left", "text", "plain"))
     given = F.coalesce(F.col(source), F.lit(""))
-    stripped = events.withColumn(left, F.regexp_replace(given, STRING, ""))
+    stripped = events.withColumn(simple, given.rlike(SIMPLE)).withColumn(left, F.regexp_replace(F.when(~F.col(simple), given), STRING, ""))
     words = F.regexp_replace(left, r"\b(true|false|null)\b", "")
     parsed = stripped.withColumn(text, F.to_json(F.try_parse_json(F.when(words.rlike(REST), given))))
     escaped = F.col(text)
     for c in "<>&\u2028\u2029":
         escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
     unblanked = F.length(given) - F.length(left) + F.length(F.replace(left, F.lit(" "), F.lit("")))
-    routed = parsed.withColumn(plain, F.when(given == "", "{}").when(F.length(text) == unblanked, escaped))
-    python = F.pandas_udf(_canonical, "string")(F.when(F.col(plain).isNull(), given))
+    routed = parsed.withColumn(plain, F.when(given == "", "{}").when(F.col(simple), given).when(F.length(text) == unblanked, escaped))
+    return routed.select(*kept, F.col(plain).alias(target))
+
+
+def with_canonical(events: DataFrame, source: str = "metadata", target: str = "canonical_metadata") -> DataFrame:
+    """Adds the canonical JSON of a column: plain texts by built-in functions, only the others by Python in Arrow batches."""
+    kept = [c for c in events.columns if c != target]
+    plain, other = f"_{target}_built_in", f"_{target}_other"
+    routed = with_plain(events, source, plain)
+    python = F.pandas_udf(_canonical, "string")(F.when(F.col(plain).isNull(), F.coalesce(F.col(source), F.lit(""))))
     return routed.withColumn(other, python).select(*kept, F.coalesce(plain, other).alias(target))
 
 

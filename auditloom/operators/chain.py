@@ -11,12 +11,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateSequence, InvalidQuery
-from ..functions.canonical import content, event_hash, with_canonical
+from ..functions.canonical import canonical_json, content, event_hash, with_canonical, with_plain
 
 SCOPE = ["app_id", "tenant_id"]
 
@@ -37,32 +38,57 @@ def heads(events: DataFrame) -> DataFrame:
 
 
 def append_chain(events: DataFrame, stored_heads: DataFrame | None = None) -> DataFrame:
-    """Adds stream_id, sequence, prev_hash and hash to new events; chains go on from stored heads (as heads() gives them). One shuffle, by chain."""
+    """Adds stream_id, sequence, prev_hash and hash to new events; chains go on from stored heads (as heads() gives them). One shuffle, by chain: a stored head is a row before the events of its chain, so nothing is joined. Metadata that needs Python is made canonical where chains are walked."""
     plain = events.drop("stream_id", "sequence", "prev_hash", "hash").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    tailed = with_canonical(plain).withColumn("tail", content(F.lit(""))).drop("canonical_metadata")
+    keep = plain.columns
+    routed = with_plain(plain, target="_plain")
+    left = F.when(F.col("_plain").isNull(), F.col("metadata")).alias("_left")
+    rows = routed.withColumn("_known", F.coalesce("_plain", F.lit(""))).select(*keep, content(F.lit(""), "_known").alias("_tail"), left)
+    order = ["timestamp", "id"]
     if stored_heads is not None:
-        tailed = tailed.join(stored_heads.select(*SCOPE, "head_seq", "head_hash"), SCOPE, "left")
-    else:
-        tailed = tailed.withColumn("head_seq", F.lit(None).cast("bigint")).withColumn("head_hash", F.lit(None).cast("string"))
-    ordered = tailed.repartition(_dealt()).sortWithinPartitions(*SCOPE, "timestamp", "id")
-    keep = [c for c in ordered.columns if c not in ("tail", "head_seq", "head_hash")]
+        rows = rows.unionByName(stored_heads.select(*SCOPE, F.lit(True).alias("_head"), "head_seq", "head_hash"), allowMissingColumns=True)
+        order = [F.col("_head").asc_nulls_last(), *order]
+    ordered = rows.repartition(_dealt()).sortWithinPartitions(*SCOPE, *order)
+    resumed = stored_heads is not None
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, number, last = None, 0, ""
         for batch in batches:
-            numbers, before, after = [], [], []
-            for app, tenant, seq, head, tail in zip(*(batch.column(c).to_pylist() for c in (*SCOPE, "head_seq", "head_hash", "tail")), strict=True):
-                if (app, tenant) != chain:
-                    chain, number, last = (app, tenant), seq or 0, head or ""
-                number += 1
-                numbers.append(number)
-                before.append(last)
-                last = hashlib.sha256((last + tail).encode()).hexdigest()
-                after.append(last)
-            columns = [*(batch.column(c) for c in keep), pa.array(numbers, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            if not batch.num_rows:
+                continue
+            values = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            apps, tenants, tails = (values(c) for c in (*SCOPE, "_tail"))
+            left = batch.column("_left")
+            if left.null_count < len(left):
+                tails = [tail if text is None else tail + canonical_json(text) for tail, text in zip(tails, left.to_pylist(), strict=True)]
+            changed = np.zeros(len(apps), bool)
+            for c in SCOPE:
+                codes = batch.column(c).dictionary_encode("encode").indices.to_numpy()
+                changed[1:] |= codes[1:] != codes[:-1]
+            known = {}
+            if resumed:
+                places = batch.column("_head").is_valid().to_numpy(zero_copy_only=False).nonzero()[0]
+                known = dict(zip(places.tolist(), zip(*(batch.column(c).take(pa.array(places)).to_pylist() for c in ("head_seq", "head_hash")), strict=True), strict=True))
+            numbers, before, after = [np.zeros(0, np.int64)], [], []
+            begins = [0, *np.flatnonzero(changed).tolist()]
+            for at, end in zip(begins, [*begins[1:], len(apps)], strict=True):
+                if (apps[at], tenants[at]) != chain:
+                    chain, number, last = (apps[at], tenants[at]), 0, ""
+                while at < end and at in known:
+                    number, last = known[at][0] or 0, known[at][1] or ""
+                    at += 1
+                numbers.append(np.arange(number + 1, number + 1 + end - at))
+                number += end - at
+                for tail in tails[at:end]:
+                    before.append(last)
+                    last = hashlib.sha256((last + tail).encode()).hexdigest()
+                    after.append(last)
+            if known:
+                batch = batch.filter(batch.column("_head").is_null())
+            columns = [*(batch.column(c) for c in keep), pa.array(np.concatenate(numbers), pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "sequence", "prev_hash", "hash"])
 
-    schema = ordered.select(*keep).schema.add("sequence", "long").add("prev_hash", "string").add("hash", "string")
+    schema = plain.schema.add("sequence", "long").add("prev_hash", "string").add("hash", "string")
     return ordered.mapInArrow(walk, schema).withColumn("stream_id", stream_id())
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,36 @@ def with_path(events: DataFrame) -> DataFrame:
 
 
 def described(events: DataFrame) -> DataFrame:
-    """A row per file of events with their path: FILES."""
-    ranges = [f(c).alias(n) for c, name in (("timestamp", "time"), (scope_text(), "scope"), ("id", "id")) for f, n in ((F.min, f"first_{name}"), (F.max, f"last_{name}"))]
+    """A row per file of events with their path: FILES.
+
+    A task takes the ranges of the files that it reads batch by batch (Spark would sort the events for least and greatest
+    texts); what is grouped are the ranges.
+    """
+    ranges = {"time": "timestamp", "scope": "scope", "id": "id"}
+    names = [f"{end}_{name}" for name in ranges for end in ("first", "last")]
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str, int] = {}
+        found: dict[tuple[str, str], list] = {}
+        for batch in batches:
+            paths = batch.column("path").dictionary_encode()
+            for code, path in enumerate(paths.dictionary.to_pylist()):
+                part = batch if len(paths.dictionary) == 1 else batch.filter(pc.equal(paths.indices, code))
+                rows[path] = rows.get(path, 0) + part.num_rows
+                for c in ranges.values():
+                    ends = pc.min_max(part.column(c)).as_py()
+                    if ends["min"] is not None:
+                        low, high = found.get((path, c), (ends["min"], ends["max"]))
+                        found[path, c] = [min(low, ends["min"]), max(high, ends["max"])]
+        columns = [list(rows), list(rows.values()), *([found.get((path, c), (None, None))[k] for path in rows] for c in ranges.values() for k in (0, 1))]
+        types = (pa.string(), pa.int64(), *(t for t in (pa.timestamp("us"), pa.string(), pa.string()) for _ in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["path", "rows", *names])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FILES.fields if f.name != "bits")
+    parts = events.select("path", "timestamp", scope_text().alias("scope"), "id").mapInArrow(ranged, schema)
     needed = F.ceil(F.log2(F.greatest(F.col("rows") * PLACES / BITMAP, F.lit(1.0)))).cast("int")
-    return events.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), *ranges).withColumn("bits", (F.lit(BITMAP) * F.pow(F.lit(2), needed)).cast("bigint")).select(*FILES.names)
+    whole = parts.groupBy("path").agg(F.sum("rows").alias("rows"), *((F.min if n.startswith("first") else F.max)(n).alias(n) for n in names))
+    return whole.withColumn("bits", (F.lit(BITMAP) * F.pow(F.lit(2), needed)).cast("bigint")).select(*FILES.names)
 
 
 def marks(value: Column, bits: Column) -> Column:
