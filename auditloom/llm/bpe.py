@@ -2,8 +2,11 @@
 
 Reads a tokenizers JSON file of this shape: NFC, white space to a blank and lower case; pieces by a pattern; bytes as
 letters; BPE with a word-end suffix; no decoder. The file is read by the driver and broadcast (its size is that of the
-vocabulary, whatever the data). Pieces are encoded with a segment tree over the ranks of adjacent pairs: the root gives
-the leftmost pair of the lowest rank, a merge updates three leaves, and the walk ends when the root holds no pair.
+vocabulary, whatever the data). No piece and no normal form reaches across white space, so texts are cut into words there,
+and a worker remembers words as they are written. The pieces of new words are encoded together, some megabytes of text at a
+time: each round merges the leftmost pair of the lowest rank in every piece. A long piece is taken singly, with a segment
+tree over the ranks of adjacent pairs: the root gives the pair, a merge updates three leaves, and the walk ends when the root
+holds no pair.
 
 A file of another shape is refused: it would be read wrongly.
 
@@ -24,8 +27,11 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -33,9 +39,15 @@ from .common import text_of
 
 # Fixed values of the file format: the pieces, and what counts as white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NO_PAIR = 1 << 62
-#: Distinct pieces that a Python worker remembers.
-REMEMBERED = 500_000
+NO_PAIR, NO_RANK = 1 << 62, 1 << 30
+#: Distinct words that a Python worker remembers, beside those of the texts in hand; longer words are forgotten at once.
+REMEMBERED, LONGEST = 300_000, 100
+#: Characters of the texts that are encoded together.
+TOGETHER = 4_000_000
+#: Bytes of a piece up to which it is merged together with others.
+SHORT = 64
+#: What splitting takes for white space and the pattern does not.
+NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def _class(points: list[int]) -> str:
@@ -98,6 +110,11 @@ def readable(data: dict) -> None:
         raise ValueError(f"cannot read a tokenizer with such a {', '.join(wrong)}")
 
 
+def _joined(parts: pa.Array, bounds: np.ndarray) -> list[str]:
+    """Stretches of parts, each joined by blanks."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(bounds, parts), pa.scalar(" ", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """spec: the tokenizer's file. differs: library_unicode(); without it, the modules' own Unicode is used."""
 
@@ -128,7 +145,14 @@ class Encoder:
             self.apart = re.compile(f"([{apart}])") if apart else None
         self.inner = [self.vocab.get(x) for x in byte_letters()]
         self.last = [self.vocab.get(x + self.suffix) for x in byte_letters()]
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.blanks = regex.compile(r"\s+")
+        #: An added token is a word of its own.
+        self.known = {w: (str(i), w) for w, i in added.items()}
+        self.letter_ids = np.array([[-1 if i is None else i for i in ids] for ids in (self.inner, self.last)])
+        self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*sorted(self.ranks.items()), strict=True))
+        self.pair_made = np.array(self.made, np.int64)
+        numbers = range(max(self.tokens) + 1)
+        self.names = [pa.array(x, pa.large_string()) for x in (map(str, numbers), [self.tokens.get(i, "") for i in numbers])]
 
     def piece_ids(self, piece: str) -> list[int]:
         """The ids of one piece. Leaf i of the tree holds rank * n + i for the pair that begins at symbol i, so its root is the leftmost pair of the lowest rank."""
@@ -182,17 +206,60 @@ class Encoder:
                     tree[k] = key
         return [i for i in ids if i >= 0]
 
-    def rendered(self, piece: str) -> tuple[str, int, str]:
-        """Decimal ids, their number and the decoded tokens of one piece."""
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = self.piece_ids(piece)
-            found = " ".join(map(str, ids)), len(ids), self.decode(ids)
-            if len(piece) < 100:
-                self.known[piece] = found
-        return found
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many pieces, one after the other, and the places where each begins and ends. A round takes one merge in every piece that has any left."""
+        coded = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        done = [(np.full(len(ids), k), np.array(ids, np.int64)) for k in np.flatnonzero(sizes > SHORT).tolist() for ids in [self.piece_ids(pieces[k])]]
+        letters = np.frombuffer(b"".join(c for c in coded if len(c) <= SHORT), np.uint8)
+        kept = np.flatnonzero(sizes <= SHORT)
+        piece = np.repeat(kept, sizes[kept])
+        ids = self.letter_ids[(np.diff(piece, append=-1) != 0).astype(int), letters]
+        piece, ids = piece[ids >= 0], ids[ids >= 0]
+
+        def ranks_at(i: np.ndarray) -> np.ndarray:
+            j = np.minimum(i + 1, len(ids) - 1)
+            keys = ids[i] << 32 | ids[j]
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            return np.where((self.pair_keys[at] == keys) & (piece[i] == piece[j]) & (i < j), self.pair_ranks[at], NO_RANK)
+
+        ranks = ranks_at(np.arange(len(ids)))
+        while len(ids):
+            first = np.flatnonzero(np.diff(piece, prepend=-1))
+            low = np.minimum.reduceat(ranks << 32 | np.arange(len(ids)), first)
+            more = low >> 32 < NO_RANK
+            stay = np.repeat(more, np.diff(first, append=len(ids)))
+            done.append((piece[~stay], ids[~stay]))
+            at = low[more] & 0xFFFFFFFF
+            ids[at] = self.pair_made[low[more] >> 32]
+            stay[at + 1] = False
+            at = np.cumsum(stay)[at] - 1
+            piece, ids, ranks = piece[stay], ids[stay], ranks[stay]
+            for i in (at, at[at > 0] - 1):
+                ranks[i] = ranks_at(i)
+        piece, ids = (np.concatenate([piece if k == 0 else ids, *(d[k] for d in done)]) for k in range(2))
+        return ids[np.argsort(piece, kind="stable")], np.append(0, np.cumsum(np.bincount(piece, minlength=len(pieces))))
+
+    def pieces_of(self, word: str) -> list[str]:
+        """The pieces of a word; a piece reaches over no white space."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
+        odd = self.odd is not None and not word.isascii() and self.odd.search(word) is not None
+        return (self.odd_pieces if odd else self.pieces).findall(self.normal(word, odd))
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words and remembers their decimal ids and decoded tokens, joined by blanks."""
+        cut = [self.pieces_of(w) for w in words]
+        pieces = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        ids, ends = self.merged(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        of = pieces.indices.to_numpy()
+        counts = ends[of + 1] - ends[of]
+        after = np.append(0, np.cumsum(counts))
+        # the ids of the words' pieces, one after the other
+        ids = ids[np.repeat(ends[of] - after[:-1], counts) + np.arange(after[-1])]
+        bounds = after[np.append(0, np.cumsum([len(c) for c in cut], dtype=np.int64))]
+        texts = (_joined(names.take(pa.array(ids)), bounds) for names in self.names)
+        self.known.update(zip(words, zip(*texts, strict=True), strict=True))
 
     def normal(self, text: str, odd: bool = False) -> str:
         """NFC and lower case; a capital sigma is lowered without regard to its place. In an odd text, code points with another lower case, and marks that the library leaves where they are, stand apart from what is around them."""
@@ -201,17 +268,37 @@ class Encoder:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
-    def parts(self, text: str) -> Iterator[tuple[str, int, str]]:
-        """rendered() of each piece of the text; added tokens are found before anything else."""
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                yield str(self.added[part]), 1, part
-            elif part:
-                odd = self.odd is not None and not part.isascii() and self.odd.search(part) is not None
-                yield from map(self.rendered, (self.odd_pieces if odd else self.pieces).findall(self.normal(part, odd)))
+    def words(self, text: str) -> list[str]:
+        """The text cut at white space; added tokens are found before anything else."""
+        if any(token in text for token in self.added):
+            return [w for k, part in enumerate(self.special.split(text)) for w in ([part] if k % 2 else self.words(part))]
+        return list(filter(None, self.blanks.split(text)))
+
+    def texts_of(self, texts: list[str]) -> list[tuple[str, str]]:
+        """The decimal ids of each text, and its decoded tokens, both joined by blanks."""
+        if any(token in text for text in texts for token in (*self.added, *NO_BLANKS)):
+            cut = pa.array([self.words(t) for t in texts], pa.list_(pa.large_string()))
+        else:
+            cut = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        words = cut.flatten().dictionary_encode()
+        every = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in every if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {w: (str(i), w) for w, i in self.added.items()}
+            new = [w for w in every if w not in self.known]
+        self.learn(new)
+        found = [self.known[w] for w in every]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        at = words.indices.to_numpy()
+        has = np.array([f[0] != "" for f in found], bool)[at]
+        bounds = np.append(0, np.cumsum(has))[cut.offsets.to_numpy()]
+        columns = (pa.array([f[k] for f in found], pa.large_string()).take(pa.array(at[has])) for k in range(2))
+        return list(zip(*(_joined(c, bounds) for c in columns), strict=True))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, n, _ in self.parts(text) if n for i in ids.split(" ")]
+        return [i for w in self.words(text) for i in ([self.added[w]] if w in self.added else chain.from_iterable(map(self.piece_ids, self.pieces_of(w))))]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a blank, as the file names no decoder."""
@@ -229,7 +316,21 @@ def encoder(spec: str, differs: dict[str, str]) -> Encoder:
     return ENCODERS[key]
 
 
-def _per_text(docs: DataFrame, tokenizer_path: str, id_column: str, text_column: str, fields: list[tuple[str, str, pa.DataType]], row: Callable[[list[tuple[str, int, str]]], tuple]) -> DataFrame:
+def _together(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column in runs of about TOGETHER characters."""
+    texts, size = [], 0
+    for value in column:
+        texts.append(value.as_py())
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
+def _per_text(docs: DataFrame, tokenizer_path: str, id_column: str, text_column: str, fields: list[tuple[str, str, pa.DataType]], row: Callable[[str, str], tuple]) -> DataFrame:
+    """row: the fields of a text from its decimal ids and its decoded tokens, both joined by blanks."""
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
     readable(json.loads(content))
@@ -238,7 +339,7 @@ def _per_text(docs: DataFrame, tokenizer_path: str, id_column: str, text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(*spec.value)
         for batch in batches:
-            rows = [row([p for p in bpe.parts(t.as_py()) if p[1]]) for t in batch.column(1)]
+            rows = [row(*t) for texts in _together(batch.column(1)) for t in bpe.texts_of(texts)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f[2]) for x, f in zip(columns, fields, strict=True))], ["doc_id", *(f[0] for f in fields)])
 
@@ -248,10 +349,10 @@ def _per_text(docs: DataFrame, tokenizer_path: str, id_column: str, text_column:
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (array of int), decoded (string)."""
-    return _per_text(docs, tokenizer_path, id_column, text_column, [("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())], lambda parts: ([int(i) for p in parts for i in p[0].split(" ")], " ".join(p[2] for p in parts)))
+    return _per_text(docs, tokenizer_path, id_column, text_column, [("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())], lambda ids, decoded: ([int(i) for i in ids.split()], decoded))
 
 
 def bpe_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """bpe_encode with the digests of its outputs in place of the outputs: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return _per_text(docs, tokenizer_path, id_column, text_column, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], lambda parts: (sum(p[1] for p in parts), sha(" ".join(p[0] for p in parts)), sha(" ".join(p[2] for p in parts))))
+    return _per_text(docs, tokenizer_path, id_column, text_column, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], lambda ids, decoded: (ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded)))
