@@ -32,23 +32,45 @@ def _dealt() -> Column:
     return F.xxhash64(*SCOPE)
 
 
+#: Events from which on a chain has a task of its own, and the most tasks that are set apart so; the other chains share tasks by hash.
+OWN_ROWS, OWN_TASKS = 100_000, 1000
+
+
+def _by_chain(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """rows with each chain in one task: long chains are counted first, so that no two of them meet in one. events: what to count."""
+    counts = events.groupBy(*SCOPE).count().where(F.col("count") >= OWN_ROWS)
+    own = [(r.app_id, r.tenant_id) for r in counts.orderBy(F.desc("count"), *SCOPE).limit(OWN_TASKS).collect()]
+    if len(own) < 2:
+        return rows.repartition(_dealt())
+    spark = rows.sparkSession
+    slots = spark.createDataFrame([(*scope, i) for i, scope in enumerate(own)], "app_id string, tenant_id string, _own int")
+    others = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.coalesce("_own", (F.pmod(_dealt(), F.lit(others)) + len(own)).cast("int"))
+    return rows.join(F.broadcast(slots), SCOPE, "left").repartitionById(len(own) + others, slot).drop("_own")
+
+
 def heads(events: DataFrame) -> DataFrame:
     """The head of each chain: app_id, tenant_id, stream_id, head_seq, head_hash."""
     return events.groupBy(*SCOPE).agg(F.max("stream_id").alias("stream_id"), F.coalesce(F.max("sequence"), F.lit(0).cast("bigint")).alias("head_seq"), F.coalesce(F.max_by("hash", "sequence"), F.lit("")).alias("head_hash"))
 
 
 def append_chain(events: DataFrame, stored_heads: DataFrame | None = None) -> DataFrame:
-    """Adds stream_id, sequence, prev_hash and hash to new events; chains go on from stored heads (as heads() gives them). One shuffle, by chain: a stored head is a row before the events of its chain, so nothing is joined. Metadata that needs Python is made canonical where chains are walked."""
+    """Adds stream_id, sequence, prev_hash and hash to new events; chains go on from stored heads (as heads() gives them). One shuffle, by chain: a stored head is a row before the events of its chain, so no events are joined with heads. The text that is hashed is put together after the sort, so it is not moved beside the columns that it comes from. Metadata that needs Python is made canonical where chains are walked."""
     plain = events.drop("stream_id", "sequence", "prev_hash", "hash").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     keep = plain.columns
     routed = with_plain(plain, target="_plain")
-    left = F.when(F.col("_plain").isNull(), F.col("metadata")).alias("_left")
-    rows = routed.withColumn("_known", F.coalesce("_plain", F.lit(""))).select(*keep, content(F.lit(""), "_known").alias("_tail"), left)
+    # canonical metadata is moved only where it is another text
+    other = F.when(F.col("_plain") != F.coalesce("metadata", F.lit("")), F.col("_plain")).alias("_other")
+    rows = routed.select(*keep, other, F.col("_plain").isNull().alias("_python"))
     order = ["timestamp", "id"]
     if stored_heads is not None:
         rows = rows.unionByName(stored_heads.select(*SCOPE, F.lit(True).alias("_head"), "head_seq", "head_hash"), allowMissingColumns=True)
         order = [F.col("_head").asc_nulls_last(), *order]
-    ordered = rows.repartition(_dealt()).sortWithinPartitions(*SCOPE, *order)
+    ordered = _by_chain(rows, plain).sortWithinPartitions(*SCOPE, *order)
+    left = F.when(F.col("_python"), F.coalesce("metadata", F.lit("")))
+    known = F.when(F.col("_python"), "").otherwise(F.coalesce("_other", "metadata", F.lit("")))
+    head = ["_head", "head_seq", "head_hash"] if stored_heads is not None else []
+    ordered = ordered.withColumn("_known", known).select(*keep, *head, content(F.lit(""), "_known").alias("_tail"), left.alias("_left"))
     resumed = stored_heads is not None
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
