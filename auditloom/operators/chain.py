@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateSequence, InvalidQuery
@@ -38,13 +38,17 @@ OWN_ROWS, OWN_TASKS = 100_000, 1000
 
 def _by_chain(rows: DataFrame, events: DataFrame) -> DataFrame:
     """rows with each chain in one task: long chains are counted first, so that no two of them meet in one. events: what to count."""
-    counts = events.groupBy(*SCOPE).count().where(F.col("count") >= OWN_ROWS)
-    own = [(r.app_id, r.tenant_id) for r in counts.orderBy(F.desc("count"), *SCOPE).limit(OWN_TASKS).collect()]
+    seen = Observation()
+    counts = events.groupBy(*SCOPE).count().observe(seen, F.sum("count").alias("rows")).where(F.col("count") >= OWN_ROWS)
+    found = counts.orderBy(F.desc("count"), *SCOPE).limit(OWN_TASKS).collect()
+    own = [(r.app_id, r.tenant_id) for r in found]
     if len(own) < 2:
         return rows.repartition(_dealt())
     spark = rows.sparkSession
     slots = spark.createDataFrame([(*scope, i) for i, scope in enumerate(own)], "app_id string, tenant_id string, _own int")
-    others = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # no more tasks than the other chains need: an empty one starts Python too
+    left = (seen.get["rows"] or 0) - sum(r["count"] for r in found)
+    others = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + max(left, 0) // OWN_ROWS)
     slot = F.coalesce("_own", (F.pmod(_dealt(), F.lit(others)) + len(own)).cast("int"))
     return rows.join(F.broadcast(slots), SCOPE, "left").repartitionById(len(own) + others, slot).drop("_own")
 
