@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import small_batches, text_of, written
 
 ORDER = 4
 #: Slots of the hash by which a sorted array is entered: 2**SLOT_BITS.
@@ -453,9 +453,10 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     With labels (doc_id, quality) of training rows: also word_log_perplexity (0 without a word), word_low and word_high, and kept documents lie in both bands.
     """
-    grams = gram_lookup(docs, text_column, most_sent)
-    words = word_lookup(docs, text_column, most_sent) if labels is not None else None
-    scored = written(score(docs, grams, id_column, text_column, lang_column, carry, words), "scored")
+    with small_batches(docs.sparkSession):
+        grams = gram_lookup(docs, text_column, most_sent)
+        words = word_lookup(docs, text_column, most_sent) if labels is not None else None
+        scored = written(score(docs, grams, id_column, text_column, lang_column, carry, words), "scored")
     scored = complete(scored, grams, "gram").withColumn("log_perplexity", -F.col("gram_sum") / F.greatest("n_bytes", F.lit(1)))
     if words:
         mean = F.col("word_sum") / F.greatest("n_words", F.lit(1))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import table, text_of, written
+from auditloom.llm.common import HashFilter, small_batches, table, text_of, written
 from auditloom.llm.exact_dedup import exact_dedup
 from auditloom.llm.packing import pack
 from auditloom.llm.perplexity import quality_rules
@@ -20,6 +20,8 @@ from auditloom.llm.substring_dedup import substring_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Stands for a null id in joins.
 NO_ID = -(1 << 63)
+#: Bits of the filters by which texts that surely stay are left where they are (4 MB). Once they fill, more texts are moved than need be, none is lost.
+FILTER_BITS = 1 << 25
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -27,6 +29,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"), F.xxhash64(text_of(docs)).alias("key_text"))
 
 
+def _staying(keyed: DataFrame, keys: list[str], judged: DataFrame, doubtful: str, once: bool = False) -> DataFrame:
+    """The rows whose keys are kept in judged; of those that meet the condition doubtful, with once, one for each key.
+
+    judged (keys, kept; written) has the keys of all rows, and doubtful holds for all that are not kept. Texts are moved only
+    if their key, by its hash, may be a doubtful one; all others stay where they are read.
+    """
+    h = F.xxhash64(*keys)
+    found = HashFilter(judged.where(doubtful).select(h.alias("h")), FILTER_BITS)
+    # no semi-join: Spark would put it below the filter's join, and move all texts
+    moved = found.passes(keyed, h).join(found.passes(judged.where("kept"), h).select(*keys).distinct(), keys)
+    return found.passes(keyed, h, wanted=False).unionByName(moved.dropDuplicates(keys) if once else moved).select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep.
 
@@ -34,8 +49,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     and all stay or go; null ids stay; an empty table stays empty; columns besides those of documents are dropped.
     """
     keyed = _keyed(docs)
-    kept = quality_rules(keyed, carry=("key_id", "key_text"), labels=quality_labels(spark, sf_dir)).where("kept").select(F.col("carry_key_id").alias("key_id"), F.col("carry_key_text").alias("key_text"))
-    return keyed.join(kept, ["key_id", "key_text"], "left_semi").select(*COLUMNS)
+    judged = quality_rules(keyed, carry=("key_id", "key_text"), labels=quality_labels(spark, sf_dir))
+    judged = written(judged.select(F.col("carry_key_id").alias("key_id"), F.col("carry_key_text").alias("key_text"), F.coalesce("kept", F.lit(False)).alias("kept")), "judged")
+    return _staying(keyed, ["key_id", "key_text"], judged, "not kept")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +60,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null text equals empty text; a null id is below every other; of rows that repeat id and text one stays; an empty table
     stays empty; columns besides those of documents are dropped.
     """
-    kept = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"), F.unhex("text_sha256").alias("digest"))
+    judged = exact_dedup(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"), F.unhex("text_sha256").alias("digest"), "kept", "group_size")
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"), F.unhex(F.sha2(text_of(docs), 256)).alias("digest"))
-    return keyed.join(kept, ["key_id", "digest"], "left_semi").dropDuplicates(["key_id", "digest"]).select(*COLUMNS)
+    return _staying(keyed, ["key_id", "digest"], written(judged, "judged"), "group_size > 1", once=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +72,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty; columns besides those of documents are dropped.
     """
     keyed = _keyed(docs)
-    groups = simhash_components(keyed, carry=("key_id", "key_text"))
+    with small_batches(spark):
+        groups = written(simhash_components(keyed, carry=("key_id", "key_text")), "groups")
     least = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("carry_key_id", "carry_key_text"))).alias("k")
-    kept = groups.groupBy("root").agg(least).select(F.col("k.carry_key_id").alias("key_id"), F.col("k.carry_key_text").alias("key_text"))
-    return keyed.join(kept, ["key_id", "key_text"], "left_semi").select(*COLUMNS)
+    kept = groups.groupBy("root").agg(least).select(F.col("k.carry_key_id").alias("key_id"), F.col("k.carry_key_text").alias("key_text")).distinct()
+    keys = ["key_id", "key_text"]
+    judged = groups.select(F.col("carry_key_id").alias("key_id"), F.col("carry_key_text").alias("key_text")).join(kept.withColumn("kept", F.lit(True)), keys, "left")
+    return _staying(keyed, keys, written(judged.select(*keys, F.coalesce("kept", F.lit(False)).alias("kept")), "judged"), "not kept")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +87,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null text becomes empty; a null id is below every other; rows that repeat id and text count as one and are cut alike; a
     text may be left empty and stays; an empty table stays empty; columns besides those of documents are dropped.
     """
-    cut = substring_dedup(docs, carry=("lang", "source"), as_text=True)
+    with small_batches(spark):
+        cut = substring_dedup(docs, carry=("lang", "source"), as_text=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
